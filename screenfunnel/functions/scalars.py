@@ -127,7 +127,7 @@ def fixed(v: str | Column, digits: int) -> Column:
     rest = product - whole
     up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
     units = whole + F.when(up, 1).otherwise(0)
-    sign = F.when(value < 0, "-").otherwise("")
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
     if digits == 0:
         return F.concat(sign, units.cast("string"))
     return F.concat(

@@ -237,13 +237,13 @@ def up_to(keys: Sequence[Column], bound: tuple) -> Column:
 
 
 def lookup_counted(df: DataFrame, per_value: DataFrame, key: str, id_col: str, total: int) -> DataFrame:
-    """Left join of ``per_value`` (unique ``key``, its row count in ``n``) onto ``df``.
+    """Left join of ``per_value`` (unique ``key``, its row count in ``_n``) onto ``df``.
 
     Values held by more than 0.1 % of all rows (at most 1000 of them, hence the broadcast) are
     spread over salted copies, so one hot value does not become one hot task.
     """
     salts = 64
-    is_hot = F.col("n") > F.lit(max(total / 1000, 1_000_000))
+    is_hot = F.col("_n") > F.lit(max(total / 1000, 1_000_000))
     hot = per_value.filter(is_hot).select(F.col(key).alias("_hot"))
     salted = per_value.withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))

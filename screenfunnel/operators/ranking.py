@@ -21,10 +21,11 @@ def rank_normalise(df: DataFrame, value: str, id_col: str, out: str, invert: boo
     looked up by value.
     """
     total = df.count()
-    per_value = value_ranks(df.select(number(value).alias("_value")), "_value")
-    share = (F.col("below") + (F.col("n") - 1) / 2) / F.lit(float(max(total - 1, 1)))
+    ranks = value_ranks(df.select(number(value).alias("_value")), "_value")
+    per_value = ranks.withColumnsRenamed({"n": "_n", "below": "_below"})
+    share = (F.col("_below") + (F.col("_n") - 1) / 2) / F.lit(float(max(total - 1, 1)))
     rows = lookup_counted(df.withColumn("_value", number(value)), per_value, "_value", id_col, total)
-    return rows.withColumn(out, F.lit(1.0) - share if invert else share).drop("_value", "n", "below")
+    return rows.withColumn(out, F.lit(1.0) - share if invert else share).drop("_value", "_n", "_below")
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from screenfunnel.operators import assays, models, stats
 from screenfunnel.operators.profile import distinct_counts
 from screenfunnel.operators.stats import Desirability
 from screenfunnel.plans.prioritise import shortlist
-from screenfunnel.queries.base import query, table
+from screenfunnel.queries.base import query, settle, table
 
 # --- assays -----------------------------------------------------------------------------------
 
@@ -65,12 +65,12 @@ def target_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "assay_median_mean",
-    """SELECT user_id, round(median(value), 4) AS v_median, round(avg(value), 4) AS v_mean
+    """SELECT user_id, floor((median(value)) * 1e4 + 0.5001) / 1e4 AS v_median, floor((avg(value)) * 1e4 + 0.5001) / 1e4 AS v_mean
        FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
 )
 def assay_median_mean(spark: SparkSession, sf: str) -> DataFrame:
     found = assays.median_mean_by(table(spark, sf, "events"), "user_id", "value", "v")
-    return found.select("user_id", F.round("v_median", 4).alias("v_median"), F.round("v_mean", 4).alias("v_mean"))
+    return found.select("user_id", settle("v_median", 4).alias("v_median"), settle("v_mean", 4).alias("v_mean"))
 
 
 @query(
@@ -84,8 +84,8 @@ def assay_median_mean(spark: SparkSession, sf: str) -> DataFrame:
             ty AS (SELECT user_id, arg_min(props, event_id) AS props FROM events
                    WHERE event_type = 'view' AND value > 60 AND props <> '' GROUP BY user_id)
        SELECT coalesce(x.user_id, y.user_id) AS user_id, coalesce(ty.props, tx.props) AS props,
-              round(x.md, 4) AS click_median, round(y.md, 4) AS view_median,
-              round(x.mn, 4) AS click_mean, round(y.mn, 4) AS view_mean
+              floor((x.md) * 1e4 + 0.5001) / 1e4 AS click_median, floor((y.md) * 1e4 + 0.5001) / 1e4 AS view_median,
+              floor((x.mn) * 1e4 + 0.5001) / 1e4 AS click_mean, floor((y.mn) * 1e4 + 0.5001) / 1e4 AS view_mean
        FROM x FULL OUTER JOIN y ON x.user_id = y.user_id
        LEFT JOIN tx ON tx.user_id = coalesce(x.user_id, y.user_id)
        LEFT JOIN ty ON ty.user_id = coalesce(x.user_id, y.user_id)""",
@@ -97,7 +97,7 @@ def assay_outer_summary(spark: SparkSession, sf: str) -> DataFrame:
         ("click", "view"),
     )
     numbers = ("click_median", "view_median", "click_mean", "view_mean")
-    return found.select("user_id", "props", *[F.round(c, 4).alias(c) for c in numbers])
+    return found.select("user_id", "props", *[settle(c, 4).alias(c) for c in numbers])
 
 
 @query(
@@ -107,8 +107,8 @@ def assay_outer_summary(spark: SparkSession, sf: str) -> DataFrame:
             s AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_acctbal AS a_median,
                     CASE WHEN c_nationkey > 3 THEN CAST(c_nationkey AS DOUBLE) END AS b_median,
                     CASE WHEN c_acctbal > 0 THEN c_acctbal END AS a_mean, CAST(c_nationkey AS DOUBLE) AS b_mean FROM customer)
-       SELECT o_orderkey, p.k, o_totalprice, a_median, b_median, round(a_median / b_median, 4) AS "SI_median",
-              a_mean, b_mean, CASE WHEN b_mean <> 0 THEN round(a_mean / b_mean, 4) END AS "SI_mean"
+       SELECT o_orderkey, p.k, o_totalprice, a_median, b_median, floor((a_median / b_median) * 1e4 + 0.5001) / 1e4 AS "SI_median",
+              a_mean, b_mean, CASE WHEN b_mean <> 0 THEN floor((a_mean / b_mean) * 1e4 + 0.5001) / 1e4 END AS "SI_mean"
        FROM p JOIN s ON p.k = s.k""",
 )
 def assay_attach(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +123,7 @@ def assay_attach(spark: SparkSession, sf: str) -> DataFrame:
         nation.alias("b_mean"),
     )
     found = assays.attach_assays(products, summary, "k", "o_totalprice", "o_orderkey", "sid", ("a", "b"))
-    return found.withColumns({c: F.round(c, 4) for c in ("SI_median", "SI_mean")})
+    return found.withColumns({c: settle(c, 4) for c in ("SI_median", "SI_mean")})
 
 
 # --- activity functions -----------------------------------------------------------------------
@@ -131,13 +131,13 @@ def assay_attach(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "activity_functions",
-    """SELECT event_id, round(-log10((value - 5) * 1e-9), 6) AS p, round(power(10, 9 - value / 50), 4) AS nm,
-              value * 20 <= 1000 AS is_active, round(2 * value - event_id, 4) AS score,
-              CASE WHEN user_id <> 0 THEN round(value / user_id, 6) END AS si
+    """SELECT event_id, floor((-log10((value - 5) * 1e-9)) * 1e6 + 0.5001) / 1e6 AS p, floor((power(10, 9 - value / 50)) * 1e4 + 0.5001) / 1e4 AS nm,
+              value * 20 <= 1000 AS is_active, floor((2 * value - event_id) * 1e4 + 0.5001) / 1e4 AS score,
+              CASE WHEN user_id <> 0 THEN floor((value / user_id) * 1e6 + 0.5001) / 1e6 END AS si
        FROM events WHERE value - 5 > 0
        UNION ALL
-       SELECT event_id, NULL, round(power(10, 9 - value / 50), 4), value * 20 <= 1000, round(2 * value - event_id, 4),
-              CASE WHEN user_id <> 0 THEN round(value / user_id, 6) END
+       SELECT event_id, NULL, floor((power(10, 9 - value / 50)) * 1e4 + 0.5001) / 1e4, value * 20 <= 1000, floor((2 * value - event_id) * 1e4 + 0.5001) / 1e4,
+              CASE WHEN user_id <> 0 THEN floor((value / user_id) * 1e6 + 0.5001) / 1e6 END
        FROM events WHERE NOT value - 5 > 0""",
 )
 def activity_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,11 +145,11 @@ def activity_functions(spark: SparkSession, sf: str) -> DataFrame:
     v, event = F.col("value"), F.col("event_id").cast("double")
     return e.select(
         "event_id",
-        F.round(fn.pic50(v - 5), 6).alias("p"),
-        F.round(fn.ic50_nm(v / 50), 4).alias("nm"),
+        settle(fn.pic50(v - 5), 6).alias("p"),
+        settle(fn.ic50_nm(v / 50), 4).alias("nm"),
         fn.active(v * 20).alias("is_active"),
-        F.round(fn.qsar_score(v, event), 4).alias("score"),
-        F.round(fn.selectivity(v, F.col("user_id").cast("double")), 6).alias("si"),
+        settle(fn.qsar_score(v, event), 4).alias("score"),
+        settle(fn.selectivity(v, F.col("user_id").cast("double")), 6).alias("si"),
     )
 
 
@@ -183,25 +183,25 @@ DOMAIN_SQL = """
 @query(
     "scaled_distance_ad",
     f"""WITH {DOMAIN_SQL}
-    SELECT l_orderkey, l_linenumber, l_partkey, round(dist, 5) AS "AD_Distance", dist <= cut AS "In_AD" FROM d, c""",
+    SELECT l_orderkey, l_linenumber, l_partkey, floor((dist) * 1e5 + 0.5001) / 1e5 AS "AD_Distance", dist <= cut AS "In_AD" FROM d, c""",
 )
 def scaled_distance_ad(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", *FEATURES)
     found = stats.fit_domain(li, FEATURES).transform(li)
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round("AD_Distance", 5).alias("AD_Distance"), "In_AD")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", settle("AD_Distance", 5).alias("AD_Distance"), "In_AD")
 
 
 @query(
     "group_quantile",
-    """SELECT l_suppkey, count(*) AS n, round(quantile_cont(l_extendedprice, 0.95), 4) AS q95,
-              round(median(l_extendedprice), 4) AS med FROM lineitem GROUP BY l_suppkey""",
+    """SELECT l_suppkey, count(*) AS n, floor((quantile_cont(l_extendedprice, 0.95)) * 1e4 + 0.5001) / 1e4 AS q95,
+              floor((median(l_extendedprice)) * 1e4 + 0.5001) / 1e4 AS med FROM lineitem GROUP BY l_suppkey""",
 )
 def group_quantile(spark: SparkSession, sf: str) -> DataFrame:
     from screenfunnel.operators.order import group_quantiles
 
     li = table(spark, sf, "lineitem", "l_suppkey", "l_extendedprice")
     found = group_quantiles(li, ["l_suppkey"], "l_extendedprice", {"q95": 0.95, "med": 0.5})
-    return found.select("l_suppkey", "n", F.round("q95", 4).alias("q95"), F.round("med", 4).alias("med"))
+    return found.select("l_suppkey", "n", settle("q95", 4).alias("q95"), settle("med", 4).alias("med"))
 
 
 # The widest candidate that leaves at least 2 rows per bin, found over 2 … 10 bins.
@@ -244,23 +244,23 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "model_metrics",
     """WITH p AS (SELECT l_extendedprice AS y, l_quantity * 2000.0 AS f FROM lineitem)
-       SELECT count(*) AS n_rows, round(avg(abs(y - f)), 4) AS mae, round(sqrt(avg((y - f) * (y - f))), 4) AS rmse,
-              round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(y)), 6) AS r2 FROM p""",
+       SELECT count(*) AS n_rows, floor((avg(abs(y - f))) * 1e4 + 0.5001) / 1e4 AS mae, floor((sqrt(avg((y - f) * (y - f)))) * 1e4 + 0.5001) / 1e4 AS rmse,
+              floor((1 - sum((y - f) * (y - f)) / (var_pop(y) * count(y))) * 1e6 + 0.5001) / 1e6 AS r2 FROM p""",
 )
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 2000.0).alias("f"))
     m = stats.regression_metrics(p, "y", "f")
-    return m.select("n_rows", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
+    return m.select("n_rows", settle("mae", 4).alias("mae"), settle("rmse", 4).alias("rmse"), settle("r2", 6).alias("r2"))
 
 
 @query(
     "class_accuracy",
-    """SELECT round(avg(CASE WHEN (l_returnflag = 'R')::INT = (l_quantity > 25)::INT THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+    """SELECT floor((avg(CASE WHEN (l_returnflag = 'R')::INT = (l_quantity > 25)::INT THEN 1.0 ELSE 0.0 END)) * 1e6 + 0.5001) / 1e6 AS accuracy
        FROM lineitem""",
 )
 def class_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").alias("y"), (F.col("l_quantity") > 25).alias("f"))
-    return stats.accuracy(p, "y", "f").select(F.round("accuracy", 6).alias("accuracy"))
+    return stats.accuracy(p, "y", "f").select(settle("accuracy", 6).alias("accuracy"))
 
 
 @query(

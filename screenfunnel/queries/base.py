@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -32,3 +33,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def settle(c: str | Column, digits: int) -> Column:
+    """Round a result for the comparison with SQL, which has ``floor(x * 1e4 + 0.5001) / 1e4``.
+
+    Halves go up; the small excess hides the last bits of sums taken in another order.
+    """
+    scale = float(10**digits)
+    value = F.col(c) if isinstance(c, str) else c
+    return F.floor(value * F.lit(scale) + F.lit(0.5001)) / F.lit(scale)

@@ -10,7 +10,7 @@ from screenfunnel.operators import dedupe, offers, pairing, rules, screen
 from screenfunnel.operators.profile import stage_counters
 from screenfunnel.operators.rules import Limit
 from screenfunnel.operators.screen import Alert
-from screenfunnel.queries.base import query, table
+from screenfunnel.queries.base import query, settle, table
 
 # --- offers -----------------------------------------------------------------------------------
 
@@ -53,22 +53,22 @@ def best_offers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "best_offer",
-    f"WITH {OFFERS_SQL} SELECT code, price, round(price_per_gram, 6) AS price_per_gram FROM best",
+    f"WITH {OFFERS_SQL} SELECT code, price, floor((price_per_gram) * 1e6 + 0.5001) / 1e6 AS price_per_gram FROM best",
 )
 def best_offer(spark: SparkSession, sf: str) -> DataFrame:
-    return best_offers(spark, sf).select("code", "price", F.round("price_per_gram", 6).alias("price_per_gram"))
+    return best_offers(spark, sf).select("code", "price", settle("price_per_gram", 6).alias("price_per_gram"))
 
 
 @query(
     "priced_parts",
     f"""WITH {OFFERS_SQL}
-    SELECT p_partkey, round(price_per_gram, 6) AS "PriceG", round(price_per_gram * p_size, 4) AS "PriceMol"
+    SELECT p_partkey, floor((price_per_gram) * 1e6 + 0.5001) / 1e6 AS "PriceG", floor((price_per_gram * p_size) * 1e4 + 0.5001) / 1e4 AS "PriceMol"
     FROM part JOIN best ON p_partkey = code WHERE price_per_gram > 0""",
 )
 def priced_parts(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part", "p_partkey", "p_size")
     priced = offers.attach_price(part, best_offers(spark, sf), id_col="p_partkey", weight="p_size")
-    return priced.select("p_partkey", F.round("PriceG", 6).alias("PriceG"), F.round("PriceMol", 4).alias("PriceMol"))
+    return priced.select("p_partkey", settle("PriceG", 6).alias("PriceG"), settle("PriceMol", 4).alias("PriceMol"))
 
 
 @query("priced_ids", f"WITH {OFFERS_SQL} SELECT DISTINCT p_partkey FROM part JOIN best ON p_partkey = code")
@@ -95,19 +95,19 @@ def parts_and_suppliers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
 @query(
     "budget_pairs",
     """SELECT 'A' || p_partkey || 'C' || s_suppkey AS "ID", p_partkey, s_suppkey,
-              round(p_retailprice + s_acctbal, 4) AS "PriceMol"
+              floor((p_retailprice + s_acctbal) * 1e4 + 0.5001) / 1e4 AS "PriceMol"
        FROM part JOIN supplier ON s_acctbal > 0 AND p_retailprice + s_acctbal <= 1500""",
 )
 def budget_pairs(spark: SparkSession, sf: str) -> DataFrame:
     part, supplier = parts_and_suppliers(spark, sf)
     pairs = pairing.pair_within_budget(part, supplier, PAIR_CAP, "p_partkey", "p_retailprice", "s_suppkey", "s_acctbal")
     name = fn.pair_id(F.concat(F.lit("A"), "p_partkey"), F.concat(F.lit("C"), "s_suppkey"))
-    return pairs.select(name.alias("ID"), "p_partkey", "s_suppkey", F.round("PriceMol", 4).alias("PriceMol"))
+    return pairs.select(name.alias("ID"), "p_partkey", "s_suppkey", settle("PriceMol", 4).alias("PriceMol"))
 
 
 @query(
     "budget_pairs_probe",
-    """SELECT c_custkey, p_partkey, round(c_acctbal + p_retailprice, 4) AS total
+    """SELECT c_custkey, p_partkey, floor((c_acctbal + p_retailprice) * 1e4 + 0.5001) / 1e4 AS total
        FROM customer JOIN part ON c_acctbal > 0 AND p_retailprice <= 1000 - c_acctbal""",
 )
 def budget_pairs_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ def budget_pairs_probe(spark: SparkSession, sf: str) -> DataFrame:
     pairs = pairing.pair_within_budget(
         customer, part, 1000.0, "c_custkey", "c_acctbal", "p_partkey", "p_retailprice", form="probe", out="total"
     )
-    return pairs.select("c_custkey", "p_partkey", F.round("total", 4).alias("total"))
+    return pairs.select("c_custkey", "p_partkey", settle("total", 4).alias("total"))
 
 
 @query(
@@ -133,7 +133,7 @@ def budget_pairs_preflight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "reagent_map",
-    """SELECT 'A' || p_partkey || 'S' AS "ID", upper(p_name) AS "SMILES", round(p_retailprice + 10, 4) AS "PriceMol"
+    """SELECT 'A' || p_partkey || 'S' AS "ID", upper(p_name) AS "SMILES", floor((p_retailprice + 10) * 1e4 + 0.5001) / 1e4 AS "PriceMol"
        FROM part WHERE p_retailprice + 10 <= 950""",
 )
 def reagent_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +141,7 @@ def reagent_map(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("A"), "p_partkey").alias("ID"), F.col("p_name").alias("SMILES"), F.col("p_retailprice").alias("PriceMol")
     )
     made = pairing.map_with_reagent(part, 10.0, 950.0, lambda s: F.array(F.upper(s)))
-    return made.withColumn("PriceMol", F.round("PriceMol", 4))
+    return made.withColumn("PriceMol", settle("PriceMol", 4))
 
 
 FUNNEL_SQL = f"""
@@ -174,7 +174,7 @@ def funnel_products(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "library_funnel",
     f"""{FUNNEL_SQL}
-    SELECT id AS "ID", txt AS "SMILES", round(price, 4) AS "PriceMol",
+    SELECT id AS "ID", txt AS "SMILES", floor((price) * 1e4 + 0.5001) / 1e4 AS "PriceMol",
            concat_ws('; ', CASE WHEN price > 1800 THEN 'PriceMol=' || printf('%.2f', price) || '>1800.0' END,
                            CASE WHEN price < 300 THEN 'PriceMol=' || printf('%.2f', price) || '<300.0' END) AS "Rejection"
     FROM cheapest""",
@@ -183,7 +183,7 @@ def library_funnel(spark: SparkSession, sf: str) -> DataFrame:
     limits = [Limit("PriceMol", ">", 1800.0, 2), Limit("PriceMol", "<", 300.0, 2)]
     accepted, rejected = rules.range_filter(funnel_products(spark, sf), limits)
     both = accepted.withColumn("Rejection", F.lit("")).unionByName(rejected)
-    return both.select("ID", "SMILES", F.round("PriceMol", 4).alias("PriceMol"), "Rejection")
+    return both.select("ID", "SMILES", settle("PriceMol", 4).alias("PriceMol"), "Rejection")
 
 
 # --- one row per key --------------------------------------------------------------------------
@@ -382,7 +382,7 @@ def class_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "derived_columns",
-    """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 4) AS net, l_quantity
+    """SELECT l_orderkey, l_linenumber, l_partkey, floor((l_extendedprice * (1 - l_discount)) * 1e4 + 0.5001) / 1e4 AS net, l_quantity
        FROM lineitem""",
 )
 def derived_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,7 +390,7 @@ def derived_columns(spark: SparkSession, sf: str) -> DataFrame:
     filled = rules.ensure_columns(
         li, {"net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "l_quantity": F.lit(-1.0)}
     )
-    placed = fn.insert_after(filled, "net", F.round("net", 4), "l_partkey")
+    placed = fn.insert_after(filled, "net", settle("net", 4), "l_partkey")
     return fn.keep_existing(placed, ["l_orderkey", "l_linenumber", "l_partkey", "net", "no_such_column", "l_quantity"])
 
 
@@ -410,7 +410,7 @@ def threshold_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT count(*) AS n_rows, count(*) FILTER (WHERE l_returnflag = 'N') AS output_rows,
               count(*) FILTER (WHERE l_extendedprice > 80000) AS skipped_price,
               count(*) FILTER (WHERE l_quantity < 2) AS no_product,
-              round(count(*) FILTER (WHERE l_returnflag = 'N') * 100.0 / count(*), 6) AS accepted_pct
+              floor((count(*) FILTER (WHERE l_returnflag = 'N') * 100.0 / count(*)) * 1e6 + 0.5001) / 1e6 AS accepted_pct
        FROM lineitem""",
 )
 def counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,7 +421,7 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
             "skipped_price": F.col("l_extendedprice") > 80000,
             "no_product": F.col("l_quantity") < 2,
         },
-    ).withColumn("accepted_pct", F.round("accepted_pct", 6))
+    ).withColumn("accepted_pct", settle("accepted_pct", 6))
 
 
 # --- screens ----------------------------------------------------------------------------------
@@ -472,9 +472,9 @@ def filter_and_screen(spark: SparkSession, sf: str) -> DataFrame:
     "match_export",
     """SELECT CAST(doc_id AS VARCHAR) AS doc_id, trim(source) AS source,
               CAST(n_chars AS DOUBLE) AS off_median, CAST(length(lang) AS DOUBLE) AS on_median,
-              round(n_chars / CAST(length(lang) AS DOUBLE), 6) AS "SI_median",
-              CAST(n_chars * 2 AS DOUBLE) AS off_mean, CASE WHEN lang = 'en' THEN 0.0 ELSE 4.0 END AS on_mean,
-              CASE WHEN lang <> 'en' THEN round(n_chars * 2 / 4.0, 6) END AS "SI_mean"
+              floor((n_chars / CAST(length(lang) AS DOUBLE)) * 1e6 + 0.5001) / 1e6 AS "SI_median",
+              CAST(n_chars * 2 AS DOUBLE) AS off_mean, CASE WHEN lang = 'en' THEN 0.0 ELSE 4.0 END::DOUBLE AS on_mean,
+              CASE WHEN lang <> 'en' THEN floor((n_chars * 2 / 4.0) * 1e6 + 0.5001) / 1e6 END AS "SI_mean"
        FROM documents WHERE trim(source) <> '' AND regexp_matches(trim(source), '^src1')""",
 )
 def match_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -487,7 +487,7 @@ def match_export(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("lang") == "en", 0.0).otherwise(4.0).alias("on_mean"),
     )
     found = screen.match_export(docs, lambda k: k.rlike("^src1"), "doc_id", "source", "on", "off")
-    return found.withColumns({c: F.round(c, 6) for c in ("SI_median", "SI_mean")})
+    return found.withColumns({c: settle(c, 6) for c in ("SI_median", "SI_mean")})
 
 
 # --- ids and labels ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from screenfunnel.operators import groups, profile, ranking, tasks
 from screenfunnel.operators.ranking import Component
-from screenfunnel.queries.base import query, table
+from screenfunnel.queries.base import query, settle, table
 
 # --- ranking ----------------------------------------------------------------------------------
 
@@ -26,12 +26,12 @@ def norm_sql(value: str, invert: bool, n: str = "count(*) OVER ()") -> str:
     "rank_normalise",
     f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey,
                           CASE WHEN l_discount > 0.09 THEN NULL ELSE l_quantity END AS q FROM lineitem)
-        SELECT l_orderkey, l_linenumber, l_partkey, q, round({norm_sql("q", True)}, 6) AS norm FROM v""",
+        SELECT l_orderkey, l_linenumber, l_partkey, q, floor(({norm_sql("q", True)}) * 1e6 + 0.5001) / 1e6 AS norm FROM v""",
 )
 def rank_normalise(spark: SparkSession, sf: str) -> DataFrame:
     q = F.when(F.col("l_discount") > 0.09, F.lit(None)).otherwise(F.col("l_quantity"))
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q"))
-    return ranking.rank_normalise(li, "q", "l_orderkey", "norm").withColumn("norm", F.round("norm", 6))
+    return ranking.rank_normalise(li, "q", "l_orderkey", "norm").withColumn("norm", settle("norm", 6))
 
 
 @query(
@@ -39,7 +39,7 @@ def rank_normalise(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH c AS (SELECT o_custkey AS id, sum(o_totalprice) AS total, CAST(count(*) AS DOUBLE) AS n,
                           CAST(min(o_orderkey) AS DOUBLE) AS first FROM orders GROUP BY o_custkey),
              s AS (SELECT id, {norm_sql("total", True)} AS a, {norm_sql("n", False)} AS b, {norm_sql("first", True)} AS c FROM c)
-        SELECT id, round(a, 6) AS total_norm, round(b, 6) AS n_norm, round(c, 6) AS first_norm,
+        SELECT id, floor((a) * 1e6 + 0.5001) / 1e6 AS total_norm, floor((b) * 1e6 + 0.5001) / 1e6 AS n_norm, floor((c) * 1e6 + 0.5001) / 1e6 AS first_norm,
                round(0.5 * a + 0.4 * b + 0.1 * c, 4) AS final_score FROM s""",
 )
 def composite_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,14 +50,14 @@ def composite_score(spark: SparkSession, sf: str) -> DataFrame:
         Component("total", "total_norm", 0.5, True), Component("n", "n_norm", 0.4, False), Component("first", "first_norm", 0.1, True),
     ]
     scored = ranking.composite_score(c, parts, "id")
-    return scored.select("id", *[F.round(p.out, 6).alias(p.out) for p in parts], "final_score")
+    return scored.select("id", *[settle(p.out, 6).alias(p.out) for p in parts], "final_score")
 
 
 @query(
     "md_score",
     f"""WITH s AS (SELECT o_orderkey, {norm_sql("o_totalprice", True)} AS a, {norm_sql("o_custkey", True)} AS b,
                           round(0.2 * (o_totalprice / 100000.0), 4) AS pen FROM orders)
-        SELECT o_orderkey, round(a, 6) AS norm_rank_cox2, round(b, 6) AS norm_rank_cox1, pen AS instability_penalty,
+        SELECT o_orderkey, floor((a) * 1e6 + 0.5001) / 1e6 AS norm_rank_cox2, floor((b) * 1e6 + 0.5001) / 1e6 AS norm_rank_cox1, pen AS instability_penalty,
                round(2 * a - b - pen, 4) AS md_score FROM s""",
 )
 def md_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,8 +70,8 @@ def md_score(spark: SparkSession, sf: str) -> DataFrame:
     found = ranking.md_score(o, "o_orderkey")
     return found.select(
         "o_orderkey",
-        F.round("norm_rank_cox2", 6).alias("norm_rank_cox2"),
-        F.round("norm_rank_cox1", 6).alias("norm_rank_cox1"),
+        settle("norm_rank_cox2", 6).alias("norm_rank_cox2"),
+        settle("norm_rank_cox1", 6).alias("norm_rank_cox1"),
         "instability_penalty",
         "md_score",
     )
@@ -152,7 +152,7 @@ def group_representative(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "group_summary",
     """SELECT o_orderpriority, count(*) AS "ClusterSize", min(o_totalprice) AS "PriceMolMin",
-              round(median(o_totalprice), 4) AS "PriceMolMedian", max(o_totalprice) AS "PriceMolMax",
+              floor((median(o_totalprice)) * 1e4 + 0.5001) / 1e4 AS "PriceMolMedian", max(o_totalprice) AS "PriceMolMax",
               CAST(min(o_custkey) AS DOUBLE) AS "QEDMin", CAST(median(o_custkey) AS DOUBLE) AS "QEDMedian",
               CAST(max(o_custkey) AS DOUBLE) AS "QEDMax"
        FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS o_orderpriority, o_totalprice, o_custkey
@@ -162,7 +162,7 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
     priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
     o = table(spark, sf, "orders").select(priority.alias("o_orderpriority"), "o_totalprice", "o_custkey")
     found = groups.summarise_groups(o, "o_orderpriority", "o_totalprice", "o_custkey")
-    return found.withColumn("PriceMolMedian", F.round("PriceMolMedian", 4))
+    return found.withColumn("PriceMolMedian", settle("PriceMolMedian", 4))
 
 
 @query(
@@ -307,12 +307,12 @@ def task_status(spark: SparkSession, sf: str) -> DataFrame:
     """WITH v AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'accepted' END AS part, o_totalprice AS v FROM orders),
             s AS (SELECT part, min(v) AS lo, (max(v) - min(v)) / 50 AS w FROM v GROUP BY part),
             b AS (SELECT v.part, CAST(least(floor((v - lo) / w), 49) AS INT) AS bin, lo, w FROM v JOIN s ON v.part = s.part)
-       SELECT part, bin, round(lo + bin * w, 4) AS bin_start, count(*) AS n FROM b GROUP BY part, bin, lo, w""",
+       SELECT part, bin, floor((lo + bin * w) * 1e4 + 0.5001) / 1e4 AS bin_start, count(*) AS n FROM b GROUP BY part, bin, lo, w""",
 )
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders", "o_orderstatus", "o_totalprice")
     parts = {"accepted": o.filter("o_orderstatus <> 'P'"), "rejected": o.filter("o_orderstatus = 'P'")}
-    return profile.histogram(parts, "o_totalprice").withColumn("bin_start", F.round("bin_start", 4))
+    return profile.histogram(parts, "o_totalprice").withColumn("bin_start", settle("bin_start", 4))
 
 
 @query(
@@ -322,14 +322,14 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
                          avg(CASE WHEN TRY_CAST(user_id AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS s3
                   FROM (SELECT CASE WHEN value > 60 THEN 'high' ELSE CAST(value AS VARCHAR) END AS v, event_type, user_id FROM events)),
             l AS (SELECT 'v' AS "column", s1 AS s FROM r UNION ALL SELECT 'event_type', s2 FROM r UNION ALL SELECT 'user_id', s3 FROM r)
-       SELECT "column", round(s, 6) AS numeric_share, round(1 - s, 6) AS missing_share, s >= 0.95 AS numeric_like,
+       SELECT "column", floor((s) * 1e6 + 0.5001) / 1e6 AS numeric_share, floor((1 - s) * 1e6 + 0.5001) / 1e6 AS missing_share, s >= 0.95 AS numeric_like,
               s >= 0.95 AND 1 - s > 0.3 AS many_missing FROM l""",
 )
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("value") > 60, "high").otherwise(F.col("value").cast("string"))
     e = table(spark, sf, "events").select(v.alias("v"), "event_type", "user_id")
     found = profile.profile_columns(e, ["v", "event_type", "user_id"])
-    return found.withColumns({c: F.round(c, 6) for c in ("numeric_share", "missing_share")})
+    return found.withColumns({c: settle(c, 6) for c in ("numeric_share", "missing_share")})
 
 
 @query(

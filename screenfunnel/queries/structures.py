@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.operators import assays, contacts, poses
-from screenfunnel.queries.base import query, table
+from screenfunnel.queries.base import query, settle, table
 from screenfunnel.queries.library import OFFERS_SQL, best_offers
 from screenfunnel.session import scratch_path
 from screenfunnel.sources import files, sinks
@@ -49,7 +49,7 @@ def sdf_records(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sdf_scan",
     """SELECT count(*) AS n_records, CAST(sum(CASE WHEN p_size >= 2 THEN p_size - 1 ELSE p_size END) AS BIGINT) AS n_heavy,
-              count(DISTINCT p_type) AS n_classes, round(sum(p_retailprice), 4) AS total FROM part""",
+              count(DISTINCT p_type) AS n_classes, floor((sum(p_retailprice)) * 1e4 + 0.5001) / 1e4 AS total FROM part""",
 )
 def sdf_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Written as SDF text files and read back with the reader."""
@@ -62,7 +62,7 @@ def sdf_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("n_records"),
         F.sum("HvyAtm").alias("n_heavy"),
         F.count_distinct("Class").alias("n_classes"),
-        F.round(F.sum(F.col("Mw").cast("double")), 4).alias("total"),
+        settle(F.sum(F.col("Mw").cast("double")), 4).alias("total"),
     )
 
 
@@ -70,7 +70,7 @@ def offer_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Each line item as a price response with a good pack and one in an unknown unit."""
     li = table(spark, sf, "lineitem")
     unit = F.when(F.col("l_returnflag") == "A", "mg").when(F.col("l_returnflag") == "R", "kg").otherwise("g")
-    code = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber")])
+    code = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")])
 
     def pack(measure):
         weight = F.struct(F.col("l_quantity").alias("amount"), measure.alias("measure"))
@@ -84,15 +84,15 @@ def offer_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RESPONSE_SQL = """
-    SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber AS code, 1 AS pack_no,
-           round(l_extendedprice / (CASE l_returnflag WHEN 'A' THEN l_quantity / 1000.0 WHEN 'R' THEN l_quantity * 1000.0
-                                     ELSE l_quantity END), 4) AS price_per_gram
+    SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber || '-' || l_extendedprice AS code, 1 AS pack_no,
+           floor((l_extendedprice / (CASE l_returnflag WHEN 'A' THEN l_quantity / 1000.0 WHEN 'R' THEN l_quantity * 1000.0
+                                     ELSE l_quantity END)) * 1e4 + 0.5001) / 1e4 AS price_per_gram
     FROM lineitem
 """
 
 
 def _offer_columns(df: DataFrame) -> DataFrame:
-    return df.select("code", "pack_no", F.round("price_per_gram", 4).alias("price_per_gram"))
+    return df.select("code", "pack_no", settle("price_per_gram", 4).alias("price_per_gram"))
 
 
 @query("offers_scan", RESPONSE_SQL)
@@ -114,7 +114,7 @@ def offers_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "assays_scan",
-    """SELECT event_type AS target, count(*) AS n, round(sum(value), 2) AS total FROM events
+    """SELECT event_type AS target, count(*) AS n, floor((sum(value)) * 1e2 + 0.5001) / 1e2 AS total FROM events
        WHERE event_type IN ('click', 'view') AND value > 10 AND value <= 40 GROUP BY event_type""",
 )
 def assays_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +136,7 @@ def assays_scan(spark: SparkSession, sf: str) -> DataFrame:
     wanted = assays.target_filter(read, ["click", "view"], "Target ChEMBL ID", "Standard Type", "Standard Value")
     rows = assays.assay_filter(wanted)
     return rows.groupBy(F.col("Target ChEMBL ID").alias("target")).agg(
-        F.count("*").alias("n"), F.round(F.sum("Standard Value"), 2).alias("total")
+        F.count("*").alias("n"), settle(F.sum("Standard Value"), 2).alias("total")
     )
 
 
@@ -222,7 +222,7 @@ def pose_atoms(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "pose_files",
     """SELECT 'lig_' || vec_id AS ligand_id, '6COX' AS receptor_id, true AS has_marker,
-              20 * 67 + 168 AS n_bytes FROM embeddings""",
+              20 * 66 + 162 AS n_bytes FROM embeddings""",
 )
 def pose_files(spark: SparkSession, sf: str) -> DataFrame:
     return tr.pose_file_summary(pose_texts(spark, sf)).withColumn("n_bytes", F.col("n_bytes").cast("int"))
@@ -298,22 +298,22 @@ POINTS_SQL = """
     f"""WITH {POINTS_SQL},
     d AS (SELECT vec_id, label, sqrt((x - b_x) * (x - b_x) + (y - b_y) * (y - b_y) + (z - b_z) * (z - b_z)) AS d
           FROM a JOIN b ON label = b_label)
-    SELECT vec_id, round(min(d), 6) AS nearest, count(*) AS n_close FROM d WHERE d < 0.1 GROUP BY vec_id""",
+    SELECT vec_id, floor((min(d)) * 1e6 + 0.5001) / 1e6 AS nearest, count(*) AS n_close FROM d WHERE d < 0.1 GROUP BY vec_id""",
 )
 def contact_counts(spark: SparkSession, sf: str) -> DataFrame:
     b = points(spark, sf, 3).select("label", *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "z")])
     found = contacts.nearest_within(points(spark, sf, 0), b, 0.1, ["label"], ["vec_id"], "vec_id")
-    return found.select("vec_id", F.round("nearest", 6).alias("nearest"), "n_close")
+    return found.select("vec_id", settle("nearest", 6).alias("nearest"), "n_close")
 
 
 @query(
     "centroid",
-    f"""WITH {POINTS_SQL} SELECT label, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,
+    f"""WITH {POINTS_SQL} SELECT label, floor((avg(x)) * 1e6 + 0.5001) / 1e6 AS center_x, floor((avg(y)) * 1e6 + 0.5001) / 1e6 AS center_y, floor((avg(z)) * 1e6 + 0.5001) / 1e6 AS center_z,
     count(*) AS n_atoms FROM a GROUP BY label""",
 )
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
     found = contacts.centroid(points(spark, sf, 0), "label")
-    return found.withColumns({f"center_{c}": F.round(f"center_{c}", 6) for c in ("x", "y", "z")})
+    return found.withColumns({f"center_{c}": settle(f"center_{c}", 6) for c in ("x", "y", "z")})
 
 
 @query(
@@ -324,8 +324,8 @@ def centroid(spark: SparkSession, sf: str) -> DataFrame:
     SELECT g.label, CASE WHEN g.label = 2 THEN 1.5 ELSE round(coalesce(own.x, 73.0), 3) END AS center_x,
            CASE WHEN g.label = 2 THEN 2.5 ELSE round(coalesce(own.y, 52.0), 3) END AS center_y,
            CASE WHEN g.label = 2 THEN 3.5 ELSE round(coalesce(own.z, 28.0), 3) END AS center_z,
-           CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END AS size_x, CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END AS size_y,
-           CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END AS size_z
+           CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END::DOUBLE AS size_x, CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END::DOUBLE AS size_y,
+           CASE WHEN g.label = 2 THEN 22.0 ELSE 24.0 END::DOUBLE AS size_z
     FROM g LEFT JOIN own ON g.label = own.label""",
 )
 def search_box(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,9 +344,9 @@ def search_box(spark: SparkSession, sf: str) -> DataFrame:
        a AS (SELECT vec_id, CASE WHEN label < 8 THEN '6COX' ELSE '3KK6' END AS receptor_id, i,
                embedding[i * 3 - 2]::DOUBLE * 20 AS x, embedding[i * 3 - 1]::DOUBLE * 20 AS y, embedding[i * 3]::DOUBLE * 20 AS z
              FROM embeddings, n),
-       r AS (SELECT label, embedding[61]::DOUBLE * 60 AS bx, embedding[62]::DOUBLE * 60 AS by, embedding[63]::DOUBLE * 60 AS bz
+       r AS (SELECT label, embedding[61]::DOUBLE * 60 AS bx, embedding[62]::DOUBLE * 60 AS bw, embedding[63]::DOUBLE * 60 AS bz
              FROM embeddings),
-       d AS (SELECT vec_id, i, label, sqrt((x - bx) * (x - bx) + (y - by) * (y - by) + (z - bz) * (z - bz)) AS d
+       d AS (SELECT vec_id, i, label, sqrt((x - bx) * (x - bx) + (y - bw) * (y - bw) + (z - bz) * (z - bz)) AS d
              FROM a, r WHERE receptor_id = '6COX'),
        per_atom AS (SELECT vec_id, i, max((label = 0)::INT) AS arg, max((label = 1)::INT) AS tyr, max((d < 2)::INT) AS clash
              FROM d WHERE d < 3.5 GROUP BY vec_id, i),
@@ -401,13 +401,13 @@ def superpose(spark: SparkSession, sf: str) -> DataFrame:
 def line_poses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pose_no"),
+        (F.col("l_partkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("pose_no"),
     )
 
 
 CAPPED_SQL = """
-    c AS (SELECT * FROM (SELECT *, l_partkey * 10 + l_linenumber AS pose_no,
-            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber) AS rn FROM lineitem) WHERE rn <= 3)
+    c AS (SELECT * FROM (SELECT *, l_partkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT AS pose_no,
+            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT) AS rn FROM lineitem) WHERE rn <= 3)
 """
 
 
@@ -429,7 +429,7 @@ def pose_spread(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "best_score",
-    """SELECT l_orderkey, round(arg_min(l_extendedprice, l_partkey * 10 + l_linenumber), 2) AS docking_score
+    """SELECT l_orderkey, round(arg_min(l_extendedprice, l_partkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT), 2) AS docking_score
        FROM lineitem GROUP BY l_orderkey""",
 )
 def best_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -439,8 +439,8 @@ def best_score(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "best_pose",
     """SELECT l_orderkey, pose_no, l_quantity, l_extendedprice FROM (
-         SELECT *, l_partkey * 10 + l_linenumber AS pose_no,
-                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey * 10 + l_linenumber) AS rn
+         SELECT *, l_partkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT AS pose_no,
+                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey * 1000 + l_linenumber * 100 + l_quantity::BIGINT) AS rn
          FROM lineitem) WHERE rn = 1""",
 )
 def best_pose(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,7 +496,7 @@ def _norm(column: str, invert: bool) -> str:
     "final_ranking",
     f"""WITH {FINAL_SQL},
     n AS (SELECT *, {_norm('"QSAR_score"', True)} AS q, {_norm("geo_score", False)} AS g, {_norm("score_cox2", True)} AS v FROM t)
-    SELECT ligand_id, score_cox2, score_cox1, geo_score, round(q, 6) AS qsar_norm, round(g, 6) AS geo_norm, round(v, 6) AS vina_norm,
+    SELECT ligand_id, score_cox2, score_cox1, geo_score, floor((q) * 1e6 + 0.5001) / 1e6 AS qsar_norm, floor((g) * 1e6 + 0.5001) / 1e6 AS geo_norm, floor((v) * 1e6 + 0.5001) / 1e6 AS vina_norm,
            round(0.5 * q + 0.4 * g + 0.1 * v, 4) AS final_score FROM n""",
 )
 def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -515,7 +515,7 @@ def final_ranking(spark: SparkSession, sf: str) -> DataFrame:
     ranked = rank(best, part)
     return ranked.select(
         "ligand_id", "score_cox2", "score_cox1", "geo_score",
-        *[F.round(c, 6).alias(c) for c in ("qsar_norm", "geo_norm", "vina_norm")], "final_score",
+        *[settle(c, 6).alias(c) for c in ("qsar_norm", "geo_norm", "vina_norm")], "final_score",
     )
 
 
@@ -544,14 +544,14 @@ def write_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "write_by_key",
-    "SELECT event_type AS target, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
+    "SELECT event_type AS target, count(*) AS n, floor((sum(value)) * 1e2 + 0.5001) / 1e2 AS total FROM events GROUP BY event_type",
 )
 def write_by_key(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "by-key")
     sinks.write_by_key(table(spark, sf, "events", "event_id", "event_type", "value"), "event_type", path)
     back = spark.read.csv(path, sep=";", header=True)
     return back.groupBy(F.col("_part").alias("target")).agg(
-        F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total")
+        F.count("*").alias("n"), settle(F.sum(F.col("value").cast("double")), 2).alias("total")
     )
 
 
@@ -598,10 +598,10 @@ def union_series(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select(F.col("id").cast("long").alias("id"), "name", "segment")
 
 
-@query("materialise", f"WITH {OFFERS_SQL} SELECT code, round(price, 2) AS price FROM best")
+@query("materialise", f"WITH {OFFERS_SQL} SELECT code, floor((price) * 1e2 + 0.5001) / 1e2 AS price FROM best")
 def materialise(spark: SparkSession, sf: str) -> DataFrame:
     """A stage kept as a table and read back."""
     path = scratch_path(spark, "stage")
     for _ in range(2):
         kept = sinks.materialise(spark, path, {"stage": "offers"}, lambda: best_offers(spark, sf))
-    return kept.select("code", F.round("price", 2).alias("price"))
+    return kept.select("code", settle("price", 2).alias("price"))
