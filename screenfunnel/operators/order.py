@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 # Up to this many key tuples are fetched by one ordered limit.
 DIRECT_FETCH = 10_000
+# A value held by more rows than this (and by more than 0.1 % of all) is looked up in salted copies.
+HOT_ROWS = 1_000_000
 
 
 def default_bands(df: DataFrame) -> int:
@@ -243,7 +245,7 @@ def lookup_counted(df: DataFrame, per_value: DataFrame, key: str, id_col: str, t
     spread over salted copies, so one hot value does not become one hot task.
     """
     salts = 64
-    is_hot = F.col("_n") > F.lit(max(total / 1000, 1_000_000))
+    is_hot = F.col("_n") > F.lit(max(total / 1000, HOT_ROWS))
     hot = per_value.filter(is_hot).select(F.col(key).alias("_hot"))
     salted = per_value.withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
