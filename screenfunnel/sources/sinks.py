@@ -29,7 +29,9 @@ def write_manifest(spark: SparkSession, path: str, content: dict[str, Any]) -> N
 def read_manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:
     try:
         row = spark.read.text(path).first()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return json.loads(row.value) if row else None
 

@@ -24,8 +24,10 @@ def append_new(target: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
         try:
             stored = batch.sparkSession.read.parquet(target).select(*keys)
             fresh = fresh.join(stored, list(keys), "left_anti")
-        except AnalysisException:
-            pass  # the first batch: no table yet
+        except AnalysisException as error:
+            # Only the first batch has no table yet.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
         fresh.write.mode("append").parquet(target)
 
     return write
