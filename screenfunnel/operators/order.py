@@ -29,12 +29,27 @@ def default_bands(df: DataFrame) -> int:
 
 def band_edges(df: DataFrame, value: str, n_bands: int | None = None) -> list[float]:
     """At most ``n_bands - 1`` increasing cut points of ``value``; one column is scanned."""
+    return count_and_edges(df, [value], n_bands)[1][value]
+
+
+def count_and_edges(
+    df: DataFrame, values: Sequence[str], n_bands: int | None = None
+) -> tuple[int, dict[str, list[float]]]:
+    """Row count of ``df`` and the cut points of several columns, in one pass."""
     n_bands = n_bands or default_bands(df)
     shares = [i / n_bands for i in range(1, n_bands)]
-    row = df.select(
-        F.percentile_approx(F.col(value).cast("double"), shares, max(10_000, 10 * n_bands)).alias("edges")
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[
+            F.percentile_approx(F.col(v).cast("double"), shares, max(10_000, 10 * n_bands)).alias(f"e{i}")
+            for i, v in enumerate(values)
+        ],
     ).first()
-    return sorted({e for e in (row.edges or []) if e == e and abs(e) != float("inf")})
+
+    def finite(edges: list[float] | None) -> list[float]:
+        return sorted({e for e in (edges or []) if e == e and abs(e) != float("inf")})
+
+    return row.n, {v: finite(row[f"e{i}"]) for i, v in enumerate(values)}
 
 
 def add_band(df: DataFrame, value: str, edges: Sequence[float], out: str = "_band") -> DataFrame:
@@ -99,10 +114,11 @@ def number_rows(
     return running_sum(df, value, 1, keys, ties, out)
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, edges: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows hold it, ``below`` rows are smaller."""
     present = df.select(value).filter(F.col(value).isNotNull())
-    edges = band_edges(present, value)
+    if edges is None:
+        edges = band_edges(present, value)
     hist = present.groupBy(value).agg(F.count("*").alias("n"))
     return running_sum(hist, value, "n", edges=edges, out="_upto").select(
         value, "n", (F.col("_upto") - F.col("n")).alias("below")
@@ -244,6 +260,8 @@ def lookup_counted(df: DataFrame, per_value: DataFrame, key: str, id_col: str, t
     Values held by more than 0.1 % of all rows (at most 1000 of them, hence the broadcast) are
     spread over salted copies, so one hot value does not become one hot task.
     """
+    if total <= HOT_ROWS:
+        return df.join(per_value, key, "left")
     salts = 64
     is_hot = F.col("_n") > F.lit(max(total / 1000, HOT_ROWS))
     hot = per_value.filter(is_hot).select(F.col(key).alias("_hot"))

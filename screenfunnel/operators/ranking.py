@@ -9,33 +9,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import holds, number
-from screenfunnel.operators.order import lookup_counted, order_cutoff, up_to, value_ranks
+from screenfunnel.operators.order import count_and_edges, lookup_counted, order_cutoff, up_to, value_ranks
 
 INF = float("inf")
 
 
+@dataclass(frozen=True)
+class Component:
+    """One part of a composite: weight · rank-normalised column."""
+
+    column: str
+    out: str
+    weight: float = 1.0
+    invert: bool = True
+
+
 def rank_normalise(df: DataFrame, value: str, id_col: str, out: str, invert: bool = True) -> DataFrame:
     """(average rank − 1) / (n − 1) in [0, 1], or one minus that when low values are good.
 
     A missing value stays missing but counts in n. Ranks are taken on the distinct values, then
     looked up by value.
     """
-    total = df.count()
-    ranks = value_ranks(df.select(number(value).alias("_value")), "_value")
-    per_value = ranks.withColumnsRenamed({"n": "_n", "below": "_below"})
-    share = (F.col("_below") + (F.col("_n") - 1) / 2) / F.lit(float(max(total - 1, 1)))
-    rows = lookup_counted(df.withColumn("_value", number(value)), per_value, "_value", id_col, total)
-    return rows.withColumn(out, F.lit(1.0) - share if invert else share).drop("_value", "_n", "_below")
+    return rank_columns(df, [Component(value, out, invert=invert)], id_col)
 
 
-@dataclass(frozen=True)
-class Component:
-    """One part of a composite: weight · rank-normalised column."""
+def rank_columns(df: DataFrame, parts: Sequence[Component], id_col: str) -> DataFrame:
+    """:func:`rank_normalise` of several columns; one pass takes the row count and all band edges.
 
-    column: str
-    out: str
-    weight: float
-    invert: bool
+    ``df`` is read once for that and once per column, so store it if it is costly to make.
+    """
+    values = [f"_v{i}" for i in range(len(parts))]
+    rows = df.withColumns({v: number(p.column) for v, p in zip(values, parts)})
+    total, edges = count_and_edges(rows, values)
+    shares = {}
+    base = rows
+    for v, part in zip(values, parts):
+        # Named apart, so that the parts can be joined one after the other.
+        ranks = value_ranks(base.select(v), v, edges[v]).withColumnsRenamed({"n": "_n", "below": f"{v}_below"})
+        ranks = ranks.withColumn(f"{v}_n", F.col("_n"))
+        rows = lookup_counted(rows, ranks, v, id_col, total).drop("_n")
+        share = (F.col(f"{v}_below") + (F.col(f"{v}_n") - 1) / 2) / F.lit(float(max(total - 1, 1)))
+        shares[part.out] = F.lit(1.0) - share if part.invert else share
+    return rows.withColumns(shares).drop(*values, *[f"{v}_{x}" for v in values for x in ("n", "below")])
 
 
 def composite_score(
@@ -44,9 +59,8 @@ def composite_score(
     """Weighted sum of rank-normalised columns, rounded."""
     total = F.lit(0.0)
     for part in parts:
-        df = rank_normalise(df, part.column, id_col, part.out, part.invert)
         total = total + F.lit(part.weight) * F.col(part.out)
-    return df.withColumn(out, F.round(total, digits))
+    return rank_columns(df, parts, id_col).withColumn(out, F.round(total, digits))
 
 
 def md_score(
@@ -64,8 +78,7 @@ def md_score(
     known = instability in df.columns and not df.filter(F.col(instability).isNotNull()).limit(1).isEmpty()
     if not known:
         df = df.withColumn(instability, F.lit(0.0))
-    df = rank_normalise(df, target, id_col, "norm_rank_cox2")
-    df = rank_normalise(df, off_target, id_col, "norm_rank_cox1")
+    df = rank_columns(df, [Component(target, "norm_rank_cox2"), Component(off_target, "norm_rank_cox1")], id_col)
     df = df.withColumn("instability_penalty", F.round(F.lit(penalty) * F.col(instability), 4))
     return df.withColumn(
         "md_score",

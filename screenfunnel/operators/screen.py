@@ -72,7 +72,8 @@ def alert_screen(
     hit = F.when(
         ~usable, F.struct(F.lit("invalid_smiles").alias("family"), F.lit("").alias("name"))
     ).otherwise(first_alert(text, catalogue, match))
-    tagged = df.withColumn("_hit", hit)
+    # The generator keeps the optimiser from evaluating the patterns once per use of the result.
+    tagged = df.select("*", F.explode(F.array(hit)).alias("_hit"))
     accepted = tagged.filter(F.col("_hit").isNull()).drop("_hit")
     rejected = (
         tagged.filter(F.col("_hit").isNotNull())

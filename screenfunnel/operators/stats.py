@@ -104,15 +104,17 @@ def stratify_bins(
     distinct = df.select(v.alias("v")).filter("v is not null").distinct().limit(n_bins).count()
     choices = {k: [float(e) for e in np.linspace(span.lo, span.hi, k + 1)] for k in range(2, min(n_bins, distinct) + 1)}
     if choices:
-        counts = df.agg(
+        # Rows up to each edge; a bin holds the difference of two neighbours.
+        upto = df.agg(
             *[
-                F.count_if(_bin_of(v, edges) == b).alias(f"c{k}_{b}")
+                F.count_if(v <= F.lit(edge)).alias(f"c{k}_{b}")
                 for k, edges in choices.items()
-                for b in range(1, k + 1)
+                for b, edge in enumerate(edges[1:], start=1)
             ]
         ).first()
         for k in sorted(choices, reverse=True):
-            if min(counts[f"c{k}_{b}"] for b in range(1, k + 1)) >= min_per_bin:
+            ends = [0, *[upto[f"c{k}_{b}"] for b in range(1, k + 1)]]
+            if min(hi - lo for lo, hi in zip(ends, ends[1:])) >= min_per_bin:
                 return df.withColumn(out, _bin_of(v, choices[k]))
     raise ValueError("no number of bins leaves enough rows in every bin")
 

@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenfunnel.operators.dedupe import first_per_key
 from screenfunnel.operators.order import number_rows
 from screenfunnel.sources import text_records as tr
 
@@ -43,8 +42,9 @@ def number_sdf(parsed: DataFrame, prefix: str, id_prop: str = "Catalog_ID", orde
     named = parsed.filter(F.col(id_prop).isNotNull())
     if named.limit(1).isEmpty():
         raise ValueError("no usable record found")
-    kept = first_per_key(named, [id_prop], [F.col(order)])
-    numbered = number_rows(kept, order, out="_no")
+    # Only ids and record numbers are grouped; the texts are joined back by record number.
+    first = named.groupBy(id_prop).agg(F.min(order).alias(order)).select(order)
+    numbered = named.join(number_rows(first, order, out="_no"), order)
     rest = [c for c in parsed.columns if c not in (order, "ID")]
     return numbered.select(F.concat(F.lit(prefix), F.col("_no").cast("string")).alias("ID"), *rest)
 

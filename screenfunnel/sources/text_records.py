@@ -37,34 +37,38 @@ def sdf_property(text: str, name: str) -> Column:
     return F.when(has, found)
 
 
+# An atom line of a mol block: three coordinates and the symbol, or the newer numbered form.
+_ATOM_LINE = r"(?m)^(?:(?:[ \t]*-?\d+\.\d+){3}|M  V30 \d+) %s(?![A-Za-z])"
+
+
 def parse_sdf(records: DataFrame, text: str = "value", properties: Sequence[str] = SDF_PROPERTIES) -> DataFrame:
-    """Mol block, atom counts and properties per record; records without a counts line (the fourth)
-    are dropped.
+    """Mol block, atom counts and properties per record. Records are dropped if their fourth line
+    is no counts line, or announces another number of atoms than there are.
 
     CAtm, HetAtm (neither C nor H), HvyAtm and Atoms (explicit hydrogens not counted).
     """
-    # A record starts right behind the separator line of the one before.
-    lines = _lines(text)
-    count_line = F.get(lines, F.lit(3))
-    n_atoms = F.trim(F.substring(count_line, 1, 3)).try_cast("int")
-    rows = records.withColumn("_lines", lines).filter(
-        F.coalesce(count_line.rlike("V[23]000"), F.lit(False)) & n_atoms.isNotNull()
-    )
-    atoms = F.slice(F.col("_lines"), F.lit(5), F.greatest(n_atoms, F.lit(0)))
-    symbols = F.transform(atoms, lambda line: F.trim(F.substring(line, 32, 3)))
-    rows = rows.withColumn("_symbols", symbols)
+    block = F.regexp_extract(F.col(text), r"(?s)^(.*?\nM  END)", 1)
+    counts = F.regexp_extract(F.col(text), r"^[^\n]*\n[^\n]*\n[^\n]*\n([^\n]*V[23]000)", 1)
+    # The generator keeps the optimiser from evaluating the block once per use.
+    rows = records.filter(F.col(text).contains("M  END")).select("*", F.explode(F.array(block)).alias("mol_block"))
 
-    def tally(keep) -> Column:
-        return F.size(F.filter("_symbols", keep))
+    def tally(symbol: str) -> Column:
+        return F.regexp_count("mol_block", F.lit(_ATOM_LINE % symbol))
 
-    return rows.select(
+    rows = rows.withColumns(
+        {"_counts": counts, "_all": tally("[A-Za-z*#]+"), "_c": tally("C"), "_h": tally("H")}
+    )
+    announced = F.trim(F.substring("_counts", 1, 3)).try_cast("int")
+    parsed = F.col("_counts").contains("V3000") | (announced == F.col("_all"))
+    heavy = F.col("_all") - F.col("_h")
+    return rows.filter((F.col("_counts") != "") & F.coalesce(parsed, F.lit(False))).select(
         *[c for c in records.columns if c != text],
         *[sdf_property(text, p).alias(p) for p in properties],
-        F.regexp_extract(F.col(text), r"(?s)^(.*?M  END)", 1).alias("mol_block"),
-        tally(lambda s: s == "C").alias("CAtm"),
-        tally(lambda s: ~s.isin("C", "H")).alias("HetAtm"),
-        tally(lambda s: s != "H").alias("HvyAtm"),
-        tally(lambda s: s != "H").alias("Atoms"),
+        "mol_block",
+        F.col("_c").alias("CAtm"),
+        (heavy - F.col("_c")).alias("HetAtm"),
+        heavy.alias("HvyAtm"),
+        heavy.alias("Atoms"),
     )
 
 
@@ -86,50 +90,44 @@ def explode_offers(responses: DataFrame) -> DataFrame:
     )
 
 
+# Everything from the first separator line on.
+_AFTER_SEPARATOR = r"(?s)(?:^|\n)[ \t]*(?:-----|Refine)[^\n]*(\n.*)$"
+# A pose line: one whole number and three numbers, bars counting as blanks, maybe more behind. Lines
+# that name the columns are no poses.
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_POSE_LINE = (
+    r"(?im)^(?![^\n]*(?:mode|affinity))[ \t|]*[+-]?\d+"
+    rf"(?:[ \t|]+{_NUMBER}){{3}}(?=[ \t|\r]|$)"
+)
+
+
+def _pose_lines(text: str) -> Column:
+    return F.regexp_extract_all(F.regexp_extract(F.col(text), _AFTER_SEPARATOR, 1), F.lit(_POSE_LINE), F.lit(0))
+
+
 def parse_dock_logs(logs: DataFrame, stem: str = "stem", text: str = "value") -> DataFrame:
     """Poses per log: ligand_id, receptor_id, pose_no (order in the log), rank, score, rmsd_lb,
-    rmsd_ub. Only lines behind the first separator count; bars are blanks; lines that do not read
-    as one whole number and three numbers are skipped."""
-    lines = F.transform(_lines(text), lambda x: F.trim(x))
-    marks = F.transform("_lines", lambda x: x.startswith("-----") | x.startswith("Refine"))
-    start = F.array_position(marks, True)
-    rest = F.when(start > 0, F.slice("_lines", start.cast("int") + 1, F.size("_lines"))).otherwise(
-        F.array().cast("array<string>")
-    )
-    body = F.filter(
-        rest,
-        lambda x: ~x.startswith("-----") & ~x.startswith("Refine") & ~F.lower(x).rlike("mode|affinity"),
-    )
-
-    def pose(x: Column) -> Column:
-        part = F.split(F.trim(F.translate(x, "|", " ")), r"\s+")
-        whole = F.get(part, F.lit(0))
-        return F.struct(
-            F.when(whole.rlike(r"^[+-]?\d+$"), whole.try_cast("int")).alias("rank"),
-            F.get(part, F.lit(1)).try_cast("double").alias("score"),
-            F.get(part, F.lit(2)).try_cast("double").alias("rmsd_lb"),
-            F.get(part, F.lit(3)).try_cast("double").alias("rmsd_ub"),
-        )
-
-    poses = F.filter(
-        F.transform(body, pose),
-        lambda p: p.rank.isNotNull() & p.score.isNotNull() & p.rmsd_lb.isNotNull() & p.rmsd_ub.isNotNull(),
-    )
+    rmsd_ub. Only lines behind the first separator count."""
     ligand, receptor = stem_parts(stem)
-    return (
-        logs.filter(F.col(stem).contains("_"))
-        .withColumn("_lines", lines)
-        .select(ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.posexplode(poses).alias("pos", "pose"))
-        .select("ligand_id", "receptor_id", (F.col("pos") + 1).alias("pose_no"), "pose.*")
+    lines = logs.filter(F.col(stem).contains("_")).select(
+        ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.posexplode(_pose_lines(text)).alias("pos", "line")
+    )
+    part = F.split(F.trim(F.translate("line", "|", " ")), r"\s+")
+    return lines.select(
+        "ligand_id",
+        "receptor_id",
+        (F.col("pos") + 1).alias("pose_no"),
+        F.get(part, F.lit(0)).try_cast("int").alias("rank"),
+        *[F.get(part, F.lit(i)).try_cast("double").alias(c) for i, c in ((1, "score"), (2, "rmsd_lb"), (3, "rmsd_ub"))],
     )
 
 
 def log_summary(logs: DataFrame, stem: str = "stem", text: str = "value") -> DataFrame:
     """One row per log with its number of poses, 0 included."""
     ligand, receptor = stem_parts(stem)
-    all_logs = logs.filter(F.col(stem).contains("_")).select(ligand.alias("ligand_id"), receptor.alias("receptor_id"))
-    counts = parse_dock_logs(logs, stem, text).groupBy("ligand_id", "receptor_id").agg(F.count("*").alias("n_poses"))
-    return all_logs.join(counts, ["ligand_id", "receptor_id"], "left").fillna(0, ["n_poses"])
+    return logs.filter(F.col(stem).contains("_")).select(
+        ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.size(_pose_lines(text)).alias("n_poses")
+    )
 
 
 def pose_file_summary(files: DataFrame, stem: str = "stem", text: str = "value") -> DataFrame:
