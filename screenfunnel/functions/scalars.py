@@ -23,6 +23,16 @@ def number(c: str | Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def is_number(c: str | Column) -> Column:
+    """Neither missing nor NaN, in a form that can be pushed to the scan: NaN sorts above infinity."""
+    return col(c) <= F.lit(float("inf"))
+
+
+def above(c: str | Column, bound: float) -> Column:
+    """c > bound, which NaN is not; both halves can be pushed to the scan."""
+    return (col(c) > F.lit(bound)) & is_number(c)
+
+
 def holds(cond: Column) -> Column:
     """A condition in which "unknown" counts as "no"."""
     return F.coalesce(cond, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenfunnel.functions.scalars import holds, number, selectivity
+from screenfunnel.functions.scalars import number, selectivity
 from screenfunnel.operators.dedupe import cheapest_per_key, first_nonblank_per_key, most_complete_per_key
 from screenfunnel.operators.order import group_quantiles
 
@@ -47,9 +47,7 @@ def assay_filter(
     wanted = sorted({x.strip().lower() for x in labels})
     return (
         df.filter(
-            holds(F.col(units).rlike(f"(?i){unit_pattern}"))
-            & holds(related)
-            & holds(F.lower(F.trim(F.col(label))).isin(*wanted))
+            F.col(units).rlike(f"(?i){unit_pattern}") & related & F.lower(F.trim(F.col(label))).isin(*wanted)
         )
         .withColumn(value, number(value))
         .filter(F.col(value).isNotNull())

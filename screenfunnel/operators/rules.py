@@ -8,13 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from screenfunnel.functions.scalars import fixed, holds, insert_after, keep_existing, number, require_columns
+from screenfunnel.functions.scalars import above, fixed, holds, insert_after, keep_existing, number, require_columns
 
-OPS: dict[str, Callable[[Column, Column], Column]] = {
-    ">": lambda v, b: v > b,
-    "<": lambda v, b: v < b,
-    "<=": lambda v, b: v <= b,
+# NaN is never beyond a limit; Spark sorts it above all numbers, so only ">" has to care.
+OPS: dict[str, Callable[[Column, float], Column]] = {
+    ">": lambda v, b: above(v, b),
+    "<": lambda v, b: v < F.lit(b),
+    "<=": lambda v, b: v <= F.lit(b),
 }
 
 
@@ -29,7 +31,8 @@ class Limit:
     name: str | None = None
 
     def fails(self) -> Column:
-        return holds(OPS[self.op](number(self.column), F.lit(self.bound)))
+        """Null for a missing value."""
+        return OPS[self.op](F.col(self.column), self.bound)
 
     def label(self) -> Column:
         shown = F.col(self.column).cast("string") if self.digits is None else fixed(self.column, self.digits)
@@ -47,15 +50,20 @@ def rejection_reason(limits: Sequence[Limit]) -> Column:
 def range_filter(
     df: DataFrame, limits: Sequence[Limit], out: str = "Rejection", rejected_columns: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with its reasons). Both are plain filters over one scan, no shuffle."""
+    """(accepted, rejected with its reasons). Both are plain filters over one scan, no shuffle.
+
+    Limits on text columns read them as numbers.
+    """
     require_columns(df, [x.column for x in limits], "range_filter")
     if not limits:
         return df, df.withColumn(out, F.lit("")).filter(F.lit(False))
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name in {x.column for x in limits}]
+    df = df.withColumns({c: number(c) for c in texts}) if texts else df
     failed = reduce(lambda a, b: a | b, [x.fails() for x in limits])
     rejected = df.filter(failed).withColumn(out, rejection_reason(limits))
     if rejected_columns is not None:
         rejected = keep_existing(rejected, [*rejected_columns, out])
-    return df.filter(~failed), rejected
+    return df.filter(~holds(failed)), rejected
 
 
 def derive_limits(
@@ -143,7 +151,7 @@ def class_filter(df: DataFrame, column: str, in_class: Callable[[Column], Column
 
 
 def valid_price(df: DataFrame, price: str = "PriceG") -> DataFrame:
-    return df.filter(holds(number(price) > 0))
+    return df.filter(above(price, 0.0))
 
 
 def ensure_columns(df: DataFrame, calculators: dict[str, Column]) -> DataFrame:
