@@ -110,7 +110,9 @@ def fit_activity_models(
     )
     as_label = F.col("active_COX2").cast("double")
     model = regressor("pIC50_COX2", "pIC50_COX2_pred").fit(train)
-    model_class = classifier.fit(train.withColumn("_label", as_label))
+    # The copy leaves out the training summary, which holds the session: a model that carries it
+    # cannot be sent to the executors once the session has been used for observations.
+    model_class = classifier.fit(train.withColumn("_label", as_label)).copy()
     model_off = regressor("pIC50_COX1", "pIC50_COX1_pred").fit(off)
     tested = model_class.transform(model.transform(test).drop("features"))
     metrics = {

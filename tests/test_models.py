@@ -86,7 +86,9 @@ def test_targets(assays):
 
 
 def test_fit_score_save_load(spark, assays, tmp_path):
+    profile.observed(spark.range(1), {"any": F.col("id") >= 0}, "before")[0].count()
     fitted = models.fit_activity_models(models.add_targets(assays), ("a", "b", "c"), trees=8, depth=6)
+    assert not fitted.target_class.stages[-1].hasSummary
     assert fitted.metrics["r2"] > 0.5 and fitted.metrics["accuracy"] > 0.8
     scored = models.score_activity(assays, fitted).cache()
     assert scored.count() == 241  # the row without a descriptor is dropped
