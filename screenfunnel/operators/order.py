@@ -114,6 +114,14 @@ def number_rows(
     return running_sum(df, value, 1, keys, ties, out)
 
 
+def prefix_ids(df: DataFrame, order: str, prefix: str, out: str = "ID") -> DataFrame:
+    """``A1, A2 …`` in the order of a unique numeric column."""
+    if not prefix.isalpha():
+        raise ValueError("the prefix must be letters only, such as 'A'")
+    numbered = number_rows(df, order, out="_no")
+    return numbered.withColumn(out, F.concat(F.lit(prefix), F.col("_no").cast("string"))).drop("_no")
+
+
 def value_ranks(df: DataFrame, value: str, edges: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows hold it, ``below`` rows are smaller."""
     present = df.select(value).filter(F.col(value).isNotNull())

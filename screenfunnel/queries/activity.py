@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from screenfunnel.functions import scalars as fn
 from screenfunnel.operators import assays, models, stats
+from screenfunnel.operators.order import group_quantiles
 from screenfunnel.operators.profile import distinct_counts
 from screenfunnel.operators.stats import Desirability
 from screenfunnel.plans.prioritise import shortlist
@@ -197,13 +199,30 @@ def scaled_distance_ad(spark: SparkSession, sf: str) -> DataFrame:
               floor((median(l_extendedprice)) * 1e4 + 0.5001) / 1e4 AS med FROM lineitem GROUP BY l_suppkey""",
 )
 def group_quantile(spark: SparkSession, sf: str) -> DataFrame:
-    from screenfunnel.operators.order import group_quantiles
-
     li = table(spark, sf, "lineitem", "l_suppkey", "l_extendedprice")
     found = group_quantiles(li, ["l_suppkey"], "l_extendedprice", {"q95": 0.95, "med": 0.5})
     return found.select("l_suppkey", "n", settle("q95", 4).alias("q95"), settle("med", 4).alias("med"))
 
 
+@query(
+    "quantile_cutoff",
+    "SELECT count(*) AS n, floor((quantile_cont(l_extendedprice, 0.95)) * 1e4 + 0.5001) / 1e4 AS cut FROM lineitem",
+)
+def quantile_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    found = group_quantiles(table(spark, sf, "lineitem", "l_extendedprice"), [], "l_extendedprice", {"cut": 0.95})
+    return found.select("n", settle("cut", 4).alias("cut"))
+
+
+@query(
+    "array_distance",
+    """SELECT vec_id, floor((list_distance(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[])) * 1e6 + 0.5001) / 1e6 AS d
+       FROM embeddings""",
+)
+def array_distance(spark: SparkSession, sf: str) -> DataFrame:
+    halves = [F.slice("embedding", at, 32).cast("array<double>") for at in (1, 33)]
+    return table(spark, sf, "embeddings").select("vec_id", settle(fn.array_distance(*halves), 6).alias("d"))
+
+
 # The widest candidate that leaves at least 2 rows per bin, found over 2 … 10 bins.
 BINS_SQL = """
     span AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
@@ -225,8 +244,9 @@ BINS_SQL = """
 def stratify_bins(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem", "l_orderkey", "l_extendedprice")
     binned = stats.stratify_bins(li, "l_extendedprice")
+    # Every bin is filled, so the number of bins is the number of groups (ten at most).
     counts = binned.groupBy("stratum").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(binned.agg(F.max("stratum").cast("long").alias("n_bins"))))
+    return counts.withColumn("n_bins", F.count("*").over(W.partitionBy()))
 
 
 @query(

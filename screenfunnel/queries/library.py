@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.functions import scalars as fn
-from screenfunnel.operators import dedupe, offers, pairing, rules, screen
+from screenfunnel.operators import dedupe, offers, order, pairing, rules, screen
 from screenfunnel.operators.profile import stage_counters
 from screenfunnel.operators.rules import Limit
 from screenfunnel.operators.screen import Alert
+from screenfunnel.plans.library import LibraryPlan, run_library
 from screenfunnel.queries.base import query, settle, table
+from screenfunnel.session import scratch_path
 
 # --- offers -----------------------------------------------------------------------------------
 
@@ -186,6 +188,58 @@ def library_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("ID", "SMILES", settle("PriceMol", 4).alias("PriceMol"), "Rejection")
 
 
+ROUTE_SQL = """
+    WITH a AS (SELECT 'A' || p_partkey AS id, p_type || '/' || p_brand AS txt, p_retailprice AS price FROM part),
+    c AS (SELECT 'C' || s_suppkey AS id, s_name AS txt, s_acctbal AS price FROM supplier WHERE s_acctbal > 0),
+    n AS (SELECT 'N' || c_custkey AS id, c_mktsegment AS txt, c_acctbal AS price FROM customer WHERE c_acctbal > 0),
+    ox AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY price, id) AS rn FROM (
+             SELECT a.id || c.id AS id, a.txt || '.' || c.txt AS txt, a.price + c.price AS price
+             FROM a JOIN c ON a.price + c.price <= 1200)) WHERE rn = 1 AND price <= 1150),
+    im AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY price, id) AS rn FROM (
+             SELECT ox.id || n.id AS id, ox.txt || '-' || n.txt AS txt, ox.price + n.price AS price
+             FROM ox JOIN n ON n.price <= 1200 - ox.price)) WHERE rn = 1),
+    th AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY price, id) AS rn FROM (
+             SELECT id || 'S' AS id, txt || '=S' AS txt, price + 10 AS price FROM ox WHERE price + 10 <= 1200)) WHERE rn = 1),
+    products AS (SELECT 'imidazolones' AS family, id, txt, price FROM im UNION ALL SELECT 'thiazolones', id, txt, price FROM th)
+    SELECT family, id AS "ID", txt AS "SMILES", floor((price) * 1e4 + 0.5001) / 1e4 AS "PriceMol"
+    FROM products WHERE price <= 1190 AND NOT regexp_matches(txt, 'Brand#1/') AND NOT regexp_matches(txt, 'ECONOMY.*7')
+"""
+
+
+@query("three_step_route", ROUTE_SQL)
+def three_step_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with suppliers, the cheapest of each product with customers and with a reagent."""
+
+    def blocks(name: str, letter: str, key: str, text, price: str) -> DataFrame:
+        priced = rules.valid_price(table(spark, sf, name), price)
+        return priced.select(F.concat(F.lit(letter), key).alias("ID"), text.alias("SMILES"), F.col(price).alias("PriceMol"))
+
+    def joined(mark: str):
+        return lambda x, y: F.array(F.concat(x, F.lit(mark), y))
+
+    plan = LibraryPlan(
+        condensation=joined("."),
+        aminolysis=joined("-"),
+        sulphur_exchange=lambda x: F.array(F.concat(x, F.lit("=S"))),
+        describe=lambda df: df,
+        cap=1200.0,
+        oxazolone_limits=[Limit("PriceMol", ">", 1150.0, 2)],
+        product_limits=[Limit("PriceMol", ">", 1190.0, 2)],
+        catalogue=[Alert(1, "First", "brand", "Brand#1/"), Alert(2, "Second(a)", "seven", "ECONOMY.*7")],
+    )
+    out = run_library(
+        plan,
+        blocks("part", "A", "p_partkey", F.concat_ws("/", "p_type", "p_brand"), "p_retailprice"),
+        blocks("supplier", "C", "s_suppkey", F.col("s_name"), "s_acctbal"),
+        blocks("customer", "N", "c_custkey", F.col("c_mktsegment"), "c_acctbal"),
+        scratch_path(spark, "route"),
+    )
+    columns = ["ID", "SMILES", settle("PriceMol", 4).alias("PriceMol")]
+    return out["imidazolones"].select(F.lit("imidazolones").alias("family"), *columns).unionByName(
+        out["thiazolones"].select(F.lit("thiazolones").alias("family"), *columns)
+    )
+
+
 # --- one row per key --------------------------------------------------------------------------
 
 
@@ -251,6 +305,11 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.unique_names(rows, "role", "conv_id", "turn").select("conv_id", "turn", "unique_id")
 
 
+@query("prefix_ids", """SELECT p_partkey, 'A' || row_number() OVER (ORDER BY p_partkey) AS "ID" FROM part""")
+def prefix_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return order.prefix_ids(table(spark, sf, "part", "p_partkey"), "p_partkey", "A")
+
+
 # --- rules ------------------------------------------------------------------------------------
 
 LINE_LIMITS = [

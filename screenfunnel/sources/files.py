@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenfunnel.operators.order import number_rows
+from screenfunnel.operators.order import prefix_ids
 from screenfunnel.sources import text_records as tr
 
 
@@ -39,14 +39,12 @@ def number_sdf(parsed: DataFrame, prefix: str, id_prop: str = "Catalog_ID", orde
     """First record per id, numbered ``A1, A2 …`` in record order."""
     if not re.fullmatch("[A-Za-z]+", prefix):
         raise ValueError("the prefix must be letters only, such as 'A'")
-    named = parsed.filter(F.col(id_prop).isNotNull())
+    named = parsed.drop("ID").filter(F.col(id_prop).isNotNull())
     if named.limit(1).isEmpty():
         raise ValueError("no usable record found")
     # Only ids and record numbers are grouped; the texts are joined back by record number.
     first = named.groupBy(id_prop).agg(F.min(order).alias(order)).select(order)
-    numbered = named.join(number_rows(first, order, out="_no"), order)
-    rest = [c for c in parsed.columns if c not in (order, "ID")]
-    return numbered.select(F.concat(F.lit(prefix), F.col("_no").cast("string")).alias("ID"), *rest)
+    return named.join(prefix_ids(first, order, prefix), order).select("ID", *named.drop(order).columns)
 
 
 def scan_offers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
