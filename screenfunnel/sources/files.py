@@ -80,7 +80,7 @@ def scan_assays(spark: SparkSession, path: str) -> DataFrame:
     if len({tuple(names(h.value)) for h in headers}) == 1:
         return read(names(headers[0].value), path)
     known = {f for h in headers for f in h.files}
-    bare = [f for f in lines.select("_metadata.file_path").distinct().toPandas()["file_path"] if f not in known]
+    bare = [r.file_path for r in lines.select("_metadata.file_path").distinct().collect() if r.file_path not in known]
     parts = [read(names(h.value), list(h.files)) for h in headers]
     if bare:
         parts.append(read(names(headers[0].value), bare))
