@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenfunnel.llm import quality, sql
+from screenfunnel.llm import exact, mixing, quality, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -23,3 +23,18 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted.withColumn("row", F.struct("row.doc_id")).write.parquet(path)
     counted = spark.read.parquet(path)
     return quality.verdicts(counted, rules, quality.language_references(counted, rules)).select("doc_id", "quality.*")
+
+
+@query("op3_exact_dedup", sql.EXACT)
+def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_source_mixing", sql.MIXING)
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # without texts the sized rows are small: stored once, they serve the plan and the result
+    path = scratch_path(spark, "sizes")
+    mixing.sized_rows(table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumn("row", F.struct("row.doc_id")).write.parquet(path)
+    sized = spark.read.parquet(path)
+    taken = mixing.take(sized, mixing.mixing_plan(sized.drop("row")))
+    return taken.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

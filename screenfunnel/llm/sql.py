@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from screenfunnel.llm.mixing import CAP, WEIGHTS
 from screenfunnel.llm.quality import QualityRules
 
 
@@ -48,4 +49,40 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AND coalesce(wjs, 0) <= {rules.max_word_distance} AS kept FROM v"""
 
 
+def exact_sql(docs: str = "documents") -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, row_number() OVER () AS r,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS s FROM {docs}),
+f AS (SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(r) OVER w AS keep_row, count(*) OVER (PARTITION BY s) AS k
+    FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, k AS group_size, r = keep_row AS kept, sha256(s) AS text_sha256 FROM f"""
+
+
+def mixing_sql(docs: str = "documents", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> str:
+    weight = f"[{', '.join(str(float(x)) for x in weights)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1]"
+    key = f"md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, '')))"
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (('0x' || substr({key}, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM {docs}),
+s AS (SELECT source, sum(size)::DOUBLE AS n, {weight} AS w FROM d GROUP BY source),
+l AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum({cap} * n) OVER (ORDER BY {cap} * n / w, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY {cap} * n / w, source NULLS LAST
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM s),
+t AS (SELECT source, n, least({cap} * n, w * (SELECT max(water) FROM l)) AS target FROM l),
+e AS (SELECT d.*, t.n, t.target, CASE WHEN t.n > 0 THEN least(t.target / t.n, {cap}.0) ELSE 0 END AS e
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, floor(e) AS c, e - floor(e) AS p FROM e),
+q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM c),
+r AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) AS upto,
+    target - sum(c * size) OVER (PARTITION BY source) AS lack FROM q),
+x AS (SELECT *, coalesce(max(CASE WHEN q IS NOT NULL AND upto <= lack THEN q END) OVER (PARTITION BY source), -1) AS q_cut,
+    lack - coalesce(max(CASE WHEN q IS NOT NULL AND upto <= lack THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM r),
+f AS (SELECT source, min((abs(size - gap), u)) AS f FROM x WHERE q > q_cut AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target, (CASE WHEN size > 0 THEN
+    c + coalesce(q <= q_cut, false)::INT + coalesce(u = f.f[2], false)::INT ELSE 0 END * size)::BIGINT AS taken
+FROM x LEFT JOIN f ON x.source IS NOT DISTINCT FROM f.source"""
+
+
 QUALITY = quality_sql(QualityRules())
+EXACT = exact_sql()
+MIXING = mixing_sql()
