@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenfunnel.llm import exact, mixing, quality, sql
+from screenfunnel.llm import exact, minhash, mixing, quality, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -38,3 +38,8 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = spark.read.parquet(path)
     taken = mixing.take(sized, mixing.mixing_plan(sized.drop("row")))
     return taken.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op2_minhash_neardup", sql.NEAR)
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.NearDup(words=2))
