@@ -1,2 +1,59 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: good documents, exact dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from screenfunnel.llm.exact import keep_first_copies
+from screenfunnel.llm.minhash import keep_one_of_each
+from screenfunnel.llm.mixing import mixture
+from screenfunnel.llm.packing import pack
+from screenfunnel.llm.quality import keep_good
+from screenfunnel.session import scratch_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words and a similarity of 0.8."""
+    return keep_one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixture(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids, not documents."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Signatures and tokens are not SQL; the pipeline is tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name.replace(" ", "_"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenfunnel.llm.common import free_name
 from screenfunnel.llm.graph import connected_components
 from screenfunnel.session import scratch_path
 
@@ -188,8 +189,8 @@ def near_duplicates(df: DataFrame, spec: NearDup | None = None, text: str = "tex
     """One row per row of ``df``: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     * Null, empty and blank texts have no shingles and are linked with nothing: their component is their own id.
-    * Repeated rows and equal texts are linked. ``kept`` is doc_id = component_id; rows with a null id are kept only if no
-      other row of the component has an id. An empty table gives no rows; other columns play no part.
+    * Repeated rows and equal texts are linked. ``kept`` is doc_id = component_id, null like null; a component
+      of null ids only has a null component_id. An empty table gives no rows; other columns play no part.
     """
     spec = spec or NearDup()
     rows, component = near_duplicate_classes(df, spec, text, doc_id)
@@ -239,15 +240,15 @@ def near_duplicate_classes(df: DataFrame, spec: NearDup, text: str, doc_id: str)
 def keep_one_of_each(df: DataFrame, spec: NearDup | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that ``near_duplicates`` keeps, with its columns: the smallest id of each component.
 
-    Repeated rows of that id are one row of it. Dropped ids are sent to the rows up to ``SENT_IDS``, so that texts need not
-    be shuffled, and joined by a shuffle beyond. Rows with a null id are judged by their own set: the first one stays if no
-    row of the component has an id.
+    Rows are named by their ids: rows that share an id go if one of them goes, and rows with a null id stay. Dropped ids are
+    sent to the rows up to ``SENT_IDS``, so that texts need not be shuffled, and joined by a shuffle beyond.
     """
     spec = spec or NearDup()
     rows, component = near_duplicate_classes(df, spec, text, doc_id)
+    name = free_name(df, "gone")
     judged = rows.join(component, "key", "left")
-    gone = judged.where(F.col("key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    gone = judged.where("key is not null and doc_id != component_id").select(F.col("doc_id").alias(name))
     gone = _stored(gone.distinct(), "gone")
-    id_ = F.col(f"`{doc_id}`").cast("long")
+    id_ = df[f"`{doc_id}`"].cast("long")
     few = gone.count() <= SENT_IDS
-    return df.join(F.broadcast(gone) if few else gone, id_.eqNullSafe(F.col("gone")), "left_anti")
+    return df.join(F.broadcast(gone) if few else gone, id_ == gone[name], "left_anti")

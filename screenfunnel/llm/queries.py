@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenfunnel.llm import exact, minhash, mixing, quality, sql
+import corpus_pipeline
+from screenfunnel.llm import exact, minhash, mixing, packing, quality, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -43,3 +44,13 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_neardup", sql.NEAR)
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.NearDup(words=2))
+
+
+@query("op6_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
