@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import exact, minhash, mixing, packing, quality, sql
+from screenfunnel.llm import exact, minhash, mixing, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -46,6 +46,11 @@ def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.NearDup(words=2))
 
 
+@query("op5_secret_scan")
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 @query("op6_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
