@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import exact, minhash, mixing, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, minhash, mixing, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -59,3 +59,8 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op10_training_order")
+def binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.materialise(table(spark, sf_dir, "documents", "text"), scratch_path(spark, "shards"))
