@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import binary, exact, minhash, mixing, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, htmltext, langid, minhash, mixing, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -14,6 +14,12 @@ from screenfunnel.session import scratch_path
 __all__ = ["REGISTRY"]
 
 
+@query("op1_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.identify_languages(docs, langid.fit_language_model(docs))
+
+
 @query("op9_quality_rules", sql.QUALITY)
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.QualityRules()
@@ -61,6 +67,11 @@ def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+@query("op7_html_main_text")
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query("op10_training_order")
 def binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.materialise(table(spark, sf_dir, "documents", "text"), scratch_path(spark, "shards"))
