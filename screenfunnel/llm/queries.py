@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import binary, exact, htmltext, langid, minhash, mixing, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, htmltext, langid, licenses, minhash, mixing, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -75,3 +75,8 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_training_order")
 def binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.materialise(table(spark, sf_dir, "documents", "text"), scratch_path(spark, "shards"))
+
+
+@query("op8_license_scan")
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text")))
