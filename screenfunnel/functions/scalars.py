@@ -18,9 +18,14 @@ def col(c: str | Column) -> Column:
 
 
 def number(c: str | Column) -> Column:
-    """Numeric coercion: text that is no number, and NaN, become null."""
+    """Numeric coercion: text that is no number, and NaN, become null.
+
+    The cast alone would read a type letter after the digits, as in ``1d``, as part of a number. For
+    columns that are no text the test on the type is folded away.
+    """
     v = col(c).try_cast("double")
-    return F.when(~F.isnan(v), v)
+    lettered = (F.typeof(col(c)) == "string") & col(c).cast("string").rlike(r"[0-9.][dDfF]\s*$")
+    return F.when(~F.isnan(v) & ~lettered, v)
 
 
 def is_number(c: str | Column) -> Column:

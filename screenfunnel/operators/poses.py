@@ -55,11 +55,22 @@ def best_pose(df: DataFrame, keys: Sequence[str], score: str, rank: str) -> Data
 
 
 def pivot_scores(
-    df: DataFrame, key: str, label: str, value: str, labels: Sequence[str], how: str = "min", prefix: str = "score_"
+    df: DataFrame,
+    key: str,
+    label: str,
+    value: str,
+    labels: Sequence[str],
+    how: str = "min",
+    prefix: str = "score_",
+    order: str | None = None,
 ) -> DataFrame:
-    """One column per label with the min, max or first value. Without any row for a label the
-    result is empty, as later steps need every label."""
-    agg = {"min": F.min, "max": F.max, "first": F.first}[how]
+    """One column per label with the min or max value, or the first one by ``order`` (the least
+    value of equals). Without any row for a label the result is empty, as later steps need every
+    label."""
+    if how == "first" and order is None:
+        raise ValueError("the first value needs an order column")
+    by = F.struct(F.col(order).isNull(), F.col(order), value) if order else None
+    agg = {"min": F.min, "max": F.max, "first": lambda v: F.min_by(v, by)}[how]
     wide = df.groupBy(key).pivot(label, list(labels)).agg(agg(value))
     wide = wide.select(key, *[F.col(x).alias(f"{prefix}{x.lower()}") for x in labels])
     present = df.select(F.col(label).alias("_label")).filter(F.col(label).isin(*labels)).distinct().count()

@@ -102,14 +102,15 @@ def winnow(
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): the best rows by score, best share or at least ``minimum``.
 
-    The cut is found first as a (score, id) pair; both results are then plain filters, so no row
+    Ties go by id, null ids last; rows equal in both stand or fall together. The cut is found first
+    as a (score, id) pair; both results are then plain filters, so no row
     is sorted or moved to be kept. Pass a stored table: it is read once to count, once to cut.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be between 0 and 1")
     if minimum <= 0:
         raise ValueError("minimum must be greater than 0")
-    keys = [F.coalesce(-number(score), F.lit(INF)), F.col(id_col)]
+    keys = [F.coalesce(-number(score), F.lit(INF)), *_id_keys(df, id_col)]
     keep = keep_count(df.count(), rate, minimum)
     cut = order_cutoff(df, keys, keep)
     if cut is None:
@@ -146,7 +147,7 @@ def budget_cascade(
         over = holds(amount > max_price)
         if strict_missing:
             over = over | amount.isNull()
-    keys = [F.coalesce(amount, F.lit(INF)), F.col(id_col)]
+    keys = [F.coalesce(amount, F.lit(INF)), *_id_keys(df, id_col)]
     survivors = df.filter(~over)
     n = survivors.count()
 
@@ -164,6 +165,12 @@ def budget_cascade(
     return tagged.filter(F.col(out).isNull()).drop(out), tagged.filter(F.col(out).isNotNull())
 
 
+def _id_keys(df: DataFrame, id_col: str) -> list:
+    """Order keys of an id that may be null: null ids come last, and no comparison is unknown."""
+    nothing = F.lit("" if dict(df.dtypes)[id_col] == "string" else 0)
+    return [F.col(id_col).isNull().cast("int"), F.coalesce(F.col(id_col), nothing)]
+
+
 def _beyond(df: DataFrame, keys: list, k: int):
     cut = order_cutoff(df, keys, k)
     return F.lit(True) if cut is None else ~up_to(keys, cut)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import number
-from screenfunnel.operators.order import group_quantiles, values_at
+from screenfunnel.operators.order import group_quantiles, null_safe_join, values_at
 
 
 @dataclass(frozen=True)
@@ -123,16 +123,15 @@ def stratified_split(
     df: DataFrame, stratum: str, id_col: str, share: float = 0.2, seed: int = 42, out: str = "is_test"
 ) -> DataFrame:
     """Flag ``share`` of every stratum (rounded to whole rows) as test rows, by a hash of id and
-    seed. The cut is looked up per stratum; the rows themselves are not sorted or moved.
-
-    Strata are the bins of :func:`stratify_bins`, a handful, hence the broadcast of the cuts.
+    seed. The cut is looked up per stratum, a missing one being a stratum like any other; the rows
+    themselves are not sorted.
     """
     token = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))), 256), 1, 12), 16, 10)
     rows = df.withColumn("_hash", token.cast("long"))
     cuts = values_at(
         rows, [stratum], "_hash", {"_cut": lambda n: F.floor(n * F.lit(share) + 0.5) - 1}, ties=[id_col]
     ).select(stratum, F.col("_cut"))
-    joined = rows.join(F.broadcast(cuts), stratum, "left")
+    joined = null_safe_join(rows, cuts, [stratum], "left")
     taken = F.struct(F.col("_hash"), F.col(id_col)) <= F.col("_cut")
     return joined.withColumn(out, F.coalesce(taken, F.lit(False))).drop("_hash", "_cut")
 

@@ -7,7 +7,7 @@ parameters), which also cuts the lineage between the big stages.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from screenfunnel.operators.dedupe import cheapest_per_key
 from screenfunnel.operators.offers import attach_price, best_offer
 from screenfunnel.operators.pairing import condense, map_with_reagent
+from screenfunnel.operators.profile import fingerprint
 from screenfunnel.operators.rules import Limit, range_filter
 from screenfunnel.operators.screen import Alert, alert_screen, regex_match
 from screenfunnel.plans import presets
@@ -53,12 +54,31 @@ def priced_blocks(
     return range_filter(priced, limits, rejected_columns=presets.REJECTED_COLUMNS)
 
 
+def _spelled(value: Any) -> Any:
+    """A plan's values as JSON: functions by their code and what they close over, others by fields."""
+    if callable(value) and hasattr(value, "__code__"):
+        closed = [_spelled(c.cell_contents) for c in value.__closure__ or ()]
+        return [value.__qualname__, value.__code__.co_code.hex(), repr(value.__code__.co_consts), closed]
+    if is_dataclass(value):
+        return {f.name: _spelled(getattr(value, f.name)) for f in fields(value)}
+    if isinstance(value, dict):
+        return {str(k): _spelled(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_spelled(v) for v in value]
+    return value if isinstance(value, (str, int, float, bool, type(None))) else str(value)
+
+
+def _content(df: DataFrame) -> list[str]:
+    return [str(v) for v in fingerprint(df).first()]
+
+
 def run_library(
     plan: LibraryPlan, aldehydes: DataFrame, acids: DataFrame, amines: DataFrame, store: str | None = None
 ) -> dict[str, DataFrame]:
     """Both product families with all intermediate and rejected tables, by name."""
     spark = aldehydes.sparkSession
-    base = {"cap": plan.cap, **plan.params}
+    # A stored stage is only used again if the whole plan and all inputs are the same.
+    base = {} if store is None else {"plan": _spelled(plan), "inputs": [_content(x) for x in (aldehydes, acids, amines)]}
 
     def keep(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         return make() if store is None else materialise(spark, f"{store}/{name}", {**base, "stage": name}, make)

@@ -78,13 +78,13 @@ def assay_median_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "assay_outer_summary",
     """WITH x AS (SELECT user_id, median(value) AS md, avg(value) AS mn FROM events
-                  WHERE event_type = 'click' AND value > 60 GROUP BY user_id),
+                  WHERE event_type = 'click' GROUP BY user_id),
             y AS (SELECT user_id, median(value) AS md, avg(value) AS mn FROM events
-                  WHERE event_type = 'view' AND value > 60 GROUP BY user_id),
+                  WHERE event_type = 'view' GROUP BY user_id),
             tx AS (SELECT user_id, arg_min(props, event_id) AS props FROM events
-                   WHERE event_type = 'click' AND value > 60 AND props <> '' GROUP BY user_id),
+                   WHERE event_type = 'click' AND props <> '' GROUP BY user_id),
             ty AS (SELECT user_id, arg_min(props, event_id) AS props FROM events
-                   WHERE event_type = 'view' AND value > 60 AND props <> '' GROUP BY user_id)
+                   WHERE event_type = 'view' AND props <> '' GROUP BY user_id)
        SELECT coalesce(x.user_id, y.user_id) AS user_id, coalesce(ty.props, tx.props) AS props,
               floor((x.md) * 1e4 + 0.5001) / 1e4 AS click_median, floor((y.md) * 1e4 + 0.5001) / 1e4 AS view_median,
               floor((x.mn) * 1e4 + 0.5001) / 1e4 AS click_mean, floor((y.mn) * 1e4 + 0.5001) / 1e4 AS view_mean
@@ -93,7 +93,7 @@ def assay_median_mean(spark: SparkSession, sf: str) -> DataFrame:
        LEFT JOIN ty ON ty.user_id = coalesce(x.user_id, y.user_id)""",
 )
 def assay_outer_summary(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").filter("value > 60")
+    events = table(spark, sf, "events")
     found = assays.assay_summary(
         events.filter("event_type = 'click'"), events.filter("event_type = 'view'"), "user_id", "value", "props", "event_id",
         ("click", "view"),
@@ -338,9 +338,9 @@ def cluster_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     rows = e.select(
         F.col("vec_id").alias("ID"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(16)],
-        F.get("embedding", F.lit(16)).cast("double").alias("QED"),
-        F.abs(F.get("embedding", F.lit(17))).cast("double").alias("PriceMol"),
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)],
+        F.get("embedding", F.lit(0)).cast("double").alias("QED"),
+        F.abs(F.get("embedding", F.lit(1))).cast("double").alias("PriceMol"),
     ).persist()
-    found = shortlist(rows, k=5, features=[f"f{i}" for i in range(16)])
+    found = shortlist(rows, k=5, features=[f"f{i}" for i in range(64)])
     return found.shortlist.select("ID", "Cluster", "SelectionRank", "Point selected", "CentroidDistance", "QED", "PriceMol")

@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenfunnel.operators.order import prefix_ids
@@ -30,8 +30,17 @@ def scan_sdf(
 ) -> DataFrame:
     """Building blocks of an SDF: ID (prefix and number in record order), the properties, the mol
     block and atom counts. Records that do not parse or lack the id are skipped, the first record
-    of an id counts; no record left is an error. Files are split between tasks at record ends."""
-    records = spark.read.text(path, lineSep="$$$$\n").withColumn("record_no", F.monotonically_increasing_id())
+    of an id counts, in order of file names and places; no record left is an error. Files are split
+    between tasks at record ends; lines may end with or without a carriage return."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    raw = spark.read.text(path, lineSep="$$$$").select("value", block.alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    # Blocks are read in any order; their ranks and the places inside them give the record numbers.
+    ranks = raw.select("_block").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_block")))
+    numbered = raw.join(ranks, "_block").withColumn(
+        "record_no", F.col("_rank").cast("long") * (1 << 33) + F.col("_row") % (1 << 33)
+    )
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "^\n", "")
+    records = numbered.select(text.alias("value"), "record_no")
     return number_sdf(tr.parse_sdf(records, "value", tuple(dict.fromkeys([*properties, id_prop]))), prefix, id_prop)
 
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from screenfunnel.functions.scalars import keep_existing
 
 
+#: Manifest of a stage whose data is being replaced; it matches no parameters.
+UNFINISHED = {"params_hash": None}
+
+
 def params_hash(params: dict[str, Any]) -> str:
     text = json.dumps(params, sort_keys=True, separators=(",", ":"))
     return hashlib.sha256(text.encode()).hexdigest()
@@ -68,12 +72,14 @@ def materialise(
 ) -> DataFrame:
     """A stage's stored output if it was made with the same parameters, else made and stored now.
 
-    The manifest is written last, so a stage that was cut off is made again; reading the stored
-    table also cuts the lineage. The parameter hash is kept on a forced run too.
+    The manifest is voided before the data is overwritten and written last, so a stage that was cut
+    off is made again; reading the stored table also cuts the lineage. The parameter hash is kept
+    on a forced run too.
     """
     wanted = params_hash(params)
     found = None if force else read_manifest(spark, f"{path}/manifest")
     if found is None or found.get("params_hash") != wanted:
+        write_manifest(spark, f"{path}/manifest", UNFINISHED)
         seen = Observation()
         compute().observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/data")
         write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, "rows": int(seen.get["rows"])})
@@ -97,6 +103,7 @@ def materialise_split(
         and (rows_in is None or found["accepted"] + found["rejected"] == rows_in)
     )
     if not usable:
+        write_manifest(spark, f"{path}/manifest", UNFINISHED)
         counts = write_split(*compute(), f"{path}/data")
         write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, **counts})
     return read_split(spark, f"{path}/data")
