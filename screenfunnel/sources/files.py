@@ -39,7 +39,9 @@ def scan_sdf(
     numbered = raw.join(ranks, "_block").withColumn(
         "record_no", F.col("_rank").cast("long") * (1 << 33) + F.col("_row") % (1 << 33)
     )
-    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "^\n", "")
+    # The rest of the last record's end line is dropped; the title line of a record may be empty, and
+    # then only the place of the counts line tells the two apart.
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"^\n(?=(?:[^\n]*\n){3}[^\n]*V[23]000)", "")
     records = numbered.select(text.alias("value"), "record_no")
     return number_sdf(tr.parse_sdf(records, "value", tuple(dict.fromkeys([*properties, id_prop]))), prefix, id_prop)
 

@@ -12,7 +12,7 @@ MOL = "{name}\n  made\n\n  1  0  0  0  0  0  0  0  0  0999 V2000\n    0.0000
 
 def test_sdf_lines_may_end_in_two_ways(spark, tmp_path):
     for name, end, ids in (("z", "\r\n", ["C1", "C2", "C3", "C4", "C5"]), ("a", "\n", ["C6", "C7"])):
-        text = "".join(MOL.format(name=i) for i in ids)
+        text = "".join(MOL.format(name=i) for i in ids).replace(f"{ids[0]}\n  made", "\n  made")
         (tmp_path / f"{name}.sdf").write_bytes(text.replace("\n", end).encode())
     rows = files.scan_sdf(spark, str(tmp_path), "A").orderBy("ID").collect()
     # numbers follow the names of the files, not the order in which they are read
