@@ -221,6 +221,6 @@ def test_library_equals_loops(spark, tmp_path, stored):
 def test_priced_blocks(spark):
     offers = spark.createDataFrame([("E1", 0, 10.0, 2.0), ("E2", 0, 10.0, 2.0)], "code string, pack_no int, price double, price_per_gram double")
     rows = spark.createDataFrame([("A1", "E1", "x", 80.0), ("A2", "E2", "y", 150.0), ("A3", "E3", "z", 1.0)], "ID string, Catalog_ID string, SMILES string, MW double")
-    accepted, rejected = library.priced_blocks(rows, offers, presets.compound_limits(None, None, None, max_price_mol=200.0))
+    accepted, rejected = library.priced_blocks(rows, offers, presets.column_limits({"PriceMol": (None, 200.0)}))
     assert [(r.ID, r.PriceMol) for r in accepted.collect()] == [("A1", 160.0)]
     assert [(r.ID, r.Rejection) for r in rejected.collect()] == [("A2", "PriceMol=300.00>200.0")]

@@ -18,7 +18,7 @@ def test_range_filter_missing_values_pass(spark):
         [("ok", 90.0, 3.0), ("high", 151.25, 3.125), ("nan", NAN, 1.0), ("null", None, 5.005)],
         "ID string, tPSA double, LogP double",
     ).withColumns({"RotB": F.lit(10), "SMILES": F.lit("x"), "PriceMol": F.lit(1.0)})
-    accepted, rejected = rules.range_filter(df, presets.compound_limits(), rejected_columns=presets.REJECTED_COLUMNS)
+    accepted, rejected = rules.range_filter(df, presets.column_limits({"tPSA": (None, 90), "RotB": (None, 10), "LogP": (None, 3)}), rejected_columns=presets.REJECTED_COLUMNS)
     assert {r.ID for r in accepted.collect()} == {"ok", "nan"}
     assert {r.ID: r.Rejection for r in rejected.collect()} == {
         "high": "tPSA=151.2>90; LogP=3.12>3",
@@ -30,16 +30,18 @@ def test_range_filter_missing_values_pass(spark):
 def test_range_filter_bounds(spark):
     """Inclusive, but carbon and heteroatom minima must be exceeded."""
     df = spark.createDataFrame([(5, 2, 200.0), (6, 3, 200.01)], "CAtm int, HetAtm int, PriceMol double")
-    limits = presets.compound_limits(None, None, None, min_CAtm=5, min_HetAtm=2, max_price_mol=200.0)
+    limits = presets.column_limits({"CAtm": (5, None), "HetAtm": (2, None), "PriceMol": (None, 200.0)})
     _, rejected = rules.range_filter(df, limits)
     assert sorted(r.Rejection for r in rejected.collect()) == ["CAtm=5<=5; HetAtm=2<=2", "PriceMol=200.01>200.0"]
 
 
 def test_every_limit_is_reported_in_order():
-    limits = presets.compound_limits(
-        1, 2, 3, min_tPSA=4, max_MWT=5, max_HBD=6, max_HBA=7, min_MR=8, max_MR=9, min_HvyAtm=10, max_HvyAtm=11,
-        min_LogP=12, max_Rings=13, min_CAtm=14, min_HetAtm=15, max_price_mol=16,
-    )
+    limits = presets.column_limits(
+        {
+            "HetAtm": (15, None), "CAtm": (14, None), "PriceMol": (None, 16), "Rings": (None, 13), "HvyAtm": (10, 11), "MR": (8, 9),
+            "HBA": (None, 7), "HBD": (None, 6), "MW": (None, 5), "LogP": (12, 3), "RotB": (None, 2), "tPSA": (4, 1),
+        }
+    )
     assert [(x.column, x.op, x.bound) for x in limits] == [
         ("tPSA", ">", 1), ("tPSA", "<", 4), ("RotB", ">", 2), ("LogP", ">", 3), ("LogP", "<", 12), ("MW", ">", 5),
         ("HBD", ">", 6), ("HBA", ">", 7), ("MR", "<", 8), ("MR", ">", 9), ("HvyAtm", "<", 10), ("HvyAtm", ">", 11),
@@ -47,6 +49,12 @@ def test_every_limit_is_reported_in_order():
     ]
 
 
+def test_class_limits_are_known_columns():
+    assert [x.column for x in presets.class_limits("acids")] == ["tPSA", "RotB", "LogP", "MW", "HBD", "HBA"]
+    with pytest.raises(ValueError):
+        presets.column_limits({"colour": (1, 2)})
+
+
 def test_accepted_and_rejected_are_the_input(spark):
     rnd = random.Random(1)
     pick = lambda: rnd.choice([None, NAN, rnd.uniform(0, 10)])
