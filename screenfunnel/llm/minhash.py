@@ -5,9 +5,9 @@ agrees for two sets with the probability of their Jaccard similarity. Bands of s
 candidate pair becomes a link only if the full shingle sets confirm it.
 
 Equal sets are one class from the start, so exact copies never meet. Inside a bucket, classes are first compared with one
-centre (the class that shares most with others). Whatever these links join needs no more comparison: only classes of one
-bucket that are still in different components are compared with each other. So a large group of near copies costs one
-comparison per class, and no link between two components is lost.
+centre, for a few turns with another centre each. Whatever these links join needs no more comparison: only classes of one
+bucket that are still in different components are compared with each other at the end. So a large group of near copies costs
+a few comparisons per class, and no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from screenfunnel.session import scratch_path
 
 #: Ids of texts to compare are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 SENT_IDS = 2_000_000
+#: Turns in which the members of a bucket are compared with one centre, before the rest is compared in full.
+TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -98,7 +101,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _pieces(batch: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with bounded text."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
         if size and size + n > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
@@ -143,7 +146,8 @@ def _sets(spec: NearDup):
             for part in _pieces(batch):
                 sets = [shingle_set(t.as_py(), spec.words, hashes) for t in part.column(1).cast(pa.binary())]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(sets)], ["key", "shingles"])
+                halves = pa.array([np.unique(s.astype(np.uint32).view(np.int32)) for s in sets], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(sets), halves], ["key", "shingles", "halves"])
 
     return run
 
@@ -160,19 +164,21 @@ def signatures(df: DataFrame, spec: NearDup, text: str = "text", doc_id: str = "
     return narrow.mapInArrow(_signed(spec), "doc_id long, key binary, n_shingles long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
-    """The pairs (a, b) of set keys whose full shingle sets reach the similarity.
+def shingle_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
+    """(key, shingles, halves) of the classes ``keys``; halves are the distinct lower 32 bits of the shingle hashes.
 
-    classes: key, first_id. texts: doc_id, text, the whole table. Sets are made again only of texts whose id is the first of
-    a class in a pair, and each is matched to its class by its own key, so null and repeated ids do no harm. A set travels
-    to a pair, not to a group.
+    classes: key, first_id. texts: doc_id, text, the whole table. Sets are made again only of texts whose id is the first of a wanted class, and each is matched to its class by its own
+    key, so null and repeated ids do no harm.
     """
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = _stored(keys.join(classes, "key").select(F.col("first_id").alias("id")).distinct(), "ids")
     few = ids.count() <= SENT_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    made = wanted.mapInArrow(_sets(spec), "key binary, shingles array<long>")
-    sets = _stored(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    made = wanted.mapInArrow(_sets(spec), "key binary, shingles array<long>, halves array<int>")
+    return _stored(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
+    """The pairs (a, b) of set keys whose full shingle sets reach the similarity. A set travels to a pair, not to a group."""
     with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -199,41 +205,67 @@ def near_duplicates(df: DataFrame, spec: NearDup | None = None, text: str = "tex
     return joined.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (key, component) after joining the components that ``links`` (a, b) connect."""
+    ends = links.join(labels.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a")
+    ends = ends.join(labels.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b")
+    joined = connected_components(ends.where("ca != cb").select("ca", "cb"), "ca", "cb").select("id", F.col("component").alias("now"))
+    moved = labels.join(joined, labels["component"] == joined["id"], "left")
+    return _stored(moved.select("key", F.coalesce("now", "component").alias("component")), "labels")
+
+
+def _with_centres(named: DataFrame, spec: NearDup, turn: int) -> DataFrame:
+    """Pairs of a bucket's centre and its members outside the centre's component.
+
+    The centre belongs to the component with most members there. At first it is the class that meets most others, so that
+    the middle of a group is tried first; later turns take any other one, which differs from bucket to bucket.
+    """
+    prefer = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "key", "band")
+    one = F.struct(prefer.alias("order"), "key", "n")
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("members"), F.max(one).alias("centre"))
+    hubs = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("members", "centre", "component")).alias("hub")).where("parts > 1")
+    hubs = hubs.select("band", F.col("hub.centre.key").alias("a"), F.col("hub.centre.n").alias("an"), F.col("hub.component").alias("ac"))
+    pairs = named.join(hubs, "band").where((F.col("component") != F.col("ac")) & _close(spec, "n", "an"))
+    return _stored(pairs.select("a", F.col("key").alias("b")).distinct(), "pairs")
+
+
 def near_duplicate_classes(df: DataFrame, spec: NearDup, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` (doc_id, key, n_shingles) and ``component`` (key, component_id): membership and class graph, both stored."""
     rows = _stored(signatures(df, spec, text, doc_id), "signatures")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = _stored(classes, "classes")
-    banded = classes.select("key", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = _stored(banded.join(shared, "band"), "buckets")
-    # the centre of a bucket is the class that meets most others
-    degree = buckets.groupBy("key").agg(F.sum("members").alias("degree"))
-    ranked = buckets.join(degree, "key").select("band", "key", "n", F.struct("degree", "key").alias("rank"))
-    centre = ranked.groupBy("band").agg(F.max(F.struct("rank", "n")).alias("c")).select("band", F.col("c.rank.key").alias("centre"), F.col("c.n").alias("cn"))
-    stars = buckets.join(centre, "band").where((F.col("key") != F.col("centre")) & _close(spec, "n", "cn"))
-    stars = _stored(stars.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    banded = classes.select("key", "n", F.posexplode("bands").alias("i", "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("others")).where("others > 1")
+    met = banded.join(shared, "band")
+    degree = met.groupBy("key").agg(F.sum("others").alias("degree"))
+    buckets = _stored(met.join(degree, "key").select("band", "i", "key", "n", "degree"), "buckets")
+    keys = _stored(buckets.select("key").distinct(), "keys")
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    links = _stored(confirm(stars, classes, texts, spec), "links")
-    joined = connected_components(links)
-    # what is still apart in a bucket
-    named = buckets.join(joined.select(F.col("id").alias("key"), "component"), "key", "left")
-    named = named.select("band", "key", "n", F.coalesce("component", "key").alias("component"))
+    sets = shingle_sets(keys, classes, texts, spec)
+    labels = keys.withColumn("component", F.col("key"))
+    for turn in range(TURNS):
+        links = _stored(confirm(_with_centres(buckets.join(labels, "key"), spec, turn), sets, spec), "links")
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+    # what is still apart in a bucket is compared inside the join, in the first bucket of a pair and on halves of the hashes
+    # with a margin, so that only pairs that are links, or all but, leave it; those are confirmed in full like the others
+    named = buckets.join(labels, "key")
     apart = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    open_ = _stored(named.join(apart, "band"), "open")
-    other = open_.select("band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    cross = open_.join(other, "band").where((F.col("component") < F.col("bc")) & _close(spec, "n", "bn"))
-    cross = cross.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = _stored(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not cross.isEmpty():
-        more = _stored(confirm(cross, classes, texts, spec), "links")
-        if not more.isEmpty():
-            joined = connected_components(links.unionByName(more))
-    label = classes.select("key", "first_id").join(joined.select(F.col("id").alias("key"), "component"), "key", "left")
+    open_ = named.join(apart, "band").join(classes.select("key", "bands"), "key").join(sets.select("key", "halves"), "key")
+    open_ = _stored(open_.select("band", "key", "n", "component", F.slice("bands", 1, F.col("i")).alias("earlier"), "halves"), "open")
+    names = ["band", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "component", "earlier", "halves")]]
+    common = F.size(F.array_intersect("halves", "halves_b"))
+    near = 100 * common >= (spec.percent - 1) * (F.size("halves") + F.size("halves_b") - common)
+    fits = (F.col("component") < F.col("component_b")) & _close(spec, "n", "n_b") & ~F.arrays_overlap("earlier", "earlier_b") & near
+    cross = _stored(open_.join(open_.select(*names), "band").where(fits).select(F.col("key").alias("a"), F.col("key_b").alias("b")), "pairs")
+    more = _stored(confirm(cross, sets, spec), "links")
+    if not more.isEmpty():
+        labels = _merged(labels, more)
+    label = classes.select("key", "first_id").join(labels, "key", "left")
     label = label.select("key", "first_id", F.coalesce("component", "key").alias("component"))
-    first = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    component = _stored(label.join(first, "component").select("key", "component_id"), "components")
+    least = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    component = _stored(label.join(least, "component").select("key", "component_id"), "components")
     return rows.select("doc_id", "key", "n_shingles"), component
 
 
