@@ -7,6 +7,7 @@ import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import regex
@@ -25,7 +26,6 @@ ENDS_P = frozenset(
 )
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tbody", "tbody": "thead tr td th"}
 SCOPES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "thead": "table", "tbody": "table"}
-SPACE = regex.compile(r"\s+")
 TOKEN = regex.compile(r"[A-Za-z]+|\d+")
 
 
@@ -53,7 +53,7 @@ class _Reader(HTMLParser):
         self.linked = self.links = self.silent = 0
 
     def end_block(self) -> None:
-        text = SPACE.sub(" ", "".join(self.parts)).strip()
+        text = " ".join("".join(self.parts).split())
         if text:
             path = [(e.tag, e.tokens) for e in self.open if e.tag not in INLINE]
             self.blocks.append(Block(text, path, self.linked))
@@ -121,38 +121,47 @@ PATH_SIZE, WORD_SIZE, PLAIN_SIZE = 512, 32, 8
 SIZE = PATH_SIZE + WORD_SIZE + PLAIN_SIZE
 
 
-@lru_cache(1 << 16)
-def _path_places(token: str) -> tuple[int, int]:
-    h = zlib.crc32(token.encode())
-    return h % PATH_SIZE, zlib.crc32(b"2" + token.encode()) % PATH_SIZE
+def _places(token: str) -> tuple[int, int]:
+    return zlib.crc32(token.encode()) % PATH_SIZE, zlib.crc32(b"2" + token.encode()) % PATH_SIZE
 
 
-@lru_cache(1 << 16)
-def _word_place(word: str) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return PATH_SIZE + h % WORD_SIZE, 1.0 if h & (1 << 20) else -1.0
+@lru_cache(1 << 14)
+def _path_row(path: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
+    """Places of all elements of a path, of their names, and of the last element."""
+    tokens = [t for tag, names in path for t in (f"<{tag}", *[f".{k}" for k in names])]
+    if path:
+        tokens.append(f"last {path[-1][0]}")
+    return np.array(sorted({p for t in tokens for p in _places(t)}), np.int64)
+
+
+class _Codes(dict):
+    """Place of a word, and half the codes further for those that count negative."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = zlib.crc32(word.encode())
+        code = self[word] = h % WORD_SIZE + (0 if h & (1 << 20) else WORD_SIZE)
+        return code
+
+
+_CODES = _Codes()
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """One row per block: hashed elements of the tag path, hashed words, and lengths, links, signs and place."""
     x = np.zeros((len(blocks), SIZE), np.float32)
+    words = [b.text.split(" ") for b in blocks]
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    at = np.repeat(np.arange(len(blocks)), sizes) * (2 * WORD_SIZE) + codes
+    counts = np.bincount(at, minlength=len(blocks) * 2 * WORD_SIZE).reshape(len(blocks), 2, WORD_SIZE)
+    x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = (counts[:, 0] - counts[:, 1]) / (np.maximum(sizes, 4) * 0.75)[:, None]
     for i, b in enumerate(blocks):
-        row = x[i]
-        for tag, tokens in b.path:
-            for t in (f"<{tag}", *[f".{k}" for k in tokens]):
-                p, q = _path_places(t)
-                row[p] = row[q] = 0.7
-        if b.path:
-            p, q = _path_places(f"last {b.path[-1][0]}")
-            row[p] = row[q] = 0.7
-        words = b.text.split(" ")
-        for w in words:
-            p, sign = _word_place(w)
-            row[p] += sign
-        row[PATH_SIZE : PATH_SIZE + WORD_SIZE] /= max(len(words), 4) * 0.75
+        x[i, _path_row(tuple(b.path))] = 0.7
         n = len(b.text)
-        row[-8:] = (
-            math.log1p(n) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / n), sum(map(b.text.count, ".,;:!?")) / n * 10,
+        x[i, -PLAIN_SIZE:] = (
+            math.log1p(n) / 8, math.log1p(len(words[i])) / 6, min(1.0, b.linked / n), sum(map(b.text.count, ".,;:!?")) / n * 10,
             i / len(blocks), len(b.path) / 10, 1.0 if "©" in b.text or "|" in b.text else 0.0, 1.0 if b.text[-1] in ".!?" else 0.0,
         )
     return x
