@@ -149,7 +149,8 @@ def language_references(counted: DataFrame, rules: QualityRules) -> References:
     ``rules.reference_words`` words in the table are left out.
     """
     known = counted.where(F.col("reference").isin(sorted(rules.common_words)))
-    items = known.select("reference", "chars", F.inline("bins"))
+    # bins are never empty; the outer form keeps the optimiser from adding a filter that would make them once more
+    items = known.select("reference", "chars", F.inline_outer("bins"))
     # the character counts ride on the first bin, which every document has
     once = [F.sum(F.when(F.col("at") == 0, F.get("chars", F.lit(k)))).alias(f"c{k}") for k in range(len(CLASSES))]
     out: References = {}
@@ -233,4 +234,5 @@ def keep_good(df: DataFrame, rules: QualityRules | None = None, text: str = "tex
     """Rows that pass, with the columns of ``df``, whatever their names."""
     whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("whole")
     judged = quality_rules(df.select(whole, F.col(text).alias("text"), F.col(lang).alias("lang")), rules)
-    return judged.where("quality.kept").select("whole.*")
+    # the generator keeps the optimiser from moving the filter below the counts and making them once more for each use
+    return judged.select("whole", F.explode_outer(F.array("quality.kept")).alias("kept")).where("kept").select("whole.*")
