@@ -195,5 +195,7 @@ def summary(found: DataFrame) -> DataFrame:
     def spans(of):
         return F.array_join(F.transform(of, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(base, lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
+    def number(kind: str):
+        return F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
