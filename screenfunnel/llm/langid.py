@@ -25,7 +25,7 @@ UNKNOWN = "und"
 class LangSettings:
     """``sample``: labelled rows to fit on, all languages together; the others are as in the method's papers."""
 
-    sample: int = 8000
+    sample: int = 4000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -75,7 +75,11 @@ def gram_counts(text: str | None) -> np.ndarray | None:
 def _features(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their TF-IDF values, of length one."""
     at = np.flatnonzero(counts)
-    x = (1 + np.log(counts[at])) * idf[at]
+    return _weighed(at, counts[at], idf)
+
+
+def _weighed(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = (1 + np.log(n)) * idf[at]
     return at, (x / max(float(np.sqrt(x @ x)), 1e-12)).astype(np.float32)
 
 
@@ -98,10 +102,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = np.flatnonzero(c)
                 lang.append(name)
                 order.append(o)
-                at.append(found)
-                n.append(c[found])
-        lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(order, pa.int64()), pa.array(at, lists), pa.array(n, lists)], ["lang", "o", "at", "n"])
+                at.append(found.astype("<u2").tobytes())
+                n.append(c[found].astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(order, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "o", "at", "n"]
+        )
 
 
 def _scores(w: np.ndarray, b: np.ndarray, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -181,13 +186,12 @@ def fit_language_model(df: DataFrame, settings: LangSettings | None = None, text
     limits = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, share / counts[k]) * (1 << 30)))])
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     rows = known.withColumn("o", order).where(F.pmod("o", F.lit(1 << 30)) < limits[F.col("lang")])
-    rows = rows.select("lang", "o", "text").mapInArrow(_sampled, "lang string, o long, at array<long>, n array<long>").collect()
+    rows = rows.select("lang", "o", "text").mapInArrow(_sampled, "lang string, o long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["o"], r["lang"], r["at"], r["n"]))
     data = []
     for r in rows:
-        c = np.zeros(BUCKETS, np.int64)
-        c[r["at"]] = r["n"]
-        data.append((langs.index(r["lang"]), _features(c, idf)))
+        at = np.frombuffer(r["at"], "<u2").astype(np.int32)
+        data.append((langs.index(r["lang"]), _weighed(at, np.frombuffer(r["n"], "<u4"), idf)))
     back = int(len(data) * s.kept_back)
     weights, bias = fit_ftrl(data[back:], len(langs), s)
     model = LangModel(langs, idf, weights, bias)
