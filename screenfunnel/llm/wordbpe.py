@@ -7,6 +7,8 @@ only a new run goes through the merges. Any other chunk is given to the tokenize
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 
@@ -14,6 +16,8 @@ import regex
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable characters below U+0250 whose composition and lower case do not depend on their neighbours.
 PLAIN = regex.compile(r"[!-~¡-įı-ɏ]*")
+#: Signs that are a piece of their own after letters.
+ENDINGS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -24,9 +28,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordBpe:
-    """``ids(text)`` as uint16 array, and ``chunks(text)`` as places in the table, for counting words."""
+    """``chunks(text)`` as places in the table, and ``ids(places)`` as uint16 array.
+
+    Both tables are emptied at ``most`` entries, between texts; places handed out before are then void.
+    """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,56 +41,53 @@ class WordBpe:
             raise ValueError("ids beyond 16 bits")
         self.letters = _byte_letters()
         self.most = most
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, list[int]] = _Runs(self)
         self.reset()
 
     def reset(self) -> None:
         self.places: dict[str, int] = _Places(self)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint16)
-        self.used = 0
+        self.starts, self.lengths, self.flat = array("q"), array("q"), array("H")
 
     def tidy(self) -> None:
-        """Empty tables that have grown large; places handed out before are void."""
         if len(self.places) > self.most:
             self.reset()
         if len(self.runs) > self.most:
             self.runs.clear()
 
-    def _encode(self, chunk: str) -> list[int]:
+    def merge(self, run: str) -> list[int]:
+        mapped = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
+    def encode(self, chunk: str) -> list[int]:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.runs[chunk.lower()]
+            if chunk[-1:] in ENDINGS and chunk[:-1].isalpha():
+                return self.runs[chunk[:-1].lower()] + self.runs[chunk[-1]]
         if "<|" in chunk or not PLAIN.fullmatch(chunk):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for run in PIECES.findall(chunk.lower()):
-            ids = self.runs.get(run)
-            if ids is None:
-                mapped = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-                ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-            out += ids
-        return out
-
-    def add(self, chunk: str) -> int:
-        ids = self._encode(chunk)
-        place, end = len(self.places), self.used + len(ids)
-        if place >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
-        self.starts[place], self.lengths[place] = self.used, len(ids)
-        self.flat[self.used : end] = ids
-        self.used = end
-        return place
+        return [i for run in PIECES.findall(chunk.lower()) for i in self.runs[run]]
 
     def chunks(self, text: str) -> np.ndarray:
         parts = text.replace("\n", " ").split(" ")
         return np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
 
     def ids(self, places: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[places]
+        lengths = np.frombuffer(self.lengths, np.int64)[places]
         ends = np.cumsum(lengths)
-        shift = np.repeat(self.starts[places] - ends + lengths, lengths)
-        return self.flat[shift + np.arange(ends[-1] if len(ends) else 0)]
+        shift = np.repeat(np.frombuffer(self.starts, np.int64)[places] - ends + lengths, lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.frombuffer(self.flat, np.uint16)[shift + np.arange(total)] if total else np.empty(0, np.uint16)
+
+
+class _Runs(dict):
+    def __init__(self, owner: WordBpe):
+        super().__init__()
+        self.merge = owner.merge
+
+    def __missing__(self, run: str) -> list[int]:
+        ids = self[run] = self.merge(run)
+        return ids
 
 
 class _Places(dict):
@@ -92,6 +96,10 @@ class _Places(dict):
         self.owner = owner
 
     def __missing__(self, chunk: str) -> int:
-        place = self.owner.add(chunk)
-        self[chunk] = place
+        owner = self.owner
+        ids = owner.encode(chunk)
+        place = self[chunk] = len(owner.starts)
+        owner.starts.append(len(owner.flat))
+        owner.lengths.append(len(ids))
+        owner.flat.extend(ids)
         return place
