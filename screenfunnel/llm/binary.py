@@ -5,8 +5,8 @@ with cycle-walking permutes the numbers 0 to n-1 of the sequences, so each one's
 drawn, and no list of places exists anywhere. Places are dealt to shards by range; a task sorts its shards and writes them as
 records of one stride, so a reader finds any place by arithmetic and goes on from there.
 
-The texts are read twice, first for the number of sequences of each partition and then for the ids, as keeping the ids in
-between would cost more disk than tokenising again costs time.
+The sequences are stored once in table order, compressed one by one, because their number must be known before the first
+place is; they stay compressed in the shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from screenfunnel.llm.packing import END_ID, WINDOW
 from screenfunnel.llm.wordbpe import WordBpe
+from screenfunnel.session import scratch_path
 
 #: Sequences of a shard.
 SHARD = 4096
-RECORD = "slot long, sequence long, n_ids long, ids_crc32 long, record binary"
+STORED = "part long, local long, n_ids long, ids_crc32 long, packed binary"
+RECORD = "slot long, sequence long, n_ids long, ids_crc32 long, packed binary"
 ROW = "slot long, sequence long, shard long, byte_offset long, n_ids long, ids_crc32 long"
 
 
@@ -79,37 +82,41 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Ite
         yield rest
 
 
-def _counted(path: str, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for _ in _sequences(batches, path, window))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
-
-    return run
+def _stored(path: str, window: int):
+    """The sequences of a partition by their number in it, each compressed."""
 
-
-def _records(path: str, window: int, starts: dict[int, tuple[int, int]], place: Feistel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, expected = starts.get(TaskContext.get().partitionId(), (0, 0))
-        done, held = 0, []
+        part, done, tool = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        held: list[bytes] = []
 
         def batch() -> pa.RecordBatch:
-            numbers = np.arange(first + done - len(held), first + done)
-            padded = [len(ids).to_bytes(4, "little") + ids.tobytes() + bytes(2 * (window - len(ids))) for ids in held]
-            crc = [zlib.crc32(ids.astype("<u4")) for ids in held]
+            n = len(held)
+            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in held]
             return pa.RecordBatch.from_pydict(
-                {"slot": place(numbers), "sequence": numbers, "n_ids": [len(x) for x in held], "ids_crc32": crc, "record": pa.array(padded, pa.binary())}
-            )
+                {"part": [part] * n, "local": range(done - n, done), "n_ids": [len(x) // 2 for x in held], "ids_crc32": crc,
+                 "packed": pa.array([tool.compress(x) for x in held], pa.binary())}
+            )
 
         for ids in _sequences(batches, path, window):
-            held.append(ids.astype("<u2"))
+            held.append(ids.astype("<u2").tobytes())
             done += 1
             if len(held) == 1024:
                 yield batch()
                 held = []
         if held:
             yield batch()
-        if done != expected:
-            raise RuntimeError(f"a partition gave {expected} sequences, then {done}: store the table first")
+
+    return run
+
+
+def _placed(starts: dict[int, int], place: Feistel):
+    """Numbers in the whole table and slots instead of numbers in the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = np.array([starts[p] for p in batch.column(0).to_pylist()], np.int64)
+            numbers = first + batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(place(numbers)), pa.array(numbers), *batch.columns[2:]], [c.split()[0] for c in RECORD.split(", ")])
 
     return run
 
@@ -124,7 +131,7 @@ def _written(folder: str, window: int, per_shard: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        size = stride(window)
+        size, tool = stride(window), zstandard.ZstdDecompressor()
         out, now, draft = None, None, ""
 
         def close() -> None:
@@ -134,13 +141,13 @@ def _written(folder: str, window: int, per_shard: int):
 
         for batch in batches:
             slots = batch.column(0).to_pylist()
-            for slot, record in zip(slots, batch.column(4)):
+            for slot, n, packed in zip(slots, batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if slot // per_shard != now:
                     close()
                     now = slot // per_shard
                     draft = f"{root}/.{shard_name(now)}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(draft)
-                out.write(record.as_buffer())
+                out.write(n.to_bytes(4, "little") + tool.decompress(packed).ljust(2 * window, b"\0"))
             slot = np.array(slots, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(slot // per_shard), pa.array(slot % per_shard * size), batch.column(2), batch.column(3)],
@@ -161,8 +168,7 @@ def materialise(df: DataFrame, folder: str, tokenizer: str | None = None, key: s
 
     Manifest: one row per sequence with its slot, number in table order, shard, byte offset there, ids and their CRC-32.
     Slots are 0 to n-1, each once. A null or empty text is one end id; repeated rows are sequences like any other; an empty
-    table writes no shard; ids and other columns play no part. The table must give the same partitions when read twice; if
-    it does not, the run fails.
+    table writes no shard; document ids and other columns play no part.
     """
     spark = df.sparkSession
     if tokenizer is None:
@@ -171,15 +177,18 @@ def materialise(df: DataFrame, folder: str, tokenizer: str | None = None, key: s
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
+    path = scratch_path(spark, "sequences")
     texts = df.select(F.col(text).alias("text"))
-    counts = texts.mapInArrow(_counted(tokenizer, window), "part long, n long").collect()
+    texts.mapInArrow(_stored(tokenizer, window), STORED).write.option("compression", "none").parquet(path)
+    stored = spark.read.parquet(path)
+    # one count per partition of the table
     starts, total = {}, 0
-    for part, n in sorted((r["part"], r["n"]) for r in counts):
-        starts[part] = (total, n)
-        total += n
+    for row in sorted(stored.groupBy("part").count().collect()):
+        starts[row["part"]] = total
+        total += row["count"]
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    records = texts.mapInArrow(_records(tokenizer, window, starts, Feistel(total, key)), RECORD)
+    records = stored.mapInArrow(_placed(starts, Feistel(total, key)), RECORD)
     shard = F.expr(f"slot div {per_shard}")
     dealt = records.repartition(shard).sortWithinPartitions("slot")
     dealt.mapInArrow(_written(folder, window, per_shard), ROW).write.parquet(f"{folder}/manifest")
