@@ -24,6 +24,8 @@ from screenfunnel.session import scratch_path
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SLICES = 4096
+#: Up to so many sources (about 10 MB) their plan is broadcast; beyond, it is joined by a shuffle.
+SENT_SOURCES = 100_000
 
 
 def chance(seed: str, *columns: Column) -> Column:
@@ -36,6 +38,18 @@ def _same_source(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Rows with what is planned for their source; few sources are sent to the rows, so that a hot one is not shuffled."""
+    known = plan.withColumnRenamed("source", "s")
+    return rows.join(F.broadcast(known) if few else known, _same_source(F.col("source"), F.col("s"))).drop("s")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """One row per source: source, source_size, target; all sizes together are shared out.
 
@@ -75,9 +89,11 @@ def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int
     targets = source_targets(sizes, weights, cap)
     weighed = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("weight")).alias("weighed"))
     known = targets.join(weighed.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s"))).drop("s")
+    known = _stored(known, "targets")
+    few = known.count() <= SENT_SOURCES
 
     def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-        return rows.join(plan.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s"))).drop("s")
+        return _with_plan(rows, plan, few)
 
     ranked = _copies(with_plan(sizes, known), cap)
     place = F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int")
@@ -89,28 +105,29 @@ def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int
     running = F.coalesce(F.sum("n").over(by_source.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     missing = missing.withColumn("before", running)
     # the slice in which the running sum passes the words that are missing; the last one if it never does
-    lack = with_plan(missing, targets).withColumn("lack", F.col("target") - F.col("whole"))
+    lack = with_plan(missing, known.select("source", "target")).withColumn("lack", F.col("target") - F.col("whole"))
     last = lack.where(F.col("before") <= F.col("lack")).groupBy("source").agg(
         F.max_by(F.struct("slice", "before", "lack"), "slice").alias("at")
     )
-    at = known.join(last.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
+    at = _stored(known.join(last.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
         *known.columns, F.col("at.slice").alias("cut_slice"), F.col("at.before").alias("before"), F.col("at.lack").alias("lack")
-    )
+    ), "slices")
     inside = with_plan(_copies(with_plan(sizes, known), cap).withColumn("slice", place), at.select("source", "cut_slice", "before", "lack"))
     by_q = inside.where("slice = cut_slice").groupBy("source", "q", "before", "lack").agg(F.sum("size").alias("n"))
     sums = by_q.withColumn("upto", F.col("before") + F.sum("n").over(by_source.orderBy("q")))
     cut = sums.where("upto <= lack").groupBy("source").agg(F.max("q").alias("cut_q"), F.max("upto").alias("upto"))
-    cuts = at.join(cut.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
+    cuts = _stored(at.join(cut.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
         *known.columns,
         # without a row in the slice, everything before the slice is taken
         F.coalesce("cut_q", F.col("cut_slice") / SLICES / (1 - F.col("cut_slice") / SLICES) * (1 - 1e-12)).alias("q_cut"),
         (F.col("lack") - F.coalesce("upto", "before")).alias("gap"),
-    )
+    ), "cuts")
     later = _copies(with_plan(sizes, cuts), cap).where("q > q_cut and abs(size - gap) < gap")
     fill = later.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u")).alias("fill"))
-    return cuts.join(fill.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
+    plan = cuts.join(fill.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s")), "left").select(
         "source", "source_size", "target", "weighed", "q_cut", F.col("fill.u").alias("fill_u")
     )
+    return _stored(plan, "plan")
 
 
 def sized_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weight: Column | None = None,
@@ -129,7 +146,7 @@ def take(sized: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
 
     Null sources are one source, which comes last; null texts have no words; full copies of a row are taken alike.
     """
-    joined = sized.join(plan.withColumnRenamed("source", "s"), _same_source(F.col("source"), F.col("s"))).drop("s")
+    joined = _with_plan(sized, plan, plan.count() <= SENT_SOURCES)
     more = F.coalesce(F.col("q") <= F.col("q_cut"), F.lit(False)) | F.coalesce(F.col("u") == F.col("fill_u"), F.lit(False))
     ranked = _copies(joined, cap)
     copies = F.when(F.col("size") > 0, F.col("certain") + more.cast("long")).otherwise(F.lit(0)).cast("long")
