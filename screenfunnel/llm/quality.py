@@ -2,7 +2,9 @@
 
 A document is compared with each language's reference by the Jensen-Shannon distance (base 2, 0 to 1) of two histograms:
 classes of characters, and common words with one bucket for all other words. References are sums over all documents of a
-language. The nearest language counts, so a mislabelled or mixed document is not punished. Everything is built from column
+language, for every language of the table. The nearest language counts, so a mislabelled or mixed document is not punished;
+a language without listed words has all its words in one bucket, where any text is near, so its reference serves its own
+documents only. A document whose language has no reference is not measured against others. Everything is built from column
 functions: one pass sums the references, the second gives the verdicts row by row, and no text is shuffled.
 """
 
@@ -143,23 +145,24 @@ def base_counts(df: DataFrame, rules: QualityRules, text: str = "text", lang: st
 
 
 def language_references(counted: DataFrame, rules: QualityRules) -> References:
-    """Histograms per language of ``rules.common_words``, summed over all rows of ``base_counts``.
+    """Histograms per value of the language, summed over all rows of ``base_counts``.
 
-    What reaches the driver is bounded by the rules: a count per language and listed word. Languages with fewer than
-    ``rules.reference_words`` words in the table are left out.
+    What reaches the driver is one line per language. Languages with fewer than ``rules.reference_words`` words in the table
+    are left out.
     """
-    known = counted.where(F.col("reference").isin(sorted(rules.common_words)))
+    known = counted.where(F.col("reference").isNotNull())
     # bins are never empty; the outer form keeps the optimiser from adding a filter that would make them once more
     items = known.select("reference", "chars", F.inline_outer("bins"))
     # the character counts ride on the first bin, which every document has
     once = [F.sum(F.when(F.col("at") == 0, F.get("chars", F.lit(k)))).alias(f"c{k}") for k in range(len(CLASSES))]
+    summed = items.groupBy("reference", "at").agg(F.sum("n").alias("n"), *once)
+    chars = [F.sum(f"c{k}").alias(f"c{k}") for k in range(len(CLASSES))]
+    whole = summed.groupBy("reference").agg(F.sum("n").alias("total"), F.collect_list(F.struct("at", "n")).alias("bins"), *chars)
     out: References = {}
-    for row in items.groupBy("reference", "at").agg(F.sum("n").alias("n"), *once).collect():
-        chars, by_word = out.setdefault(row["reference"], ([], {}))
-        by_word[["", *rules.vocabulary][row["at"]]] = row["n"]
-        if row["at"] == 0:
-            chars += [row[f"c{k}"] for k in range(len(CLASSES))]
-    return {k: v for k, v in sorted(out.items()) if sum(v[1].values()) >= rules.reference_words}
+    for row in whole.where(F.col("total") >= max(rules.reference_words, 1)).collect():
+        by_word = {["", *rules.vocabulary][x["at"]]: x["n"] for x in row["bins"]}
+        out[row["reference"]] = ([row[f"c{k}"] for k in range(len(CLASSES))], by_word)
+    return dict(sorted(out.items()))
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -175,18 +178,24 @@ def _total(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def char_distance(counts: Column, n: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of a histogram of ``n`` characters from that of ``reference``."""
-    q = F.array(*[F.lit(x / sum(reference)) for x in reference])
-    parts = F.zip_with(counts, q, lambda c, y: let(c / n, lambda p: _gap(p, y)))
+def _char_shares(reference: list[int]) -> list[float]:
+    return [x / sum(reference) for x in reference]
+
+
+def _word_shares(reference: dict[str, int], vocabulary: list[str]) -> list[float]:
+    whole = sum(reference.values())
+    return [reference.get(v, 0) / whole for v in ["", *vocabulary]]
+
+
+def char_distance(counts: Column, n: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of a histogram of ``n`` characters from the shares of a reference."""
+    parts = F.zip_with(counts, shares, lambda c, y: let(c / n, lambda p: _gap(p, y)))
     return F.sqrt(F.greatest(_total(parts) / 2, F.lit(0.0)))
 
 
-def word_distance(bins: Column, n: Column, reference: dict[str, int], vocabulary: list[str]) -> Column:
+def word_distance(bins: Column, n: Column, shares: Column) -> Column:
     """The same for ``n`` words in ``bins``; a word that is absent adds its share of the reference."""
-    whole = sum(reference.values())
-    q = F.array(*[F.lit(reference.get(v, 0) / whole) for v in ["", *vocabulary]])
-    parts = F.transform(bins, lambda x: let(F.get(q, x["at"]), lambda y: let(x["n"] / n, lambda p: _gap(p, y)) - y))
+    parts = F.transform(bins, lambda x: let(F.get(shares, x["at"]), lambda y: let(x["n"] / n, lambda p: _gap(p, y)) - y))
     return F.sqrt(F.greatest((F.lit(1.0) + _total(parts)) / 2, F.lit(0.0)))
 
 
@@ -197,12 +206,24 @@ def _nearest(each: list[Column]) -> Column:
 def verdicts(counted: DataFrame, rules: QualityRules, references: References) -> DataFrame:
     """The rows of ``base_counts`` with their columns and a struct ``quality``."""
     n_chars, n_words = F.col("n_code_points").cast("double"), F.col("n_words").cast("double")
-    by_char = _nearest([char_distance(F.col("chars"), n_chars, c) for c, _ in references.values()])
-    by_word = _nearest([word_distance(F.col("bins"), n_words, r, rules.vocabulary) for _, r in references.values()])
+    shares = {k: (_char_shares(c), _word_shares(w, rules.vocabulary)) for k, (c, w) in references.items()}
+    listed = {k: v for k, v in shares.items() if k in rules.common_words}
+    others = [(k, *v) for k, v in shares.items() if k not in listed]
+    by_char = [char_distance(F.col("chars"), n_chars, F.array(*map(F.lit, c))) for c, _ in listed.values()]
+    by_word = [word_distance(F.col("bins"), n_words, F.array(*map(F.lit, w))) for _, w in listed.values()]
+    measured = F.col("reference").isNull() | F.col("reference").isin(list(listed))
+    if others:
+        # one line per language and no text: sent to the rows
+        own = counted.sparkSession.createDataFrame(others, "reference string, own_chars array<double>, own_words array<double>")
+        counted = counted.join(F.broadcast(own), "reference", "left")
+        has = F.col("own_chars").isNotNull()
+        by_char.append(F.when(has, char_distance(F.col("chars"), n_chars, F.col("own_chars"))))
+        by_word.append(F.when(has, word_distance(F.col("bins"), n_words, F.col("own_words"))))
+        measured |= has
     near = counted.withColumns(
         {
-            "char_js": F.when(n_chars >= max(rules.guard_chars, 1), by_char),
-            "word_js": F.when(n_words >= max(rules.guard_words, 1), by_word),
+            "char_js": F.when(measured & (n_chars >= max(rules.guard_chars, 1)), _nearest(by_char)),
+            "word_js": F.when(measured & (n_words >= max(rules.guard_words, 1)), _nearest(by_word)),
             "base_failed": (F.col("n_words") < rules.min_words)
             | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
         }
@@ -221,8 +242,9 @@ def quality_rules(df: DataFrame, rules: QualityRules | None = None, text: str =
     """``df`` with the column ``quality``: a struct of the base counts, the two distances, ``base_failed`` and ``kept``.
 
     * Every row stays, repeated rows and rows with null ids too; the verdict is the row's own.
-    * A null text counts as empty and fails the base rules; a null or unknown language changes nothing for its row.
-    * A distance is null (and not held against the row) below its length guard, or if no language has a reference.
+    * A null text counts as empty and fails the base rules. A row without a language is measured against the languages of
+      ``rules.common_words``.
+    * A distance is null (and not held against the row) below its length guard, or if the row's language has no reference.
     * Columns of ``df`` keep their values; an own column ``quality`` is replaced.
     """
     rules = rules or QualityRules()

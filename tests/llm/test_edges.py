@@ -49,6 +49,27 @@ def test_quality(odd, none):
     assert quality.keep_good(none).count() == 0
 
 
+def test_quality_of_small_and_other_languages(spark):
+    """A language is measured by its own reference, or not at all: never by the nearest other one."""
+    rng = random.Random(4)
+
+    def text(letters, common, n):
+        made = ("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+        return " ".join(rng.choice(common) if common and rng.random() < 0.4 else w for w in made)
+
+    english = [(k, text("abcdefghij", quality.COMMON_WORDS["en"], 200), "en", "a") for k in range(20)]
+    german = [(100, text("abcdefghij", quality.COMMON_WORDS["de"], 200), "de", "a")]
+    russian = [(200 + k, text("абвгдежзик", None, 200), "ru", "a") for k in range(8)]
+    chinese = [(300, text("的一是不了人我在有他", None, 200), "zh", "a")]
+    junk = [(400, text("#*$%&|<>", None, 200), "ru", "a"), (401, text("abcdefghij", None, 200), "en", "a"), (402, text("абвгд", None, 200), None, "a")]
+    rows = english + german + russian + chinese + junk
+    out = {r["doc_id"]: r["quality"] for r in quality.quality_rules(table(spark, rows)).collect()}
+    assert len(out) == len(rows) and {k for k, q in out.items() if not q["kept"]} == {400, 401, 402}
+    assert all(out[k]["char_distance"] is None and out[k]["word_distance"] is None for k in (100, 300))
+    assert all(out[k]["char_distance"] <= 0.27 and out[k]["word_distance"] <= 0.4 for k in range(200, 208)), out[200]
+    assert {r["doc_id"] for r in quality.keep_good(table(spark, rows)).collect()} == out.keys() - {400, 401, 402}
+
+
 def test_repeat_words(spark):
     texts = ["a b c d e f a b c d e", "a a a a a a", "a b c d e", "x " * 4, "a b c d e a b c d e f g"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
