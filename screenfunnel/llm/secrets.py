@@ -2,8 +2,9 @@
 
 A worklist starts with the text. Each layer on it is scanned, then unwrapped in every way that applies: percent signs,
 Unicode escapes and character references (in place, so a key before an encoded value still counts), and Base64 runs, whose
-bytes may be compressed and are then unpacked. What comes out is a new layer unless the same layer was seen, so the list ends
-at a fixpoint. A layer knows which characters of the text each of its own came from, and findings are reported there.
+bytes may be compressed and are then unpacked. What comes out is a new layer unless the same layer was seen at the same place,
+so the list ends at a fixpoint. A layer knows which characters of the text each of its own came from, and findings are
+reported there.
 """
 
 from __future__ import annotations
@@ -134,11 +135,12 @@ def find_secrets(text: str) -> list[Finding]:
     """(kind, start, end, way, value) in order of start and kind; way is '' for the text itself, else the decoders taken."""
     found: dict[tuple[str, int, int], tuple[str, str]] = {}
     work: deque[tuple[str, Origin, str]] = deque([(text, None, "")])
-    seen = {text}
+    # the same layer at another place is another layer: its findings have spans of their own
+    seen: set[tuple[str, int, int]] = {(text, 0, len(text))}
 
-    def add(layer: str, origin: Origin, way: str) -> None:
-        if layer not in seen:
-            seen.add(layer)
+    def add(layer: str, origin: tuple[list[int], list[int]], way: str) -> None:
+        if (key := (layer, origin[0][0], origin[1][-1])) not in seen:
+            seen.add(key)
             work.append((layer, origin, way))
 
     while work:

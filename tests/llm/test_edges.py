@@ -201,6 +201,22 @@ def test_secrets_in_layers(odd, none):
     assert len(out) == 12 and all(r["spans"] == "" for r in out) and secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_at_every_place():
+    """An encoded secret that stands several times, in the same or another encoding, is found at each place."""
+    plain = b"\xc3\xbf?>>~ password: hunter22!! \xc3\xbf?>>~"
+    blob, safe, packed = base64.b64encode(plain), base64.urlsafe_b64encode(plain), base64.b64encode(gzip.compress(plain, mtime=0))
+    assert blob != safe
+    runs = [x.decode() for x in (blob, blob, safe, packed, base64.b64encode(blob), blob)]
+    text = " and ".join(runs)
+    places, at = [], 0
+    for run in runs:
+        places.append((text.index(run, at), text.index(run, at) + len(run)))
+        at = places[-1][1]
+    found = [f for f in secrets.find_secrets(text) if f[4] == "password: hunter22"]
+    assert [(f[1], f[2]) for f in found] == places
+    assert [f[3] for f in found] == ["base64", "base64", "base64", "base64+zip", "base64>base64", "base64"]
+
+
 def test_tokens_are_the_tokenizers():
     import public_tokenizers
 
