@@ -1,8 +1,8 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text. Each layer on it is scanned, then unwrapped in every way that applies: percent signs,
-Unicode escapes and character references (in place, so a key before an encoded value still counts), and Base64 runs, whose
-bytes may be compressed and are then unpacked. What comes out is a new layer unless the same layer was seen at the same place,
+Unicode escapes and character references (in place, so a key before an encoded value still counts), and Base64 runs, wrapped
+or not, whose bytes may be compressed and are then unpacked, in windows if there is much. What comes out is a new layer unless the same layer was seen at the same place,
 so the list ends at a fixpoint. A layer knows which characters of the text each of its own came from, and findings are
 reported there.
 """
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pyarrow as pa
@@ -31,13 +32,18 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|quot|apos|lt|gt);")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
-#: Runs that are tried as Base64: short ones cannot hold a secret. Lines of equal encoding are one run.
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer that unpacks to more is not followed; it guards a task's memory.
-MOST_UNPACKED = 1 << 26
+#: Runs that are tried as Base64: short ones cannot hold a secret. A wrapped one goes on over line ends and indents.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAK, LINE = re.compile(r"[ \t]*\r?\n[ \t]*"), re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
+LEAST_LINE, LONG_LINE = 16, 60
+#: Unpacked bytes are scanned in windows of this size that share so many bytes; compressed layers in each other are opened
+#: to this depth, since one may hold itself.
+WINDOW, SHARED, MOST_LEVELS = 1 << 22, 1 << 16, 100
+#: How a run was read: as plain text, as text with characters that do not print, or with bytes that are no text.
+PLAIN, ODD, BROKEN = range(3)
 
 #: Start and end, in the text, of each character of a layer; None for the text itself.
-Origin = tuple[list[int], list[int]] | None
+Origin = tuple[Sequence[int], Sequence[int]] | None
 Finding = tuple[str, int, int, str, str]
 
 
@@ -93,75 +99,232 @@ def _in_place(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], l
     return "".join(parts) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """Gzip, zlib or raw content of ``data``; None if it is not compressed, or too large."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        tool = zlib.decompressobj(47)
-        try:
-            out = tool.decompress(data, MOST_UNPACKED)
-        except zlib.error:
-            return None
-        return out if tool.eof else None
-    return None
-
-
-def _readable(data: bytes) -> str | None:
+class _Same:
+    """A sequence of one number, without its memory."""
+
+    def __init__(self, value: int):
+        self.value = value
+
+    def __getitem__(self, at: int) -> int:
+        return self.value
+
+
+def _packed(data: bytes) -> bool:
+    """Whether ``data`` starts like gzip or zlib."""
+    return data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0)
+
+
+def _inflate(chunks: Iterator[bytes], bits: int = 47) -> Iterator[bytes]:
+    """What comes out of one compressed member after the other, up to the end or to where the stream is cut or damaged."""
+    tool, rest = zlib.decompressobj(bits), b""
+    for chunk in chunks:
+        rest += chunk
+        while rest and not (tool.eof and len(rest) < 3):
+            if tool.eof:
+                if not _packed(rest):
+                    return
+                tool = zlib.decompressobj(bits)
+            before = tool.copy()
+            try:
+                out = tool.decompress(rest, SHARED)
+            except zlib.error:
+                # byte by byte, what stands before the damage
+                try:
+                    for k in range(len(rest)):
+                        yield before.decompress(rest[k : k + 1])
+                except zlib.error:
+                    pass
+                return
+            rest = tool.unused_data if tool.eof else tool.unconsumed_tail
+            if out:
+                yield out
+    if not tool.eof and (out := tool.flush()):
+        yield out
+
+
+def _opened(data: bytes) -> tuple[Iterator[bytes], bool]:
+    """The bytes behind all gzip and zlib layers around ``data``, and whether there were any."""
+    head, chunks, found = data, iter(()), False
+    for _ in range(MOST_LEVELS):
+        if not _packed(head):
+            break
+        out = _inflate(itertools.chain([head], chunks))
+        first = next((x for x in out if x), b"")
+        if not first or first == head[: len(first)]:
+            break
+        head, chunks, found = first, out, True
+    return itertools.chain([head], chunks), found
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    held, new = bytearray(), False
+    for chunk in chunks:
+        held += chunk
+        new = True
+        while len(held) >= WINDOW:
+            yield bytes(held[:WINDOW])
+            del held[: WINDOW - SHARED]
+            new = len(held) > SHARED
+    if new:
+        yield bytes(held)
+
+
+def _codec(data: bytes) -> str:
+    """UTF-16 by its mark or by the zeros of its Latin letters, else UTF-8."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if data[:1] == b"\xff" else "utf-16-be"
+    half = len(data) // 2
+    if half and 5 * data[1::2].count(0) >= 2 * half and not data[::2].count(0):
+        return "utf-16-le"
+    return "utf-16-be" if half and 5 * data[::2].count(0) >= 2 * half and not data[1::2].count(0) else "utf-8"
+
+
+def _text(data: bytes, codec: str) -> tuple[str, int]:
     try:
-        text = data.decode("utf-8")
+        text, state = data.decode(codec), PLAIN
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return data.decode(codec, "replace"), BROKEN
+    body = text[1:] if text[:1] == "\ufeff" else text
+    return text, state if body.isprintable() or all(c.isprintable() or c in "\t\r\n" for c in body) else ODD
 
 
-def _base64(run: str) -> tuple[str, str] | None:
-    """The decoded text and the name of the way; a run that does not end with a whole group loses its last characters."""
-    joined = re.sub(r"[\r\n]", "", run).rstrip("=").translate(str.maketrans("-_", "+/"))
+def _bytes(run: str) -> bytes | None:
+    """A run that does not end with a whole group loses its last characters."""
+    joined = run.rstrip("=").translate(str.maketrans("-_", "+/"))
     joined = joined[: len(joined) - (len(joined) % 4 == 1)]
     try:
-        data = base64.b64decode(joined + "=" * (-len(joined) % 4), validate=True)
+        return base64.b64decode(joined + "=" * (-len(joined) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    if (more := _unpack(data)) is not None:
-        data, way = more, "base64+zip"
-        while (again := _unpack(data)) is not None and again != data:
-            data = again
-    else:
-        way = "base64"
-    text = _readable(data)
-    return (text, way) if text else None
+
+
+def _ends(data: bytes | None) -> bool:
+    """Whether the compressed stream in ``data`` comes to its end there."""
+    bits = 47 if data and _packed(data) else -15
+    while data:
+        tool = zlib.decompressobj(bits)
+        while data and not tool.eof:
+            try:
+                tool.decompress(data, WINDOW)
+            except zlib.error:
+                return False
+            data = tool.unconsumed_tail
+        if not tool.eof:
+            return False
+        data = tool.unused_data if _packed(tool.unused_data) else b""
+    return True
+
+
+def _base64(run: str) -> tuple[Iterator[str], str, int] | None:
+    """The decoded text in windows, the name of the way, and how it reads."""
+    if (data := _bytes(run)) is None:
+        return None
+
+    def read(chunks: Iterator[bytes]) -> tuple[Iterator[str], int]:
+        windows = _windows(chunks)
+        first = next(windows, b"")
+        codec = _codec(first)
+        text, state = _text(first, codec)
+        return itertools.chain([text] if text else [], (_text(w, codec)[0] for w in windows)), state
+
+    chunks, found = _opened(data)
+    texts, state = read(chunks)
+    if not found and state == BROKEN:
+        # raw deflate has no mark: it counts if what comes out is text
+        raw, raw_state = read(_inflate(iter([data]), -15))
+        first = next(raw, "")
+        if raw_state == PLAIN and len(first) >= LEAST_ASSIGN:
+            return itertools.chain([first], raw), "base64+zip", PLAIN
+    return texts, "base64+zip" if found else "base64", state
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, Iterator[str], str]]:
+    """Start, end, decoded windows and way of the Base64 runs.
+
+    A run goes on in the next line if both are equally long or both long; a shorter line after a full one may be its end, and
+    words before it in its first line may be none of it. Of these readings the one that gives the cleanest text counts, the
+    longest of equals; lines outside it, and all lines if none is clean, are read one by one too.
+    """
+    at = 0
+    while m := BASE64.search(text, at):
+        lines, last = [m.span()], None
+        inline = m.start() > 0 and text[: m.start()].rstrip(" \t")[-1:] not in ("", "\n") if "\n" in text[m.end() : m.end() + 80] else False
+        while text[lines[-1][1] - 1] != "=" and (gap := BREAK.match(text, lines[-1][1])) and (t := LINE.match(text, gap.end())):
+            width, n = lines[-1][1] - lines[-1][0], t.end() - t.start()
+            if n >= LEAST_LINE and (n == width or min(n, width) >= LONG_LINE or (inline and len(lines) == 1 and n > width)):
+                lines.append(t.span())
+                continue
+            if n < width:
+                last = t.span()
+            break
+        at = lines[-1][1]
+        choices = [lines + [last]] * (last is not None) + [lines] * (len(lines) > 1 or last is not None)
+        if inline and len(lines) > 1:
+            choices += [lines[1:] + [last]] * (last is not None) + [lines[1:]]
+        best = None
+        for choice in choices:
+            run = "".join(text[a:b] for a, b in choice)
+            got = _base64(run)
+            if got is not None and got[1] == "base64+zip" and choice[-1] == last and _ends(_bytes(run[: len(run) - (last[1] - last[0])])):
+                # the stream does without that line
+                continue
+            if got is not None and (best is None or got[2] < best[1][2]):
+                best = (choice, got)
+            if got is not None and got[2] == PLAIN:
+                break
+        alone = lines
+        if best is not None:
+            choice, (texts, way, state) = best
+            if state == PLAIN:
+                alone = [x for x in lines if x not in choice]
+                at = max(at, choice[-1][1])
+            if len(choice) > 1:
+                yield choice[0][0], choice[-1][1], texts, way
+            elif state == PLAIN:
+                alone = lines
+        for a, b in alone:
+            if (got := _base64(text[a:b])) is not None:
+                yield a, b, got[0], got[1]
 
 
 def find_secrets(text: str) -> list[Finding]:
     """(kind, start, end, way, value) in order of start and kind; way is '' for the text itself, else the decoders taken."""
     found: dict[tuple[str, int, int], tuple[str, str]] = {}
-    work: deque[tuple[str, Origin, str]] = deque([(text, None, "")])
+    work: deque[tuple[Iterator[str], Origin, str]] = deque([(iter([text]), None, "")])
     # the same layer at another place is another layer: its findings have spans of their own
-    seen: set[tuple[str, int, int]] = {(text, 0, len(text))}
-
-    def add(layer: str, origin: tuple[list[int], list[int]], way: str) -> None:
-        if (key := (layer, origin[0][0], origin[1][-1])) not in seen:
-            seen.add(key)
-            work.append((layer, origin, way))
+    seen: set[tuple[int, int, int, int]] = set()
 
     while work:
-        layer, origin, way = work.popleft()
+        windows, origin, way = work.popleft()
+        if (layer := next(windows, None)) is None:
+            continue
+        if origin is not None:
+            # the next window waits for its turn, so that one at a time is in memory
+            work.append((windows, origin, way))
+        start, end = (0, len(text)) if origin is None else (origin[0][0], origin[1][-1])
+        # hashes stand for layers, which may be large
+        if (key := (hash(layer), len(layer), start, end)) in seen:
+            continue
+        seen.add(key)
 
         def back(start: int, end: int) -> tuple[int, int]:
             return (start, end) if origin is None else (origin[0][start], origin[1][end - 1])
 
         for kind, start, end in scan(layer):
-            found.setdefault((kind, *back(start, end)), (way, layer[start:end]))
+            value, place = layer[start:end], (kind, *back(start, end))
+            old = found.setdefault(place, (way, value))
+            if old[0] == way and value.startswith(old[1]):
+                # the end of a window may have cut it
+                found[place] = (way, value)
         for sign, pattern, decode, name in (("%", PERCENT, _percent, "url"), ("\\", ESCAPE, _escape, "unicode"), ("&", ESCAPE, _escape, "unicode")):
             if sign in layer and (new := _in_place(layer, pattern, decode)):
                 plain, starts, ends = new
                 if origin is not None:
                     starts, ends = [origin[0][i] for i in starts], [origin[1][i - 1] for i in ends]
-                add(plain, (starts, ends), f"{way}>{name}".lstrip(">"))
-        for m in BASE64.finditer(layer):
-            if (new64 := _base64(m.group())) is not None:
-                start, end = back(m.start(), m.end())
-                n = len(new64[0])
-                add(new64[0], ([start] * n, [end] * n), f"{way}>{new64[1]}".lstrip(">"))
+                work.append((iter([plain]), (starts, ends), f"{way}>{name}".lstrip(">")))
+        for a, b, texts, name in _runs(layer):
+            start, end = back(a, b)
+            work.append((texts, (_Same(start), _Same(end)), f"{way}>{name}".lstrip(">")))
     rank = {k: i for i, k in enumerate(KINDS)}
     keys = sorted(found, key=lambda k: (k[1], rank[k[0]], k[2]))
     return [(*k, *found[k]) for k in keys]

@@ -4,6 +4,7 @@ import base64
 import gzip
 import random
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -217,6 +218,32 @@ def test_secrets_at_every_place():
     assert [f[3] for f in found] == ["base64", "base64", "base64", "base64+zip", "base64>base64", "base64"]
 
 
+def test_secrets_in_wrapped_odd_and_packed_runs():
+    plain = "note\n" + prose(7, 40) + "\npassword: hunter22!!"
+
+    def ways(text):
+        return {(f[1], f[2]) for f in secrets.find_secrets(text) if f[4] == "password: hunter22"}
+
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = [gzip.compress(plain.encode(), mtime=k) for k in range(1, 9)] + [zlib.compress(plain.encode()), raw.compress(plain.encode()) + raw.flush()]
+    for data in [*packed, plain.encode()]:
+        for code in (base64.b64encode, base64.urlsafe_b64encode):
+            run = code(data).decode()
+            for width, indent in ((76, ""), (64, "  "), (40, "\t"), (len(run) - 1, ""), (len(run) - 3, "")):
+                wrapped = f"\n{indent}".join(run[k : k + width] for k in range(0, len(run), width))
+                assert ways(f"x:\n{indent}{wrapped}\nThe end.") == {(3 + len(indent), 3 + len(indent) + len(wrapped))}, (width, run)
+    for text in (f"{plain}\xa0\u3000\u200b", f"\ufeff{plain}", f"\x00{plain}"):
+        assert len(ways(base64.b64encode(text.encode()).decode())) == 1
+    for codec in ("utf-16", "utf-16-le", "utf-16-be", "latin-1"):
+        assert len(ways(base64.b64encode(f"{plain} ü".encode(codec)).decode())) == 1
+    cut = gzip.compress(plain.encode() + random.Random(1).randbytes(4000))[:-1000]
+    for data in (gzip.compress(b"first") + packed[0], cut, gzip.compress(packed[0])):
+        assert len(ways(base64.b64encode(data).decode())) == 1
+    large = gzip.compress(bytes(b" " * (secrets.WINDOW - 9)) + plain.encode() + b" " * (70 << 20) + b"\ntoken=abcdefgh")
+    found = secrets.find_secrets(base64.b64encode(gzip.compress(large)).decode() + " " + base64.b64encode(large).decode())
+    assert len(found) == 2 and all(f[0] == "assign" and f[3] == "base64+zip" for f in found)
+
+
 def test_tokens_are_the_tokenizers():
     import public_tokenizers
 
