@@ -3,14 +3,16 @@
 Templates are cut into words; of the hashes of their word runs, winnowing keeps the smallest in each window, and an inverted
 index leads from a fingerprint to its templates and places. A document looks up all its runs, so that a template's
 fingerprints are met wherever they stand. Hits of one template on neighbouring diagonals are one candidate; an alignment in
-a band around its diagonals counts the template's words that the document has in order, and gives the span. Of overlapping
-findings the one with most matched words stays.
+a band around its diagonals counts the template's words that the document has in order, and gives the span. What lies left
+and right of a finding is aligned again, so that a notice counts as often as it stands. Of overlapping findings the one with
+most matched words stays.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -59,25 +61,29 @@ class LicenseIndex:
         #: Only these words can be part of a hit.
         self.marks = {w for gram in self.postings for w in gram}
 
-    def candidates(self, words: list[str]) -> dict[str, list[list[int]]]:
-        """Per template the groups of diagonals (document place minus template place) of its hits."""
+    def hits(self, words: list[str]) -> dict[str, set[int]]:
+        """Per template the diagonals (document place minus template place) of its hits."""
         known = np.fromiter(map(self.marks.__contains__, words), bool, len(words))
         full = known[: len(words) - self.run + 1].copy()
         for k in range(1, self.run):
             full &= known[k : len(words) - self.run + 1 + k]
-        hits: dict[str, list[int]] = defaultdict(list)
+        hits: dict[str, set[int]] = defaultdict(set)
         for i in np.flatnonzero(full).tolist():
             for name, place in self.postings.get(tuple(words[i : i + self.run]), ()):
-                hits[name].append(i - place)
-        groups: dict[str, list[list[int]]] = {}
-        for name, diagonals in hits.items():
-            groups[name] = []
-            for d in sorted(diagonals):
-                if groups[name] and d - groups[name][-1][-1] <= self.band:
-                    groups[name][-1].append(d)
-                else:
-                    groups[name].append([d])
-        return groups
+                hits[name].add(i - place)
+        return hits
+
+    def bands(self, name: str, diagonals: set[int]) -> list[tuple[int, int]]:
+        """Lowest and highest of neighbouring diagonals. A long chain of them is cut in pieces that overlap by several
+        templates, so that the work grows with the document and not with its square."""
+        out: list[tuple[int, int]] = []
+        for d in sorted(diagonals):
+            if out and d - out[-1][1] <= self.band:
+                out[-1] = (out[-1][0], d)
+            else:
+                out.append((d, d))
+        size = len(self.words[name]) + self.band
+        return [(k, min(k + 64 * size, high)) for low, high in out for k in range(low, max(high - 4 * size, low) + 1, 60 * size)]
 
 
 def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -119,23 +125,34 @@ def find_licenses(text: str, index: LicenseIndex) -> list[Found]:
         # a few letters change their length; such texts keep them
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     words = WORD.findall(low)
-    if len(words) < index.run or not (groups := index.candidates(words)):
+    if len(words) < index.run or not (hits := index.hits(words)):
         return []
     spans = [(m.start(), m.end()) for m in WORD.finditer(low)]
     code: dict[str, int] = {}
     doc = np.array([code.setdefault(w, len(code)) for w in words], np.int64)
     found = []
-    for name, diagonals in groups.items():
+    for name, diagonals in hits.items():
         template = np.array([code.get(w, -1) for w in index.words[name]], np.int64)
-        for group in diagonals:
-            matched, first, last = align(template, doc, group[0] - index.band, group[-1] + index.band)
-            if matched >= index.least_coverage * len(template):
-                found.append((name, spans[first][0], spans[last][1], matched, len(template)))
+        work = [(low - index.band, high + index.band, 0, len(doc)) for low, high in index.bands(name, diagonals)]
+        while work:
+            low, high, a, b = work.pop()
+            # diagonals that meet this piece of the document, in which its first place counts as place 0
+            low, high = max(low, a - len(template) + 1), min(high, b - 1)
+            if low > high:
+                continue
+            matched, first, last = align(template, doc[a:b], low - a, high - a)
+            if matched < max(index.least_coverage * len(template), 1):
+                continue
+            first, last = first + a, last + a
+            found.append((name, spans[first][0], spans[last][1], matched, len(template)))
+            work += [(low, high, a, first), (low, high, last + 1, b)]
     kept: list[Found] = []
     for f in sorted(found, key=lambda f: (-f[3], -f[3] / f[4], f[1], f[2], f[0])):
-        if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[1])
+        # kept ones lie apart, so only the neighbours can overlap
+        at = bisect(kept, f[1], key=lambda k: k[1])
+        if (not at or kept[at - 1][2] <= f[1]) and (at == len(kept) or f[2] <= kept[at][1]):
+            kept.insert(at, f)
+    return kept
 
 
 FINDING = "array<struct<license:string,start:long,end:long,matched:long,words:long>>"

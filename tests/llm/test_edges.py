@@ -351,6 +351,19 @@ def test_licenses(odd, none):
     assert licenses.scan_licenses(odd).count() == 12 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_count_as_often_as_they_stand():
+    index = licenses.LicenseIndex()
+    cases = [
+        ("(c) 2019 A. All rights reserved. (c) 2020 B. All rights reserved.", 2), ("Licensed under the MIT License.\n" * 2, 2),
+        ("Licensed under MIT License.\nLicensed under the MIT License.\nLicensed under the MIT License, too.", 3),
+        ("All rights reserved.\n" * 1000, 1000), (f"{index.templates['MIT']}\n" * 3, 3), ("(c) A. All rights reserved.\n" * 3 + index.templates["ISC"], 4),
+    ]
+    for text, n in cases:
+        found = licenses.find_licenses(text, index)
+        assert len(found) == n and all(a[2] <= b[1] for a, b in zip(found, found[1:])), text[:80]
+        assert all(text[f[1] : f[2]].lower().split()[0] in ("all", "licensed", "permission") for f in found)
+
+
 def test_alignment_counts_the_longest_common_order():
     rng = random.Random(2)
 
