@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import binary, exact, htmltext, langid, licenses, minhash, mixing, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, htmltext, langid, licenses, minhash, mixing, negatives, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -80,3 +80,11 @@ def binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query("op11_hard_negatives", sql.NEGATIVES)
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)

