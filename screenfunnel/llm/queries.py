@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import binary, exact, htmltext, langid, licenses, minhash, mixing, negatives, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, htmltext, langid, licenses, merkle, minhash, mixing, negatives, packing, quality, secrets, sql
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -88,3 +88,9 @@ def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_merkle_manifest", sql.MERKLE)
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    return merkle.manifest(docs, "lang", "doc_id", merkle.document_leaf, merkle.tampered_leaf).withColumnRenamed("id", "doc_id").drop("copied")

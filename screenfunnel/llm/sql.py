@@ -114,8 +114,45 @@ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""
 
 
+def merkle_sql(docs: str = "documents", fan: int = 8) -> str:
+    def leaf(text: str) -> str:
+        values = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen(({v})::VARCHAR)::VARCHAR || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: " + bit + ")"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295)"
+    # level by level: the nodes of a group while it has more than one, then its root; the groups' roots go on as one group more
+    step = f"""SELECT tree, k + 1, place // {fan}, sha256(string_agg(h, '' ORDER BY place)) FROM %s
+        WHERE tree IN (SELECT tree FROM %s GROUP BY tree HAVING count(*) > 1) GROUP BY tree, k, place // {fan}"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, row_number() OVER () AS rid, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0
+    THEN {leaf(f"translate(text, '{letters}', '{letters.lower()}')")} END AS changed FROM {docs}),
+p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place FROM d),
+low AS (SELECT tree, 0 AS k, place, leaf AS h FROM p UNION ALL {step % ("low", "low")}),
+roots AS (SELECT tree, max_by(h, k) AS h, max(k) AS k FROM low GROUP BY tree),
+high AS (SELECT 0 AS tree, 0 AS k, tree - 1 AS place, h FROM roots UNION ALL {step % ("high", "high")}),
+top AS (SELECT max_by(h, k) AS h FROM high),
+walk AS (SELECT rid, 0 AS step, place AS at, tree AS t, 0 AS k, changed AS h, '' AS proof FROM p
+    UNION ALL SELECT w.rid, w.step + 1, CASE WHEN n.up THEN w.t - 1 ELSE w.at // {fan} END, CASE WHEN n.up THEN 0 ELSE w.t END,
+    CASE WHEN n.up THEN 0 ELSE w.k + 1 END, CASE WHEN n.up THEN w.h ELSE sha256(n.l || w.h || n.r) END,
+    CASE WHEN n.up THEN w.proof ELSE w.proof || n.l || n.r END
+    FROM (SELECT *, (SELECT count(*) FROM (SELECT tree, k FROM low UNION ALL SELECT tree, k FROM high) x WHERE x.tree = walk.t AND x.k = walk.k) AS wide FROM walk) w,
+    LATERAL (SELECT w.wide = 1 AS up, coalesce(string_agg(h, '' ORDER BY place) FILTER (place < w.at), '') AS l,
+    coalesce(string_agg(h, '' ORDER BY place) FILTER (place > w.at), '') AS r FROM (SELECT * FROM low UNION ALL SELECT * FROM high) x
+    WHERE x.tree = w.t AND x.k = w.k AND x.place // {fan} = w.at // {fan}) n WHERE NOT (w.t = 0 AND w.wide = 1)),
+f AS (SELECT rid, max_by(h, step) AS h, max_by(proof, step) AS proof FROM walk GROUP BY rid)
+SELECT doc_id, leaf, roots.h AS subroot, top.h AS root, sha256(f.proof) AS proof_sha256,
+    CASE WHEN changed IS NULL THEN top.h ELSE f.h END AS folded_root, changed IS NULL OR f.h = top.h AS verified
+FROM p JOIN roots USING (tree) JOIN f USING (rid), top"""
+
+
 NEAR = near_sql()
 QUALITY = quality_sql(QualityRules())
 EXACT = exact_sql()
 MIXING = mixing_sql()
 NEGATIVES = negatives_sql()
+MERKLE = merkle_sql()
