@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenfunnel.llm import binary, exact, htmltext, langid, licenses, merkle, minhash, mixing, negatives, packing, quality, secrets, sql
+from screenfunnel.llm import binary, exact, htmltext, langid, licenses, merkle, minhash, mixing, negatives, packing, quality, secrets, sql, urls
 from screenfunnel.llm.registry import REGISTRY, query
 from screenfunnel.queries.base import table
 from screenfunnel.session import scratch_path
@@ -94,3 +94,16 @@ def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
     return merkle.manifest(docs, "lang", "doc_id", merkle.document_leaf, merkle.tampered_leaf).withColumnRenamed("id", "doc_id").drop("copied")
+
+
+URL_RULES = (
+    urls.Rule("com/", "allow"), urls.Rule("example.com/en/", "block"), urls.Rule("www.example.com/en/", "allow"), urls.Rule("net/es/", "block"),
+    urls.Rule("net/fr/", "block"),
+)
+
+
+@query("op13_url_filter")
+def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    model = urls.train(urls.word_labels(pages))
+    return urls.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
