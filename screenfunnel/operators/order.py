@@ -133,6 +133,28 @@ def value_ranks(df: DataFrame, value: str, edges: Sequence[float] | None = None)
     )
 
 
+def column_ranks(df: DataFrame, values: Sequence[str], edges: dict[str, list[float]]) -> DataFrame:
+    """:func:`value_ranks` of several columns in one pass: per column number ``col`` and distinct non-null value ``n`` and
+    ``below``. Columns become rows, so the shuffles do not grow in number with the columns."""
+    banded = df.select(*values)
+    for i, v in enumerate(values):
+        banded = add_band(banded, v, edges[v], f"_b{i}")
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("col"), F.col(f"_b{i}").alias("_band"), F.col(v).alias("value")) for i, v in enumerate(values)]
+    )
+    present = banded.select(F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("cell")).select("cell.*")
+    hist = present.groupBy("col", "_band", "value").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("col").orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        hist.groupBy("col", "_band")
+        .agg(F.sum("n").alias("_total"))
+        .select("col", "_band", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = W.partitionBy("col", "_band").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    placed = hist.withColumn("_upto", F.sum("n").over(inside)).join(offsets, ["col", "_band"])
+    return placed.select("col", "value", "n", (F.col("_upto") - F.col("n") + F.col("_offset")).alias("below"))
+
+
 def values_at(
     df: DataFrame,
     keys: Sequence[str],
@@ -262,21 +284,25 @@ def up_to(keys: Sequence[Column], bound: tuple) -> Column:
     return (keys[0] < F.lit(bound[0])) | ((keys[0] == F.lit(bound[0])) & up_to(keys[1:], bound[1:]))
 
 
-def lookup_counted(df: DataFrame, per_value: DataFrame, key: str, id_col: str, total: int) -> DataFrame:
+def lookup_counted(
+    df: DataFrame, per_value: DataFrame, key: str | Sequence[str], id_col: str, total: int
+) -> DataFrame:
     """Left join of ``per_value`` (unique ``key``, its row count in ``_n``) onto ``df``.
 
-    Values held by more than 0.1 % of all rows (at most 1000 of them, hence the broadcast) are
+    Values held by more than 0.1 % of all rows (at most 1000 of them in a column, hence the broadcast) are
     spread over salted copies, so one hot value does not become one hot task.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if total <= HOT_ROWS:
-        return df.join(per_value, key, "left")
+        return df.join(per_value, keys, "left")
     salts = 64
     is_hot = F.col("_n") > F.lit(max(total / 1000, HOT_ROWS))
-    hot = per_value.filter(is_hot).select(F.col(key).alias("_hot"))
+    hot = per_value.filter(is_hot).select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)])
     salted = per_value.withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
-    rows = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).otherwise(0)
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)])
+    rows = df.join(F.broadcast(hot), same, "left").withColumn(
+        "_salt", F.when(F.col("_hot0").isNotNull(), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).otherwise(0)
     )
-    return rows.join(salted, [key, "_salt"], "left").drop("_hot", "_salt")
+    return rows.join(salted, [*keys, "_salt"], "left").drop("_salt", *[f"_hot{i}" for i in range(len(keys))])

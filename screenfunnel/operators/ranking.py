@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import holds, number
-from screenfunnel.operators.order import count_and_edges, lookup_counted, order_cutoff, up_to, value_ranks
+from screenfunnel.operators.order import column_ranks, count_and_edges, lookup_counted, order_cutoff, up_to, value_ranks
+from screenfunnel.session import scratch_path
 
 INF = float("inf")
 
@@ -34,23 +35,39 @@ def rank_normalise(df: DataFrame, value: str, id_col: str, out: str, invert: boo
 
 
 def rank_columns(df: DataFrame, parts: Sequence[Component], id_col: str) -> DataFrame:
-    """:func:`rank_normalise` of several columns; one pass takes the row count and all band edges.
+    """:func:`rank_normalise` of several columns.
 
-    ``df`` is read once for that and once per column, so store it if it is costly to make.
+    Several columns are ranked together: the table is stored once with row numbers, its columns become
+    (column, value) rows that one banded rank and one lookup serve, and the shares go back by row number. Missing values
+    take no part in that.
     """
+    if len(parts) == 1:
+        return _rank_one(df, parts[0], id_col)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "ranked")
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
     values = [f"_v{i}" for i in range(len(parts))]
-    rows = df.withColumns({v: number(p.column) for v, p in zip(values, parts)})
+    rows = stored.select("_row", *[number(p.column).alias(v) for v, p in zip(values, parts)])
     total, edges = count_and_edges(rows, values)
-    shares = {}
-    base = rows
-    for v, part in zip(values, parts):
-        # Named apart, so that the parts can be joined one after the other.
-        ranks = value_ranks(base.select(v), v, edges[v]).withColumnsRenamed({"n": "_n", "below": f"{v}_below"})
-        ranks = ranks.withColumn(f"{v}_n", F.col("_n"))
-        rows = lookup_counted(rows, ranks, v, id_col, total).drop("_n")
-        share = (F.col(f"{v}_below") + (F.col(f"{v}_n") - 1) / 2) / F.lit(float(max(total - 1, 1)))
-        shares[part.out] = F.lit(1.0) - share if part.invert else share
-    return rows.withColumns(shares).drop(*values, *[f"{v}_{x}" for v in values for x in ("n", "below")])
+    ranks = column_ranks(rows, values, edges).select("col", "value", F.col("n").alias("_n"), _share("below", "n", total).alias("_share"))
+    cells = F.array(*[F.struct(F.lit(i).alias("col"), F.col(v).alias("value")) for i, v in enumerate(values)])
+    present = rows.select("_row", F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("cell")).select("_row", "cell.*")
+    placed = lookup_counted(present, ranks, ["col", "value"], "_row", total)
+    wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("col") == i, F.col("_share"))).alias(v) for i, v in enumerate(values)])
+    shares = {p.out: F.lit(1.0) - F.col(v) if p.invert else F.col(v) for v, p in zip(values, parts)}
+    return stored.join(wide, "_row", "left").withColumns(shares).drop("_row", *values)
+
+
+def _share(below: str, n: str, total: int) -> Column:
+    return (F.col(below) + (F.col(n) - 1) / 2) / F.lit(float(max(total - 1, 1)))
+
+
+def _rank_one(df: DataFrame, part: Component, id_col: str) -> DataFrame:
+    rows = df.withColumn("_v", number(part.column))
+    total, edges = count_and_edges(rows, ["_v"])
+    ranks = value_ranks(rows.select("_v"), "_v", edges["_v"]).select("_v", F.col("n").alias("_n"), _share("below", "n", total).alias("_share"))
+    share = F.lit(1.0) - F.col("_share") if part.invert else F.col("_share")
+    return lookup_counted(rows, ranks, "_v", id_col, total).withColumn(part.out, share).drop("_v", "_n", "_share")
 
 
 def composite_score(

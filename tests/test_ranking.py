@@ -48,6 +48,32 @@ def test_rank_normalise_nulls_and_ties(spark, monkeypatch):
     assert ranking.rank_normalise(one, "v", "id", "n").first().n == 1.0
 
 
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_columns_are_ranked_together(spark, monkeypatch, hot_rows):
+    """Ties, missing values, repeated and missing ids; the same as one column at a time."""
+    monkeypatch.setattr(order, "HOT_ROWS", hot_rows)
+    rows = [(i % 50 or None, float(i % 7), None if i % 5 == 0 else i / 3, 1.0, float("nan") if i % 2 else -1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    parts = [ranking.Component(c, f"{c}_norm", invert=c == "b") for c in "abcd"]
+    together = ranking.rank_columns(df, parts, "id")
+    single = df
+    for p in parts:
+        single = ranking.rank_normalise(single, p.column, "id", p.out, p.invert)
+    assert together.columns == single.columns
+    assert sorted(map(str, together.collect())) == sorted(map(str, single.collect()))
+    assert ranking.rank_columns(df.limit(0), parts, "id").count() == 0
+
+
+def test_shuffles_do_not_grow_with_the_columns(spark):
+    df = spark.range(1000).select("id", *[(F.col("id") * (i + 3) % 101).cast("double").alias(f"v{i}") for i in range(6)])
+
+    def exchanges(n):
+        parts = [ranking.Component(f"v{i}", f"n{i}") for i in range(n)]
+        return ranking.composite_score(df, parts, "id")._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges(6) == exchanges(2) <= 15
+
+
 def test_md_score_without_instability(spark):
     df = spark.createDataFrame([("a", -9.0, -5.0), ("b", -8.0, -7.0)], "ligand_id string, score_cox2 double, score_cox1 double")
     got = {r.ligand_id: r.md_score for r in ranking.md_score(df).collect()}
