@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.functions import scalars as fn
-from screenfunnel.operators import dedupe, offers, order, pairing, rules, screen
+from screenfunnel.operators import dedupe, expansion, offers, order, pairing, rules, screen
 from screenfunnel.operators.profile import stage_counters
 from screenfunnel.operators.rules import Limit
 from screenfunnel.operators.screen import Alert
@@ -146,6 +146,42 @@ def reagent_map(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumn("PriceMol", settle("PriceMol", 4))
 
 
+EXPANSION_SQL = """
+    WITH r AS (SELECT p_partkey, s_suppkey, string_split(p_type, ' ') AS words, substr(s_name, 10) AS tail, p_retailprice + s_acctbal AS price
+      FROM part JOIN supplier ON s_acctbal > 0 AND p_retailprice + s_acctbal <= 1500),
+    m AS (SELECT *, CASE WHEN tail NOT LIKE '%7' AND len(words) = 3 THEN list_filter(list_transform(words, lambda w:
+      CASE WHEN length(w) = 5 THEN NULL ELSE substr(w, 1, 1) || tail END), lambda p: p IS NULL OR substr(p, 1, 1) <> 'P') END AS made FROM r),
+    d AS (SELECT *, list_distinct(list_filter(made, lambda p: p IS NOT NULL)) AS products FROM m)
+"""
+
+
+def initials(words: str, name: str) -> list[str | None]:
+    """Up to three products of a part and a supplier: each word's first letter with the end of the name. Parts of other
+    than three words and names that end in 7 cannot be read; words of five letters make none, and P is no product."""
+    parts, tail = words.split(" "), name[9:]
+    if tail.endswith("7") or len(parts) != 3:
+        raise ValueError(words)
+    return [None if len(w) == 5 else w[0] + tail for w in parts if len(w) == 5 or w[0] != "P"]
+
+
+def typed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part", "p_partkey", "p_type", "p_retailprice")
+    supplier = rules.valid_price(table(spark, sf, "supplier", "s_suppkey", "s_name", "s_acctbal"), "s_acctbal")
+    return pairing.pair_within_budget(part, supplier, PAIR_CAP, "p_partkey", "p_retailprice", "s_suppkey", "s_acctbal")
+
+
+@query("pair_products", f"{EXPANSION_SQL} SELECT p_partkey, s_suppkey, unnest(products) AS product, floor(price * 1e4 + 0.5001) / 1e4 AS total FROM d")
+def pair_products(spark: SparkSession, sf: str) -> DataFrame:
+    made = expansion.expand(typed_pairs(spark, sf), expansion.arrow_products(initials)(F.col("p_type"), F.col("s_name")), "product")
+    return made.select("p_partkey", "s_suppkey", "product", settle("PriceMol", 4).alias("total"))
+
+
+@query("pair_products_lateral", f"{EXPANSION_SQL} SELECT p_partkey, s_suppkey, unnest(products) AS product FROM d")
+def pair_products_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    made = expansion.expand_lateral(typed_pairs(spark, sf), expansion.product_table(initials), ["p_type", "s_name"], "made")
+    return made.select("p_partkey", "s_suppkey", F.col("made").alias("product"))
+
+
 FUNNEL_SQL = f"""
     WITH {OFFERS_SQL},
     blocks AS (
