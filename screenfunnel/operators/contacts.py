@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenfunnel.functions.scalars import require_columns
+
 XYZ = ("x", "y", "z")
 # Distances in Å and the share of atoms in the pocket of the pose score.
 CONTACT, CLASH, POCKET, POCKET_SHARE = 3.5, 2.0, 5.0, 0.3
@@ -208,6 +210,51 @@ def apply_transform(df: DataFrame, point: Sequence[str] = XYZ, out: Sequence[str
     return df.withColumns(moved)
 
 
+def transferred_centres(transforms: DataFrame, structure: str, centre: Sequence[float], into_frame: bool = False) -> DataFrame:
+    """The reference's site centre carried to every structure of ``transforms`` (of :func:`superpose`, one row each).
+
+    The transforms move a structure onto the reference. By default the centre is moved by them as it stands, as the published
+    workflow does; ``into_frame`` moves it the other way, into the structure's own frame.
+    """
+    point = [F.lit(float(v)) for v in centre]
+    if into_frame:
+        # the inverse of a rotation is its transpose
+        moved = [sum((F.col(f"r{j}{i}") * (point[j] - F.col(SHIFT[j])) for j in range(3)), F.lit(0.0)) for i in range(3)]
+    else:
+        moved = [sum((F.col(f"r{i}{j}") * point[j] for j in range(3)), F.col(SHIFT[i])) for i in range(3)]
+    return transforms.select(F.col("structure").alias(structure), *[m.alias(f"center_{c}") for m, c in zip(moved, XYZ)])
+
+
+def binding_sites(
+    atoms: DataFrame,
+    structure: str,
+    ligand: Column,
+    reference: str,
+    residue_map: DataFrame,
+    centre: Sequence[float] | None = None,
+    fallback: Sequence[float] = FALLBACK_CENTRE,
+    into_frame: bool = False,
+) -> DataFrame:
+    """Site centre of every structure of an atom table, and where it comes from, in one keyed dataflow.
+
+    The mean of the structure's own ``ligand`` atoms (source ``ligand``); else the centre of the ``reference`` structure, carried
+    over by superposing the matched Cα atoms (``transferred``, with 3 matched residues or more); else ``fallback``. ``centre``:
+    the reference's centre if it is known, else the mean of its own ligand atoms; without either nothing is transferred.
+    ``residue_map`` has ref_resnum and mob_resnum. The reference's own row follows the same chain.
+    """
+    require_columns(atoms, [structure, "record", "atom", "chain", "resnum", "atom_no", *XYZ], "binding_sites")
+    structures = atoms.select(structure).distinct()
+    if centre is None:
+        row = atoms.filter((F.col(structure) == reference) & ligand).agg(*[F.avg(c) for c in XYZ]).first()
+        centre = None if row[0] is None else tuple(row)
+    if centre is None:
+        return ligand_centre(structures, atoms, structure, ligand, None, fallback)
+    # One structure's residues: a few hundred rows.
+    pairs = matched_ca(atoms.filter(F.col(structure) == reference), atoms, F.broadcast(residue_map), structure)
+    transforms = superpose(pairs, structure, check=False)
+    return ligand_centre(structures, atoms, structure, ligand, transferred_centres(transforms, structure, centre, into_frame), fallback)
+
+
 def geometric_score(
     pose_atoms: DataFrame,
     receptor_atoms: DataFrame,

@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import active, ic50_nm, number, pic50, qsar_score, require_columns, selectivity
+from screenfunnel.operators.forests import Forest, fit_forest
 from screenfunnel.operators.groups import attach_labels
 from screenfunnel.operators.profile import validate_features
 from screenfunnel.operators.stats import Domain, Scaler, accuracy, fit_domain, fit_scaler, regression_metrics, stratified_split, stratify_bins
@@ -39,17 +37,17 @@ def drop_incomplete(df: DataFrame, features: Sequence[str]) -> DataFrame:
 class ActivityModels:
     """The fitted forests, the applicability domain and the hold-out metrics."""
 
-    target: PipelineModel
-    target_class: PipelineModel
-    off_target: PipelineModel
+    target: Forest
+    target_class: Forest
+    off_target: Forest
     domain: Domain
     features: tuple[str, ...]
     metrics: dict[str, float]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.target.write().overwrite().save(f"{path}/target")
-        self.target_class.write().overwrite().save(f"{path}/target_class")
-        self.off_target.write().overwrite().save(f"{path}/off_target")
+        self.target.save(spark, f"{path}/target")
+        self.target_class.save(spark, f"{path}/target_class")
+        self.off_target.save(spark, f"{path}/off_target")
         scaler = self.domain.scaler
         row = (list(self.features), list(scaler.mean), list(scaler.std), list(self.domain.centroid), self.domain.cutoff, self.metrics)
         schema = (
@@ -63,9 +61,9 @@ class ActivityModels:
         row = spark.read.parquet(f"{path}/domain").first()
         scaler = Scaler(tuple(row.features), tuple(row["mean"]), tuple(row["std"]))
         return ActivityModels(
-            PipelineModel.load(f"{path}/target"),
-            PipelineModel.load(f"{path}/target_class"),
-            PipelineModel.load(f"{path}/off_target"),
+            Forest.load(spark, f"{path}/target"),
+            Forest.load(spark, f"{path}/target_class"),
+            Forest.load(spark, f"{path}/off_target"),
             Domain(scaler, tuple(row.centroid), row.cutoff),
             tuple(row.features),
             dict(row.metrics),
@@ -80,41 +78,25 @@ def fit_activity_models(
     depth: int = 30,
     seed: int = 42,
     test_share: float = 0.2,
+    lot: int = 50,
+    store: str | None = None,
 ) -> ActivityModels:
     """Fit on the columns of :func:`add_targets`: regressor and classifier of the target on the
     training part of a stratified split, regressor of the off target on all its rows.
 
-    The training table is read several times; pass a stored one.
+    The forests are fitted ``lot`` trees at a time; with ``store`` finished lots are kept there, so a run that was cut off
+    goes on with the next. The training table is read several times; pass a stored one.
     """
     rows = drop_incomplete(df, features)
     target = rows.filter(F.col("pIC50_COX2").isNotNull())
     split = stratified_split(stratify_bins(target, "pIC50_COX2"), "stratum", id_col, test_share, seed)
     train, test = split.filter("not is_test"), split.filter("is_test")
     off = rows.filter(F.col("pIC50_COX1").isNotNull())
-
-    gather = VectorAssembler(inputCols=list(features), outputCol="features")
-    shape = {"numTrees": trees, "maxDepth": depth, "seed": seed, "featuresCol": "features"}
-
-    def regressor(label: str, out: str) -> Pipeline:
-        # All features are tried at every split of the regressors.
-        return Pipeline(stages=[gather, RandomForestRegressor(labelCol=label, predictionCol=out, featureSubsetStrategy="all", **shape)])
-
-    classifier = Pipeline(
-        stages=[
-            gather,
-            RandomForestClassifier(
-                labelCol="_label", predictionCol="active_pred", featureSubsetStrategy="sqrt",
-                rawPredictionCol="_raw", probabilityCol="_prob", **shape,
-            ),
-        ]
-    )
-    as_label = F.col("active_COX2").cast("double")
-    model = regressor("pIC50_COX2", "pIC50_COX2_pred").fit(train)
-    # The copy leaves out the training summary, which holds the session: a model that carries it
-    # cannot be sent to the executors once the session has been used for observations.
-    model_class = classifier.fit(train.withColumn("_label", as_label)).copy()
-    model_off = regressor("pIC50_COX1", "pIC50_COX1_pred").fit(off)
-    tested = model_class.transform(model.transform(test).drop("features"))
+    shape = {"trees": trees, "depth": depth, "seed": seed, "lot": lot, "store": store}
+    model = fit_forest(train, features, "pIC50_COX2", **shape)
+    model_class = fit_forest(train, features, "active_COX2", True, **shape)
+    model_off = fit_forest(off, features, "pIC50_COX1", **shape)
+    tested = model_class.transform(model.transform(test, "pIC50_COX2_pred"), "active_pred")
     metrics = {
         **regression_metrics(tested, "pIC50_COX2", "pIC50_COX2_pred").first().asDict(),
         **accuracy(tested, "active_COX2", "active_pred").first().asDict(),
@@ -129,8 +111,8 @@ def score_activity(df: DataFrame, models: ActivityModels) -> DataFrame:
     Row by row on the executors, no shuffle.
     """
     rows = models.domain.transform(drop_incomplete(df, models.features))
-    rows = models.target.transform(rows).drop("features")
-    rows = models.off_target.transform(rows).drop("features")
+    rows = models.target.transform(rows, "pIC50_COX2_pred")
+    rows = models.off_target.transform(rows, "pIC50_COX1_pred")
     return rows.withColumns(
         {"IC50_COX2_pred_nM": ic50_nm("pIC50_COX2_pred"), "IC50_COX1_pred_nM": ic50_nm("pIC50_COX1_pred")}
     ).withColumns(

@@ -12,6 +12,7 @@ from screenfunnel.operators.order import group_quantiles
 from screenfunnel.operators.profile import distinct_counts
 from screenfunnel.operators.stats import Desirability
 from screenfunnel.plans.prioritise import shortlist
+from screenfunnel.session import scratch_path
 from screenfunnel.queries.base import query, settle, table
 
 # --- assays -----------------------------------------------------------------------------------
@@ -324,15 +325,44 @@ def part_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scored_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lots of trees; how many trees and how deep are parameters, see the README for the time that the defaults take."""
+    path = scratch_path(spark, "features")
+    part_features(spark, sf).write.parquet(path)
+    rows = models.add_targets(spark.read.parquet(path))
+    fitted = models.fit_activity_models(rows, ("f1", "f2", "f3", "f4"), "l_partkey", trees=10, depth=5, lot=5)
+    return models.score_activity(rows, fitted)
+
+
 @query("forest_scores")
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.add_targets(part_features(spark, sf)).persist()
-    fitted = models.fit_activity_models(rows, ("f1", "f2", "f3", "f4"), "l_partkey", trees=10, depth=5)
-    return models.score_activity(rows, fitted).select(
+    return scored_parts(spark, sf).select(
         "l_partkey", "AD_Distance", "In_AD", "pIC50_COX2_pred", "pIC50_COX1_pred", "SI_pred", "QSAR_score"
     )
 
 
+@query(
+    "forest_identities",
+    """SELECT l_partkey, true AS nm_of_target, true AS nm_of_off_target, true AS selectivity, true AS score, true AS within_training
+       FROM lineitem GROUP BY l_partkey""",
+)
+def forest_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for the predictions of any forest: the derived columns, and a mean of training values lies among them."""
+    rows = scored_parts(spark, sf)
+    near = lambda x, y: F.abs(x - y) <= F.lit(1e-9) * F.abs(y)
+    c = F.col
+    # pIC50 = 9 - log10(nM); a training value of the target is at most 9 - log10 of the least sum.
+    least, most = part_features(spark, sf).agg(F.min("IC50_COX2_median"), F.max("IC50_COX2_median")).first()
+    return rows.select(
+        "l_partkey",
+        near(c("IC50_COX2_pred_nM"), F.pow(F.lit(10.0), 9 - c("pIC50_COX2_pred"))).alias("nm_of_target"),
+        near(c("IC50_COX1_pred_nM"), F.pow(F.lit(10.0), 9 - c("pIC50_COX1_pred"))).alias("nm_of_off_target"),
+        near(c("SI_pred"), c("IC50_COX1_pred_nM") / c("IC50_COX2_pred_nM")).alias("selectivity"),
+        (F.abs(c("QSAR_score") - (2 * c("pIC50_COX2_pred") - c("pIC50_COX1_pred"))) < 1e-9).alias("score"),
+        c("pIC50_COX2_pred").between(9 - F.log10(F.lit(most)) - 1e-9, 9 - F.log10(F.lit(least)) + 1e-9).alias("within_training"),
+    )
+
+
 @query("cluster_shortlist")
 def cluster_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")

@@ -338,6 +338,54 @@ def search_box(spark: SparkSession, sf: str) -> DataFrame:
     return contacts.search_box(centres, "label", 24.0, fixed)
 
 
+# Structure 1 is the reference. The others are its residues turned about z by a known angle and shifted; every third has a ligand
+# of its own, every fifth too few residues.
+SITE_SQL = """
+    WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey = 1 THEN 1.0 WHEN c_custkey % 2 = 0 THEN 0.6 ELSE 0 END AS co,
+      CASE WHEN c_custkey = 1 THEN 0 WHEN c_custkey % 2 = 0 THEN 0.8 ELSE 1 END AS si, CASE WHEN c_custkey = 1 THEN 0 ELSE c_nationkey END AS tx,
+      CASE WHEN c_custkey = 1 THEN 0 ELSE c_custkey % 50 END AS ty, CASE WHEN c_custkey = 1 THEN 0 ELSE 3 END AS tz FROM customer),
+    m AS (SELECT *, CASE WHEN k = 1 OR k % 3 = 0 THEN 'ligand' WHEN k % 5 = 1 THEN 'fallback' ELSE 'transferred' END AS source FROM s)
+    SELECT 'S' || k AS structure_id, source,
+      round(CASE WHEN k = 1 THEN 10 WHEN source = 'ligand' THEN k + 1 WHEN source = 'fallback' THEN 73
+        ELSE co * (10 - tx) + si * (20 - ty) END, 3)::DOUBLE AS center_x,
+      round(CASE WHEN k = 1 THEN 20 WHEN source = 'ligand' THEN k + 1 WHEN source = 'fallback' THEN 52
+        ELSE co * (20 - ty) - si * (10 - tx) END, 3)::DOUBLE AS center_y,
+      round(CASE WHEN k = 1 THEN 30 WHEN source = 'ligand' THEN 6 WHEN source = 'fallback' THEN 28 ELSE 30 - tz END, 3)::DOUBLE AS center_z,
+      24.0::DOUBLE AS size_x, 24.0::DOUBLE AS size_y, 24.0::DOUBLE AS size_z FROM m
+"""
+
+
+def turned_structures(spark: SparkSession, sf: str) -> DataFrame:
+    k, i = F.col("c_custkey"), F.col("i")
+    first = k == 1
+    co = F.when(first, 1.0).when(k % 2 == 0, 0.6).otherwise(0.0)
+    si = F.when(first, 0.0).when(k % 2 == 0, 0.8).otherwise(1.0)
+    at = [((i * step) % over).cast("double") for step, over in ((7, 11), (5, 13), (3, 17))]
+    shift = [F.when(first, 0).otherwise(v) for v in (F.col("c_nationkey"), k % 50, F.lit(3))]
+    rows = table(spark, sf, "customer", "c_custkey", "c_nationkey").withColumn("structure_id", F.concat(F.lit("S"), k))
+    residues = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(~first & (k % 5 == 1), 2).otherwise(12)))).select(
+        "structure_id", F.lit("ATOM").alias("record"), F.lit("CA").alias("atom"), F.lit("ALA").alias("residue"), F.lit("A").alias("chain"),
+        (i + F.when(first, 100).otherwise(300)).alias("resnum"), i.alias("atom_no"), (co * at[0] - si * at[1] + shift[0]).alias("x"),
+        (si * at[0] + co * at[1] + shift[1]).alias("y"), (at[2] + shift[2]).alias("z"),
+    )
+    ligands = rows.filter(first | (k % 3 == 0)).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "structure_id", F.lit("HETATM").alias("record"), F.lit("C1").alias("atom"), F.lit("LIG").alias("residue"), F.lit("A").alias("chain"),
+        F.lit(900).alias("resnum"), (i + 13).alias("atom_no"), *[F.when(first, one + 2 * i - 1).otherwise(other).cast("double").alias(c)
+        for c, one, other in (("x", 10, k + 2 * i), ("y", 20, k + 2 - 2 * i), ("z", 30, 5 + 2 * i))],
+    )
+    return residues.unionByName(ligands)
+
+
+@query("site_boxes", SITE_SQL)
+def site_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    atoms = turned_structures(spark, sf)
+    residues = spark.range(1, 13).select((F.col("id") + 100).alias("ref_resnum"), (F.col("id") + 300).alias("mob_resnum"))
+    path = scratch_path(spark, "sites")
+    contacts.binding_sites(atoms, "structure_id", F.col("residue") == "LIG", "S1", residues).write.parquet(path)
+    sites = spark.read.parquet(path)
+    return contacts.search_box(sites, "structure_id").join(sites.select("structure_id", "source"), "structure_id")
+
+
 @query(
     "geometric_score",
     """WITH n AS (SELECT unnest(range(1, 11)) AS i),

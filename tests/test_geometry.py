@@ -152,3 +152,33 @@ def test_best_poses(spark, site):
     assert got == {"6COX": ("COX2", 2, -8.0, 4.0), "3KK6": ("COX1", 1, -5.0, 0.0)}
     whole = {r.receptor_id: r.best_pose_rank for r in best_poses(poses, atoms, site, per_model=False).collect()}
     assert whole == {"6COX": 1, "3KK6": 1}  # all poses tie, the first wins
+
+
+def turned(name, rotation, shift, n=6, ligand=None):
+    base = np.array([[1, 0, 2], [4, 1, 0], [0, 5, 1], [3, 3, 3], [7, 2, 5], [1, 8, 2]], float)[:n]
+    rows = [(name, "ATOM", "CA", "ALA", "A", i + 1, i, *map(float, rotation @ p + shift)) for i, p in enumerate(base)]
+    return rows + [(name, "HETATM", "C1", "LIG", "A", 900, 100 + i, *map(float, p)) for i, p in enumerate(ligand or [])]
+
+
+def test_binding_sites(spark):
+    """Own ligand, else the reference's centre by superposition, else the fixed one; both directions of the transfer."""
+    c, s = np.cos(0.7), np.sin(0.7)
+    turn, move, one = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]), np.array([5.0, -2.0, 9.0]), np.eye(3)
+    schema = "structure_id string, record string, atom string, residue string, chain string, resnum int, atom_no int, x double, y double, z double"
+    rows = turned("ref", one, 0, ligand=[(1, 2, 3), (3, 4, 5)]) + turned("own", turn, move, ligand=[(9, 9, 9)])
+    rows += turned("moved", turn, move) + turned("few", turn, move, n=2) + [("none", "HETATM", "O", "HOH", "A", 1, 1, 0.0, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, schema)
+    same = spark.createDataFrame([(i, i) for i in range(1, 7)], "ref_resnum int, mob_resnum int")
+    is_ligand = F.col("residue") == "LIG"
+
+    def found(**kw):
+        return {r.structure_id: (r.source, np.array([r.center_x, r.center_y, r.center_z])) for r in contacts.binding_sites(atoms, "structure_id", is_ligand, "ref", same, **kw).collect()}
+
+    for into_frame, want in ((True, turn @ [2, 3, 4] + move), (False, turn.T @ ([2, 3, 4] - move))):
+        got = found(into_frame=into_frame)
+        assert {k: v[0] for k, v in got.items()} == {"ref": "ligand", "own": "ligand", "moved": "transferred", "few": "fallback", "none": "fallback"}
+        assert np.allclose(got["moved"][1], want) and np.allclose(got["own"][1], 9) and np.allclose(got["few"][1], [73, 52, 28])
+    given = found(centre=(0.0, 0.0, 0.0), into_frame=True)
+    assert np.allclose(given["moved"][1], move) and np.allclose(given["ref"][1], [2, 3, 4])
+    bare = contacts.binding_sites(atoms.filter(~is_ligand), "structure_id", is_ligand, "ref", same)
+    assert {r.source for r in bare.collect()} == {"fallback"}

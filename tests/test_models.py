@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from screenfunnel.operators import models, profile, stats
+from screenfunnel.operators import forests, models, profile, stats
 from screenfunnel.plans import library, presets, prioritise
 from screenfunnel.operators.rules import Limit
 from screenfunnel.operators.screen import Alert
@@ -87,8 +88,8 @@ def test_targets(assays):
 
 def test_fit_score_save_load(spark, assays, tmp_path):
     profile.observed(spark.range(1), {"any": F.col("id") >= 0}, "before")[0].count()
-    fitted = models.fit_activity_models(models.add_targets(assays), ("a", "b", "c"), trees=8, depth=6)
-    assert not fitted.target_class.stages[-1].hasSummary
+    fitted = models.fit_activity_models(models.add_targets(assays), ("a", "b", "c"), trees=8, depth=6, lot=3)
+    assert [m.getNumTrees for m in fitted.target.lots] == [3, 3, 2] and not any(m.hasSummary for m in fitted.target_class.lots)
     assert fitted.metrics["r2"] > 0.5 and fitted.metrics["accuracy"] > 0.8
     scored = models.score_activity(assays, fitted).cache()
     assert scored.count() == 241  # the row without a descriptor is dropped
@@ -105,6 +106,39 @@ def test_fit_score_save_load(spark, assays, tmp_path):
     assert accepted.agg(F.min("QSAR_score")).first()[0] >= rejected.agg(F.max("QSAR_score")).first()[0]
 
 
+def test_lots_predict_as_one_forest(spark, assays, tmp_path):
+    """Mean and votes over all trees; a cut-off run goes on with the lot that is missing, other rows start anew."""
+    rows = models.add_targets(assays).withColumn("kind", F.floor(F.col("a") / 3.4))
+    shape = {"trees": 7, "depth": 4, "lot": 3, "store": str(tmp_path)}
+    forest = forests.fit_forest(rows, ("a", "b", "c"), "pIC50_COX2", **shape)
+    votes = forests.fit_forest(rows, ("a", "b", "c"), "kind", True, **shape)
+    usable = rows.dropna(subset=["a", "b", "c"])
+    got = {r.ChEMBL_ID: r for r in votes.transform(forest.transform(usable, "mean"), "voted").collect()}
+    for i in ("M0", "M7", "M100"):
+        r = got[i]
+        x = Vectors.dense(r.a, r.b, r.c)
+        assert r["mean"] == pytest.approx(np.mean([t.predict(x) for m in forest.lots for t in m.trees]))
+        raw = sum(m.predictRaw(x).toArray() for m in votes.lots)
+        assert r.voted == int(np.argmax(raw)) and raw.sum() == pytest.approx(7)
+    assert forest.trees == 7 and forest.join(forest).trees == 14
+    with pytest.raises(ValueError):
+        forest.join(votes)
+
+    lots = sorted(p for p in tmp_path.glob("*/lot-*"))
+    assert len(lots) == 6
+    first = sorted(lots[0].parent.glob("lot-*"))
+    kept = [(p / "manifest").stat().st_mtime_ns for p in first]
+    (first[1] / "manifest").rename(tmp_path / "lost")
+    again = forests.fit_forest(rows, ("a", "b", "c"), *(("kind", True) if "classification" in str(next((first[0] / "trees").glob("metadata/part*")).read_text()) else ("pIC50_COX2",)), **shape)
+    now = [(p / "manifest").stat().st_mtime_ns for p in first]
+    assert now[0] == kept[0] and now[2] == kept[2] and now[1] != kept[1]
+    before = votes if again.classifies else forest
+    same = before.transform(again.transform(usable, "x"), "y")
+    assert same.filter("x <> y").count() == 0
+    forests.fit_forest(rows.filter("a > 1"), ("a", "b", "c"), "pIC50_COX2", **shape)
+    assert len(list(tmp_path.glob("*/lot-*"))) == 9
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rnd = random.Random(1)
