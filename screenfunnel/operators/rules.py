@@ -66,6 +66,17 @@ def range_filter(
     return df.filter(~holds(failed)), rejected
 
 
+def tag_range(df: DataFrame, limits: Sequence[Limit], out: str = "Rejection") -> DataFrame:
+    """``df`` with the reasons of its rejection, or null in accepted rows: :func:`range_filter` in one pass."""
+    require_columns(df, [x.column for x in limits], "tag_range")
+    if not limits:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name in {x.column for x in limits}]
+    df = df.withColumns({c: number(c) for c in texts}) if texts else df
+    reason = rejection_reason(limits)
+    return df.withColumn(out, F.when(reason != "", reason))
+
+
 def derive_limits(
     product_limits: dict[str, float], deltas: dict[str, float], partner: DataFrame
 ) -> dict[str, float]:
@@ -79,10 +90,22 @@ def derive_limits(
     return {c: product_limits[c] - deltas.get(c, 0.0) - (least[c] or 0.0) for c in columns}
 
 
-def violations(rules: dict[str, Column]) -> Column:
-    """``none`` or the names of the failed rules joined by ``", "``; an unknown rule fails."""
-    names = F.concat_ws(", ", *[F.when(~holds(passed), F.lit(name)) for name, passed in rules.items()])
-    return F.when(names == "", "none").otherwise(names)
+def tag_rule_set(
+    df: DataFrame,
+    rules: dict[str, Column],
+    max_fail: int = 1,
+    out: str = "Violation",
+    after: str | None = None,
+    decision: str = "decision",
+) -> DataFrame:
+    """``df`` with the violated rules and ``accepted`` (at most ``max_fail`` of them) or ``rejected``, in one pass."""
+    # The generator keeps the optimiser from evaluating the rules once per use of the result.
+    failed = F.array_compact(F.array(*[F.when(~holds(passed), F.lit(name)) for name, passed in rules.items()]))
+    tagged = df.select("*", F.explode(F.array(failed)).alias("_failed"))
+    names = F.when(F.size("_failed") == 0, "none").otherwise(F.array_join("_failed", ", "))
+    tagged = insert_after(tagged, out, names, after) if after else tagged.withColumn(out, names)
+    verdict = F.when(F.size("_failed") <= max_fail, "accepted").otherwise("rejected")
+    return tagged.withColumn(decision, verdict).drop("_failed")
 
 
 def rule_set_filter(
@@ -92,12 +115,10 @@ def rule_set_filter(
     out: str = "Violation",
     after: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a row stays if at most ``max_fail`` of the named rules fail."""
-    fails = reduce(lambda a, b: a + b, [F.when(holds(passed), 0).otherwise(1) for passed in rules.values()])
-    tagged = (
-        insert_after(df, out, violations(rules), after) if after else df.withColumn(out, violations(rules))
-    )
-    return tagged.filter(fails <= max_fail), tagged.filter(fails > max_fail)
+    """(accepted, rejected): a row stays if at most ``max_fail`` of the named rules fail. Store :func:`tag_rule_set`
+    instead where both sides are needed and the input is costly."""
+    tagged = tag_rule_set(df, rules, max_fail, out, after, "_decision")
+    return tuple(tagged.filter(F.col("_decision") == side).drop("_decision") for side in ("accepted", "rejected"))
 
 
 def clean_key(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import holds, keep_existing, number, selectivity
-from screenfunnel.operators.rules import Limit, range_filter
+from screenfunnel.operators.rules import Limit, range_filter, tag_range
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,27 @@ def first_alert(
     return F.coalesce(*hits)
 
 
+def tag_alerts(
+    df: DataFrame,
+    text_col: str,
+    catalogue: Sequence[Alert],
+    match: Callable[[Column, Alert], Column] = regex_match,
+    valid: Callable[[Column], Column] | None = None,
+    skip: Column | None = None,
+) -> DataFrame:
+    """``df`` with MatchAlert and Substructure of the first match, null in clean rows; rows that ``skip`` holds for are not
+    looked at. Rows that ``valid`` refuses, and null texts, are ``invalid_smiles``."""
+    text = F.col(text_col)
+    usable = holds(valid(text)) if valid else text.isNotNull()
+    invalid = F.struct(F.lit("invalid_smiles").alias("family"), F.lit("").alias("name"))
+    hit = F.when(~usable, invalid).otherwise(first_alert(text, catalogue, match))
+    if skip is not None:
+        hit = F.when(~skip, hit)
+    # The generator keeps the optimiser from evaluating the patterns once per use of the result.
+    tagged = df.select("*", F.explode(F.array(hit)).alias("_hit"))
+    return tagged.withColumns({"MatchAlert": F.col("_hit.family"), "Substructure": F.col("_hit.name")}).drop("_hit")
+
+
 def alert_screen(
     df: DataFrame,
     text_col: str,
@@ -67,25 +88,43 @@ def alert_screen(
     ``match`` may use any column function or pandas UDF; rows that ``valid`` refuses, and null
     texts, are rejected as ``invalid_smiles``.
     """
-    text = F.col(text_col)
-    usable = holds(valid(text)) if valid else text.isNotNull()
-    hit = F.when(
-        ~usable, F.struct(F.lit("invalid_smiles").alias("family"), F.lit("").alias("name"))
-    ).otherwise(first_alert(text, catalogue, match))
-    # The generator keeps the optimiser from evaluating the patterns once per use of the result.
-    tagged = df.select("*", F.explode(F.array(hit)).alias("_hit"))
-    accepted = tagged.filter(F.col("_hit").isNull()).drop("_hit")
-    rejected = (
-        tagged.filter(F.col("_hit").isNotNull())
-        .withColumn("MatchAlert", F.col("_hit.family"))
-        .withColumn("Substructure", F.col("_hit.name"))
-        .drop("_hit")
-    )
+    tagged = tag_alerts(df, text_col, catalogue, match, valid)
+    accepted = tagged.filter(F.col("MatchAlert").isNull()).drop("MatchAlert", "Substructure")
+    rejected = tagged.filter(F.col("MatchAlert").isNotNull())
     if rejected_columns is not None:
         rejected = keep_existing(rejected, [*rejected_columns, "MatchAlert", "Substructure"])
     return accepted, rejected
 
 
+def decide(
+    df: DataFrame,
+    limits: Sequence[Limit],
+    text_col: str | None = None,
+    catalogue: Sequence[Alert] = (),
+    match: Callable[[Column, Alert], Column] = regex_match,
+    valid: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Range filter, then alert screen as one pass: ``df`` with Rejection, MatchAlert, Substructure and ``decision``
+    (``accepted``, ``range`` or ``alert``). Without a text column nothing is screened.
+
+    The result is meant to be stored once by :func:`~screenfunnel.sources.sinks.write_decided`, whose sides are then reads.
+    """
+    tagged = tag_range(df, limits)
+    if text_col is None:
+        none = F.lit(None).cast("string")
+        tagged = tagged.withColumns({"MatchAlert": none, "Substructure": none})
+    else:
+        tagged = tag_alerts(tagged, text_col, catalogue, match, valid, F.col("Rejection").isNotNull())
+    verdict = F.when(F.col("Rejection").isNotNull(), "range").when(F.col("MatchAlert").isNotNull(), "alert").otherwise("accepted")
+    return tagged.withColumn("decision", verdict)
+
+
+def sides(decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accepted, rejected by range, rejected by alert) of a decided table, each with its own columns."""
+    side = lambda name, *drop: decided.filter(F.col("decision") == name).drop("decision", *drop)
+    return side("accepted", "Rejection", "MatchAlert", "Substructure"), side("range", "MatchAlert", "Substructure"), side("alert", "Rejection")
+
+
 def filter_and_screen(
     df: DataFrame,
     limits: Sequence[Limit],

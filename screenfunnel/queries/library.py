@@ -11,6 +11,7 @@ from screenfunnel.operators.profile import stage_counters
 from screenfunnel.operators.rules import Limit
 from screenfunnel.operators.screen import Alert
 from screenfunnel.plans.library import LibraryPlan, run_library
+from screenfunnel.plans.library import library_counts as counts_of
 from screenfunnel.queries.base import query, settle, table
 from screenfunnel.session import scratch_path
 
@@ -242,8 +243,7 @@ ROUTE_SQL = """
 """
 
 
-@query("three_step_route", ROUTE_SQL)
-def three_step_route(spark: SparkSession, sf: str) -> DataFrame:
+def route(spark: SparkSession, sf: str, store: str, **settings) -> dict[str, DataFrame]:
     """Parts with suppliers, the cheapest of each product with customers and with a reagent."""
 
     def blocks(name: str, letter: str, key: str, text, price: str) -> DataFrame:
@@ -262,21 +262,61 @@ def three_step_route(spark: SparkSession, sf: str) -> DataFrame:
         oxazolone_limits=[Limit("PriceMol", ">", 1150.0, 2)],
         product_limits=[Limit("PriceMol", ">", 1190.0, 2)],
         catalogue=[Alert(1, "First", "brand", "Brand#1/"), Alert(2, "Second(a)", "seven", "ECONOMY.*7")],
+        **settings,
     )
-    out = run_library(
+    return run_library(
         plan,
         blocks("part", "A", "p_partkey", F.concat_ws("/", "p_type", "p_brand"), "p_retailprice"),
         blocks("supplier", "C", "s_suppkey", F.col("s_name"), "s_acctbal"),
         blocks("customer", "N", "c_custkey", F.col("c_mktsegment"), "c_acctbal"),
-        scratch_path(spark, "route"),
+        store,
     )
+
+
+@query("three_step_route", ROUTE_SQL)
+def three_step_route(spark: SparkSession, sf: str) -> DataFrame:
+    out = route(spark, sf, scratch_path(spark, "route"))
     columns = ["ID", "SMILES", settle("PriceMol", 4).alias("PriceMol")]
     return out["imidazolones"].select(F.lit("imidazolones").alias("family"), *columns).unionByName(
         out["thiazolones"].select(F.lit("thiazolones").alias("family"), *columns)
     )
 
 
-# --- one row per key --------------------------------------------------------------------------
+# Parts and suppliers that no oxazolone within its limit can hold are dropped before pairing.
+COUNTS_SQL = """
+    WITH a0 AS (SELECT p_type || '/' || p_brand AS txt, 'A' || p_partkey AS id, p_retailprice AS price FROM part WHERE p_retailprice > 0),
+    c0 AS (SELECT s_name AS txt, 'C' || s_suppkey AS id, s_acctbal AS price FROM supplier WHERE s_acctbal > 0),
+    a AS (SELECT * FROM a0 WHERE price <= 1150 - (SELECT min(price) FROM c0)),
+    c AS (SELECT * FROM c0 WHERE price <= 1150 - (SELECT min(price) FROM a0)),
+    n AS (SELECT c_mktsegment AS txt, 'N' || c_custkey AS id, c_acctbal AS price FROM customer WHERE c_acctbal > 0),
+    op AS (SELECT a.txt || '.' || c.txt AS txt, a.id || c.id AS id, a.price + c.price AS price FROM a JOIN c ON a.price + c.price <= 1200),
+    og AS (SELECT txt, min(price) AS price FROM op GROUP BY txt),
+    ox AS (SELECT * FROM og WHERE price <= 1150),
+    ip AS (SELECT ox.txt || '-' || n.txt AS txt, ox.price + n.price AS price FROM ox JOIN n ON n.price <= 1200 - ox.price),
+    tp AS (SELECT txt || '=S' AS txt, price + 10 AS price FROM ox WHERE price + 10 <= 1200),
+    raw AS (SELECT 'imidazolones' AS family, txt, min(price) AS price FROM ip GROUP BY txt
+            UNION ALL SELECT 'thiazolones', txt, min(price) FROM tp GROUP BY txt),
+    judged AS (SELECT family, CASE WHEN price > 1190 THEN 'range' WHEN regexp_matches(txt, 'Brand#1/') OR regexp_matches(txt, 'ECONOMY.*7')
+               THEN 'alert' ELSE 'accepted' END AS decision FROM raw)
+    SELECT 'oxazolones_raw' AS stage, unnest(['pairs', 'problematic', 'no_product', 'failed_products', 'products', 'rows']) AS counter,
+      unnest([(SELECT count(*) FROM op), 0, 0, 0, (SELECT count(*) FROM op), (SELECT count(*) FROM og)]) AS n
+    UNION ALL SELECT 'imidazolones_raw', unnest(['pairs', 'problematic', 'no_product', 'failed_products', 'products', 'rows']),
+      unnest([(SELECT count(*) FROM ip), 0, 0, 0, (SELECT count(*) FROM ip), (SELECT count(*) FROM raw WHERE family = 'imidazolones')])
+    UNION ALL SELECT 'thiazolones_raw', unnest(['pairs', 'problematic', 'no_product', 'failed_products', 'products', 'rows']),
+      unnest([(SELECT count(*) FROM tp), 0, 0, 0, (SELECT count(*) FROM tp), (SELECT count(*) FROM raw WHERE family = 'thiazolones')])
+    UNION ALL SELECT 'oxazolones', unnest(['accepted', 'range', 'alert']),
+      unnest([(SELECT count(*) FROM ox), (SELECT count(*) FROM og WHERE price > 1150), 0])
+    UNION ALL SELECT f.family, d.decision, (SELECT count(*) FROM judged j WHERE j.family = f.family AND j.decision = d.decision)
+      FROM (SELECT unnest(['imidazolones', 'thiazolones']) AS family) f, (SELECT unnest(['accepted', 'range', 'alert']) AS decision) d
+"""
+
+
+@query("library_counts", COUNTS_SQL)
+def library_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each stage of the route has counted while it was written."""
+    store = scratch_path(spark, "route")
+    route(spark, sf, store, condensation_deltas={"PriceMol": 0.0})
+    return counts_of(spark, store)
 
 
 @query(
@@ -435,12 +475,7 @@ def rule_set_violations(spark: SparkSession, sf: str) -> DataFrame:
         "Status": (c("o_orderstatus") != "P") & (c("l_returnflag") != "R"),
         "Floor": (c("l_quantity") >= 2) & (c("o_totalprice") >= 5000),
     }
-    accepted, rejected = rules.rule_set_filter(lines, named)
-    keep = ["l_orderkey", "l_linenumber", "l_partkey", "Violation"]
-    return (
-        accepted.select(*keep).withColumn("decision", F.lit("accepted"))
-        .unionByName(rejected.select(*keep).withColumn("decision", F.lit("rejected")))
-    )
+    return rules.tag_rule_set(lines, named).select("l_orderkey", "l_linenumber", "l_partkey", "Violation", "decision")
 
 
 @query(
@@ -555,12 +590,7 @@ def alert_screen_two_tier(spark: SparkSession, sf: str) -> DataFrame:
 )
 def filter_and_screen(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "n_chars")
-    accepted, by_range, by_alert = screen.filter_and_screen(docs, [Limit("n_chars", ">", 4000)], "text", CATALOGUE)
-    parts = [
-        df.select("doc_id", F.lit(stage).alias("stage"))
-        for df, stage in ((accepted, "accepted"), (by_range, "range"), (by_alert, "alert"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return screen.decide(docs, [Limit("n_chars", ">", 4000)], "text", CATALOGUE).select("doc_id", F.col("decision").alias("stage"))
 
 
 @query(

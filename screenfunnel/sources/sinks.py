@@ -63,18 +63,30 @@ def read_split(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[Da
     )
 
 
+def write_decided(df: DataFrame, path: str, decisions: Sequence[str], column: str = "decision", fmt: str = "parquet") -> dict[str, int]:
+    """A table with a decision per row, written once, one folder per decision; returns the rows of each of ``decisions``.
+
+    The decision and all it depends on are evaluated once; a side is a read of its folder. Counts come with the write.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col(column) == d).alias(d) for d in decisions]
+    df.observe(seen, *counts).write.mode("overwrite").partitionBy(column).format(fmt).save(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def materialise(
     spark: SparkSession,
     path: str,
     params: dict[str, Any],
     compute: Callable[[], DataFrame],
     force: bool = False,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """A stage's stored output if it was made with the same parameters, else made and stored now.
 
     The manifest is voided before the data is overwritten and written last, so a stage that was cut
     off is made again; reading the stored table also cuts the lineage. The parameter hash is kept
-    on a forced run too.
+    on a forced run too. ``watch`` is an observation that ``compute`` takes on the way; its counts stand in the manifest.
     """
     wanted = params_hash(params)
     found = None if force else read_manifest(spark, f"{path}/manifest")
@@ -82,10 +94,32 @@ def materialise(
         write_manifest(spark, f"{path}/manifest", UNFINISHED)
         seen = Observation()
         compute().observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/data")
-        write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, "rows": int(seen.get["rows"])})
+        counts = {k: int(v) for k, v in watch.get.items()} if watch is not None else {}
+        write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, "rows": int(seen.get["rows"]), **counts})
+    return spark.read.parquet(f"{path}/data")
+
+
+def materialise_decided(
+    spark: SparkSession, path: str, params: dict[str, Any], compute: Callable[[], DataFrame], decisions: Sequence[str]
+) -> DataFrame:
+    """The same for a decided table, by :func:`write_decided`; the rows of each decision stand in the manifest."""
+    wanted = params_hash(params)
+    found = read_manifest(spark, f"{path}/manifest")
+    if found is None or found.get("params_hash") != wanted:
+        write_manifest(spark, f"{path}/manifest", UNFINISHED)
+        made = compute()
+        counts = write_decided(made, f"{path}/data", decisions)
+        write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, **counts})
     return spark.read.parquet(f"{path}/data")
 
 
+def stage_counts(spark: SparkSession, store: str, stages: Sequence[str]) -> DataFrame:
+    """stage, counter, n: what the manifests of stored stages have counted on their way; stages without one are left out."""
+    found = {stage: read_manifest(spark, f"{store}/{stage}/manifest") or {} for stage in stages}
+    rows = [(stage, k, v) for stage, counts in found.items() for k, v in counts.items() if isinstance(v, int)]
+    return spark.createDataFrame(rows, "stage string, counter string, n long")
+
+
 def materialise_split(
     spark: SparkSession,
     path: str,
