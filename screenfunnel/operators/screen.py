@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import holds, keep_existing, number, selectivity
+from screenfunnel.operators.literals import candidates, required_literals
 from screenfunnel.operators.rules import Limit, range_filter, tag_range
 
 
+#: Catalogues of so many entries find the patterns worth trying in one pass over the text.
+AUTOMATON_FROM = 32
+
+
 @dataclass(frozen=True)
 class Alert:
     """``tier`` orders the catalogue, ``family`` is the reported class, ``name`` the entry."""
@@ -29,29 +34,44 @@ def regex_match(text: Column, alert: Alert) -> Column:
 def read_catalogue(df: DataFrame) -> list[Alert]:
     """A catalogue table (tier, ord, family, name, pattern) as a list, in screening order.
 
-    A catalogue is a hand-kept list that ends up in the plan as expressions; more than 5000
-    entries is refused.
+    A catalogue is configuration that goes into the plan, some 5 MB for 100 000 entries.
     """
-    rows = df.orderBy("tier", "ord").limit(5001).collect()
-    if len(rows) > 5000:
-        raise ValueError("an alert catalogue may hold at most 5000 entries")
-    return [Alert(r.tier, r.family, r.name, r.pattern) for r in rows]
+    return [Alert(r.tier, r.family, r.name, r.pattern) for r in df.orderBy("tier", "ord").collect()]
 
 
 def first_alert(
     text: Column, catalogue: Sequence[Alert], match: Callable[[Column, Alert], Column] = regex_match
 ) -> Column:
-    """(family, name) of the first matching entry, or null.
+    """(family, name) of the first matching entry, or null. No join, no shuffle, no row per pattern.
 
-    One ``coalesce``: entries are tried in order and the rest is not evaluated after a match, so
-    tier 2 only sees rows that are clean in tier 1. No join, no shuffle, no row per pattern.
+    A short catalogue, or one with a ``match`` of its own, is one ``coalesce``: entries are tried in order and the rest is not
+    evaluated after a match, so tier 2 only sees rows that are clean in tier 1. From ``AUTOMATON_FROM`` entries on, one pass
+    over the text finds the entries whose required literals it holds; only those patterns are tried, in order. Entries
+    without such a literal are tried one by one as before.
     """
     ordered = sorted(catalogue, key=lambda a: a.tier)
-    hits = [
-        F.when(holds(match(text, a)), F.struct(F.lit(a.family).alias("family"), F.lit(a.name).alias("name")))
-        for a in ordered
-    ]
-    return F.coalesce(*hits)
+    if match is not regex_match or len(ordered) < AUTOMATON_FROM:
+        return F.coalesce(*[F.when(holds(match(text, a)), _reported(a)) for a in ordered])
+    needs = [required_literals(a.pattern) for a in ordered]
+    quick = [i for i, x in enumerate(needs) if x]
+    slow = [i for i, x in enumerate(needs) if not x]
+    found = F.lit(None).cast("int")
+    if quick:
+        patterns = F.array(*[F.lit(ordered[i].pattern) for i in quick])
+        places = F.array(*[F.lit(i) for i in quick])
+        near = candidates([needs[i] for i in quick])(text)
+        hits = F.filter(near, lambda i: F.rlike(text, F.element_at(patterns, i)))
+        found = F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, F.element_at(places, F.get(h, F.lit(0)))))[0]
+    for i in reversed(slow):
+        # the place of the first slow entry that matches, unless a quick one stands before it
+        found = F.when(holds(match(text, ordered[i])) & F.coalesce(found > i, F.lit(True)), i).otherwise(found)
+    families, names = (F.array(*[F.lit(getattr(a, field)) for a in ordered]) for field in ("family", "name"))
+    reported = F.transform(F.array(found), lambda i: F.when(i.isNotNull(), F.struct(F.element_at(families, i + 1).alias("family"), F.element_at(names, i + 1).alias("name"))))
+    return F.get(reported, F.lit(0))
+
+
+def _reported(alert: Alert) -> Column:
+    return F.struct(F.lit(alert.family).alias("family"), F.lit(alert.name).alias("name"))
 
 
 def tag_alerts(
