@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from screenfunnel.operators.order import number_rows
 
+# A receptor list stands in the plan up to this many; longer ones are tables (task_grid_of_tables).
 MAX_RECEPTORS = 1000
+# Receptors are broadcast up to this many; beyond, both sides are shuffled in slices of about so many.
+SLICE_ROWS = 100_000
 TASK = ["ligand_id", "receptor_id"]
 
 
@@ -35,6 +38,39 @@ def task_grid(ligands: DataFrame, receptors: Sequence[str], id_col: str = "ID",
     )
 
 
+def task_grid_of_tables(
+    ligands: DataFrame,
+    receptors: DataFrame,
+    id_col: str = "ID",
+    order: str = "row_order",
+    receptor_id: str = "receptor_id",
+    receptor_order: str = "row_order",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """:func:`task_grid` for a receptor table of any size, in the order of ``receptor_order`` (unique and numeric as well).
+
+    Both sides are numbered, and a task's number follows from the two places. Each ligand goes once to every slice of
+    receptors and meets it by an equi-join; only a side of at most ``slice_rows`` receptors is broadcast. Nothing comes to the driver but
+    the number of receptors; without receptors there are no tasks.
+    """
+    if slice_rows < 1:
+        raise ValueError("slice_rows must be at least 1")
+    left = number_rows(ligands.select(id_col, order), order, out="_no").select(
+        F.col(id_col).cast("string").alias("ligand_id"), "_no"
+    )
+    right = number_rows(receptors.select(receptor_id, receptor_order), receptor_order, out="_place").select(
+        F.col(receptor_id).cast("string").alias("receptor_id"), "_place", F.floor((F.col("_place") - 1) / slice_rows).alias("_slice")
+    )
+    width = receptors.count()
+    slices = -(-width // slice_rows)
+    if not slices:
+        return left.select(F.col("_no").alias("task_id"), "ligand_id", F.lit("").alias("receptor_id")).filter(F.lit(False))
+    spread = left.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    return spread.join(F.broadcast(right) if slices == 1 else right, "_slice").select(
+        ((F.col("_no") - 1) * width + F.col("_place")).alias("task_id"), "ligand_id", "receptor_id"
+    )
+
+
 def pending_tasks(grid: DataFrame, logs: DataFrame, poses: DataFrame, force: bool = False) -> DataFrame:
     """Tasks that still have to run: those without both a log and a pose file, or all if forced."""
     if force:

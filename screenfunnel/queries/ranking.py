@@ -192,6 +192,19 @@ def task_grid(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.task_grid(table(spark, sf, "supplier"), receptors, "s_suppkey", "s_suppkey")
 
 
+@query(
+    "task_grid_of_tables",
+    """WITH l AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation),
+            r AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS j, count(*) OVER () AS n FROM customer)
+       SELECT (i - 1) * n + j AS task_id, n_name AS ligand_id, c_name AS receptor_id FROM l CROSS JOIN r""",
+)
+def task_grid_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """More receptors than a list may hold."""
+    return tasks.task_grid_of_tables(
+        table(spark, sf, "nation"), table(spark, sf, "customer"), "n_name", "n_nationkey", "c_name", "c_custkey"
+    )
+
+
 GRID_SQL = """
     grid AS (SELECT CAST(o_orderkey AS VARCHAR) AS ligand_id, r.receptor_id,
                (row_number() OVER (ORDER BY o_orderkey, r.j)) AS task_id

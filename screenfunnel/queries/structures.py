@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -590,6 +592,81 @@ def write_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "rescores_scan",
+    """SELECT 'X' || l_orderkey || '_' || l_linenumber AS complex_id, -l_quantity AS "delta_G_bind_kcal_mol",
+              CASE WHEN l_discount >= 0.02 THEN l_discount END AS "std_kcal_mol" FROM lineitem WHERE l_returnflag = 'R' AND l_tax < 0.08""",
+)
+def rescores_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Rescores saved as CSV, gathered under the names of result files, and read back; words in place of numbers drop out."""
+    saved, found = scratch_path(spark, "rescores"), scratch_path(spark, "results")
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+        F.concat(F.lit("X"), "l_orderkey", F.lit("_"), "l_linenumber").alias("complex_id"),
+        F.when(F.col("l_tax") < 0.08, (-F.col("l_quantity")).cast("string")).otherwise("failed").alias("delta_G_bind_kcal_mol"),
+        F.when(F.col("l_discount") >= 0.02, F.col("l_discount").cast("string")).alias("std_kcal_mol"),
+    )
+    sinks.save_rescores(lines, saved)
+    # the parts of the export as result files of their own
+    texts = spark.read.text(saved, wholetext=True, pathGlobFilter="*.csv").select("value", F.md5(F.input_file_name()).alias("name"))
+    texts.select(F.regexp_replace("value", r"\n$", "").alias("value"), F.concat("name", F.lit("_mmgbsa.csv")).alias("name")).write.partitionBy("name").text(found)
+    rows = files.rescore_rows(
+        spark.read.text(found, wholetext=True).select(F.regexp_replace("name", r"\.csv$", "").alias("stem"), "value")
+    )
+    return rows
+
+
+@query(
+    "candidates_saved",
+    "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_totalprice > 300000",
+)
+def candidates_saved(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "candidates")
+    ids = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("ligand_id")).distinct()
+    sinks.save_candidates(ids, path)
+    return spark.read.text(path)
+
+
+@query(
+    "assay_summary_scan",
+    """SELECT CAST(l_partkey AS VARCHAR) AS "ChEMBL_ID", CAST(count(*) AS VARCHAR) AS "IC50_COX1_median",
+              CAST(CAST(max(l_quantity) AS BIGINT) AS VARCHAR) AS "IC50_COX2_median" FROM lineitem GROUP BY l_partkey""",
+)
+def assay_summary_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A ``;`` table with blanks around its column names."""
+    path = scratch_path(spark, "summary")
+    table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias(" ChEMBL_ID")).agg(
+        F.count("*").alias("IC50_COX1_median "), F.max("l_quantity").cast("long").alias(" IC50_COX2_median ")
+    ).write.csv(path, sep=";", header=True)
+    return files.scan_assay_summary(spark, path)
+
+
+@query(
+    "cluster_bundle",
+    """SELECT 'clustered' AS part, count(*) AS n, floor(sum(s_acctbal) * 1e2 + 0.5001) / 1e2 AS total FROM supplier
+       UNION ALL SELECT 'representatives', count(*), floor(sum(s_acctbal) * 1e2 + 0.5001) / 1e2 FROM supplier WHERE s_suppkey % 5 = 0
+       UNION ALL SELECT 'samples', count(*), floor(sum(s_acctbal) * 1e2 + 0.5001) / 1e2 FROM supplier WHERE s_suppkey % 5 = 0
+       UNION ALL SELECT 'shortlist', count(*), floor(sum(s_acctbal) * 1e2 + 0.5001) / 1e2 FROM supplier WHERE s_suppkey % 2 = 0
+       UNION ALL SELECT 'summary', count(*), floor(sum(t) * 1e2 + 0.5001) / 1e2 FROM (SELECT sum(s_acctbal) AS t FROM supplier GROUP BY s_nationkey)
+       UNION ALL SELECT 'metadata', count(*), count(DISTINCT s_nationkey)::DOUBLE FROM supplier""",
+)
+def cluster_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Each table of the bundle read back; the samples lack the helper columns, the metadata holds rows and clusters."""
+    path = scratch_path(spark, "bundle")
+    rows = table(spark, sf, "supplier", "s_suppkey", "s_acctbal", F.col("s_nationkey").alias("Cluster")).withColumn("PC1", F.lit(0.5))
+    chosen = rows.filter("s_suppkey % 5 = 0")
+    summary = rows.groupBy("Cluster").agg(F.sum("s_acctbal").alias("s_acctbal"))
+    content = sinks.write_cluster_bundle(path, "series", rows, chosen, rows.filter("s_suppkey % 2 = 0"), summary)
+    parts = [
+        spark.read.parquet(f"{path}/{folder}/data").agg(F.count("*").alias("n"), settle(F.sum("s_acctbal"), 2).alias("total")).select(F.lit(part).alias("part"), "n", "total")
+        for part, folder in content["outputs"].items()
+    ]
+    if set(spark.read.parquet(f"{path}/{content['outputs']['samples']}/data").columns) & {"Cluster", "PC1"}:
+        raise ValueError("the samples hold helper columns")
+    stored = sinks.read_manifest(spark, f"{path}/series/metadata")
+    parts.append(spark.createDataFrame([("metadata", stored["n_rows"], float(stored["n_clusters"]))], "part string, n long, total double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "write_by_key",
     "SELECT event_type AS target, count(*) AS n, floor((sum(value)) * 1e2 + 0.5001) / 1e2 AS total FROM events GROUP BY event_type",

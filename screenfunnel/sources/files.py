@@ -153,12 +153,20 @@ def scan_rescores(spark: SparkSession, path: str) -> DataFrame:
     Every file is read by its own header; a file without complex_id is named after the file, rows
     with a value that is no number are left out.
     """
-    files = texts(spark, path, "*_mmgbsa.csv")
+    return rescore_rows(texts(spark, path, "*_mmgbsa.csv"))
+
+
+def rescore_rows(files: DataFrame) -> DataFrame:
+    """:func:`scan_rescores` of file texts: stem (the name without its ending) and value."""
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
-    rows = files.select(
-        "stem", F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda x: F.trim(x)).alias("names"),
-        F.explode(F.slice(lines, 2, F.size(lines))).alias("line"),
-    ).withColumn("cells", F.split("line", ","))
+
+    def parts(held):
+        names = F.transform(F.split(F.get(held, F.lit(0)), ","), lambda x: F.trim(x))
+        return F.struct(names.alias("names"), F.slice(held, 2, F.size(held)).alias("rest"))
+
+    # Two generators: the text is cut once per file, not again for each of its lines.
+    heads = files.select("stem", F.inline(F.transform(F.array(lines), parts)))
+    rows = heads.select("stem", "names", F.explode("rest").alias("line")).withColumn("cells", F.split("line", ","))
 
     def cell(name: str):
         at = F.array_position("names", name)

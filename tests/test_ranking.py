@@ -160,6 +160,20 @@ def test_attach_labels_is_one_to_one(spark):
         groups.attach_labels(df.union(df), full, "id", "Cluster")
 
 
+@pytest.mark.parametrize("slice_rows", [7, 10_000])
+def test_grid_of_two_tables(spark, slice_rows):
+    """Receptors beyond the list's limit, as one broadcast slice and as several shuffled ones."""
+    ligands = spark.range(3).select(F.concat(F.lit("L"), "id").alias("ID"), (10 - F.col("id")).alias("row_order"))
+    n = 2000 if slice_rows > 7 else 20
+    receptors = spark.range(n).select(F.concat(F.lit("R"), "id").alias("receptor_id"), F.col("id").alias("row_order"))
+    grid = tasks.task_grid_of_tables(ligands, receptors, slice_rows=slice_rows)
+    want = [(i * n + j + 1, f"L{2 - i}", f"R{j}") for i in range(3) for j in range(n)]
+    assert sorted(tuple(r) for r in grid.collect()) == want
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and ("BroadcastHashJoin" in plan) == (slice_rows > 7)
+    assert tasks.task_grid_of_tables(ligands, receptors.limit(0)).count() == 0
+
+
 def test_task_grid_and_status(spark):
     ligands = spark.createDataFrame([("L1", 10), ("L_2", 20)], "ID string, row_order int")
     grid = tasks.task_grid(ligands, ["6COX", "3KK6"])
