@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
@@ -23,7 +24,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangSettings:
-    """``sample``: labelled rows to fit on, all languages together; the others are as in the method's papers."""
+    """``sample``: labelled rows to fit on, all languages together (at most twice as many and one for each language, whatever
+    repeats); the others are as in the method's papers."""
 
     sample: int = 4000
     epochs: int = 3
@@ -166,7 +168,7 @@ def fit_language_model(df: DataFrame, settings: LangSettings | None = None, text
     """A model from the rows with a language that are not held out.
 
     The languages are the values of the column. Each gives an equal share of the sample, or all its rows if it has fewer; rows
-    are chosen by a hash of their id. Without such rows the model has no language.
+    are chosen by a hash of id and text; of repeated rows, at most twice a language's share is taken. Without such rows the model has no language.
     """
     s = settings or LangSettings()
     known = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -184,9 +186,12 @@ def fit_language_model(df: DataFrame, settings: LangSettings | None = None, text
         return empty
     share = s.sample / len(langs)
     limits = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, share / counts[k]) * (1 << 30)))])
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    # Id and text choose, so that rows which share an id do not come all together; repeated rows do, hence the limit.
+    order = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))
     rows = known.withColumn("o", order).where(F.pmod("o", F.lit(1 << 30)) < limits[F.col("lang")])
-    rows = rows.select("lang", "o", "text").mapInArrow(_sampled, "lang string, o long, at binary, n binary").collect()
+    packed = rows.select("lang", "o", "text").mapInArrow(_sampled, "lang string, o long, at binary, n binary")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("o", "at", "n"))
+    rows = packed.withColumn("nth", nth).where(F.col("nth") <= 2 * int(share) + 1).drop("nth").collect()
     rows.sort(key=lambda r: (r["o"], r["lang"], r["at"], r["n"]))
     data = []
     for r in rows:

@@ -326,6 +326,22 @@ def test_languages(odd, none, spark):
     assert {r["lang_pred"] for r in langid.identify_languages(odd, empty).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Labelled rows that share one id, null ids and a row repeated very often: no more than the bound reach the driver, and the
+    model still learns."""
+    rng = random.Random(6)
+    words = {"aa": "abcde", "bb": "vwxyz"}
+    made = [(7, " ".join("".join(rng.choice(words[k]) for _ in range(5)) for _ in range(8)), k, "s") for _ in range(2000) for k in words]
+    made += [(None, t, k, "s") for _, t, k, _ in made[:100]] + [made[0]] * 3000
+    seen = []
+    fit = langid.fit_ftrl
+    monkeypatch.setattr(langid, "fit_ftrl", lambda data, n, s: seen.append(len(data)) or fit(data, n, s))
+    model = langid.fit_language_model(table(spark, made), langid.LangSettings(sample=200, kept_back=0.0))
+    assert 100 <= seen[0] <= 2 * 200 + 2
+    out = langid.identify_languages(table(spark, [(i, t, None, "s") for i, (_, t, _, _) in enumerate(made[:200])]), model).collect()
+    assert sum(r["lang_pred"] == made[r["doc_id"]][2] for r in out) >= 190
+
+
 def test_ftrl_is_sparse_and_calibrated():
     rng = np.random.default_rng(0)
     data = []
