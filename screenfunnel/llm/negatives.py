@@ -36,14 +36,18 @@ FOUND = "uid long, slot int, score long, id long"
 
 @dataclass(frozen=True)
 class Mining:
-    """How many positives and negatives, and the share (percent) of the positive's score that a negative's lies in."""
+    """How many positives and negatives, and the share (percent) of the positive's score that a negative's lies in.
+
+    ``levels``: segments per vector, coarse to fine; a level that a vector is too short for is left out. Vectors without structure
+    are told apart by fine segments only, clustered ones by coarse ones already.
+    """
 
     positives: int = 5
     negatives: int = 10
     low: int = 30
     high: int = 90
     scale: int = 256
-    levels: tuple[int, ...] = (1, 4, 16)
+    levels: tuple[int, ...] = (1, 8, 32)
     block_rows: int = 2048
     anchor_rows: int = 256
     buckets: int = 16
