@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from screenfunnel.functions.scalars import keep_existing
 
@@ -102,15 +103,17 @@ def materialise(
 def materialise_decided(
     spark: SparkSession, path: str, params: dict[str, Any], compute: Callable[[], DataFrame], decisions: Sequence[str]
 ) -> DataFrame:
-    """The same for a decided table, by :func:`write_decided`; the rows of each decision stand in the manifest."""
+    """The same for a decided table, by :func:`write_decided`; the rows of each decision stand in the manifest, and the
+    columns too, since a table without rows has no file to tell them."""
     wanted = params_hash(params)
     found = read_manifest(spark, f"{path}/manifest")
     if found is None or found.get("params_hash") != wanted:
         write_manifest(spark, f"{path}/manifest", UNFINISHED)
         made = compute()
         counts = write_decided(made, f"{path}/data", decisions)
-        write_manifest(spark, f"{path}/manifest", {"params_hash": wanted, **counts})
-    return spark.read.parquet(f"{path}/data")
+        found = {"params_hash": wanted, "schema": made.schema.json(), **counts}
+        write_manifest(spark, f"{path}/manifest", found)
+    return spark.read.schema(StructType.fromJson(json.loads(found["schema"]))).parquet(f"{path}/data")
 
 
 def stage_counts(spark: SparkSession, store: str, stages: Sequence[str]) -> DataFrame:

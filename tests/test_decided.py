@@ -68,6 +68,16 @@ def test_counts_come_with_the_write(spark, stored, tmp_path):
     assert counts == {("s", "above"): 4, ("s", "rows"): 7}
 
 
+def test_decided_table_without_rows(spark, stored, tmp_path):
+    for _ in range(2):
+        read = sinks.materialise_decided(
+            spark, str(tmp_path), {"a": 1}, lambda: screen.decide(stored.limit(0), [Limit("v", ">", 4.0)], "text", CATALOGUE), ("accepted", "range", "alert")
+        )
+        assert [side.count() for side in screen.sides(read)] == [0, 0, 0] and screen.sides(read)[0].columns == stored.columns
+    counts = {r.counter: r.n for r in sinks.stage_counts(spark, str(tmp_path.parent), [tmp_path.name]).collect()}
+    assert counts == {"accepted": 0, "range": 0, "alert": 0}
+
+
 def test_library_counts_and_derived_limits(spark, tmp_path):
     side = lambda p, rows: spark.createDataFrame([(f"{p}{i}", t, float(v)) for i, (t, v) in enumerate(rows)], "ID string, SMILES string, PriceMol double")
     a, c, n = side("A", [("a", 1), ("b", 2), ("c", 60)]), side("C", [("x", 5), ("q", 6)]), side("N", [("n", 3)])
