@@ -20,6 +20,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page. Fixed values.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video".split())
+#: Elements of other languages, which may end themselves. Fixed values.
+FOREIGN = frozenset(("svg", "math"))
 #: Starting one of these ends an open paragraph; the second table ends open elements of its own kind. Fixed values.
 ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -89,8 +91,11 @@ class _Reader(HTMLParser):
                 return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # only void elements end themselves in HTML
-        self.handle_starttag(tag, attrs)
+        # only void elements end themselves in HTML, but svg and math do, and all elements in them
+        if tag not in FOREIGN and not (self.silent and any(e.tag in FOREIGN for e in self.open)):
+            self.handle_starttag(tag, attrs)
+        elif tag not in INLINE:
+            self.end_block()
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
