@@ -13,6 +13,7 @@ import base64
 import binascii
 import itertools
 import re
+import string
 import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
@@ -31,14 +32,18 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|quot|apos|lt|gt);")
+#: Bytes that are no UTF-8, as ``surrogateescape`` names them, or the text between them.
+UNDECODED = re.compile("[\udc80-\udcff]+|[^\udc80-\udcff]+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 #: Runs that are tried as Base64: short ones cannot hold a secret. A wrapped one goes on over line ends and indents.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 BREAK, LINE = re.compile(r"[ \t]*\r?\n[ \t]*"), re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
 LEAST_LINE, LONG_LINE = 16, 60
 #: Unpacked bytes are scanned in windows of this size that share so many bytes; compressed layers in each other are opened
-#: to this depth, since one may hold itself.
-WINDOW, SHARED, MOST_LEVELS = 1 << 22, 1 << 16, 100
+#: to this depth, since one may hold itself. A window grows up to ``MOST_HELD`` bytes rather than end in an encoded run.
+WINDOW, SHARED, MOST_LEVELS, MOST_HELD = 1 << 22, 1 << 16, 100, 1 << 24
+#: Bytes that an encoded run may hold, line ends and the zeros of UTF-16 included.
+IN_RUN = (string.ascii_letters + string.digits + "+/_=-%\\{}&#; \t\r\n\0").encode()
 #: How a run was read: as plain text, as text with characters that do not print, or with bytes that are no text.
 PLAIN, ODD, BROKEN = range(3)
 
@@ -62,38 +67,58 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+#: A part of a run: what it stands for, or None if it cannot be decoded and stays as it is, and its size.
+Part = tuple[str | None, int]
+
+
+def _percent(run: str) -> Iterator[Part]:
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    for m in UNDECODED.finditer(text):
+        piece = m.group()
+        yield (None, 3 * len(piece)) if "\udc80" <= piece[0] <= "\udcff" else (piece, 3 * len(piece.encode()))
 
 
-def _escape(run: str) -> str | None:
+def _escape(run: str) -> Iterator[Part]:
     if run[0] == "&":
-        return unescape(run)
-    codes = [int(a or b, 16) for a, b in ONE_ESCAPE.findall(run)]
-    try:
-        # a pair of surrogates is one character
-        return "".join(map(chr, codes)).encode("utf-16", "surrogatepass").decode("utf-16")
-    except (ValueError, UnicodeDecodeError, OverflowError):
-        return None
+        yield unescape(run), len(run)
+        return
+    codes = [(int(m.group(1) or m.group(2), 16), m.end() - m.start()) for m in ONE_ESCAPE.finditer(run)]
+    plain, size, i = [], 0, 0
+    while i < len(codes):
+        code, width = codes[i]
+        i += 1
+        if 0xD800 <= code < 0xDC00 and i < len(codes) and 0xDC00 <= codes[i][0] < 0xE000:
+            # a pair of surrogates is one character
+            code, width = 0x10000 + ((code - 0xD800) << 10) + codes[i][0] - 0xDC00, width + codes[i][1]
+            i += 1
+        if code < 0xD800 or 0xE000 <= code < 0x110000:
+            plain.append(chr(code))
+            size += width
+            continue
+        if plain:
+            yield "".join(plain), size
+        yield None, width
+        plain, size = [], 0
+    if plain:
+        yield "".join(plain), size
 
 
 def _in_place(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """The text with all decodable runs replaced, and the start and end that each of its characters had."""
+    """The text with all decodable parts of runs replaced, and the start and end that each of its characters had."""
     parts, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
-        if not (plain := decode(m.group())):
-            continue
-        parts += [text[at : m.start()], plain]
-        starts += [*range(at, m.start())]
-        ends += [*range(at + 1, m.start() + 1)]
-        n, size = len(plain), m.end() - m.start()
-        # characters of a run share it evenly, which is exact for runs of equally long codes
-        starts += [m.start() + size * i // n for i in range(n)]
-        ends += [m.start() + size * (i + 1) // n for i in range(n)]
-        at = m.end()
+        here = m.start()
+        for plain, size in decode(m.group()):
+            if plain:
+                parts += [text[at:here], plain]
+                starts += [*range(at, here)]
+                ends += [*range(at + 1, here + 1)]
+                n = len(plain)
+                # characters of a part share it evenly, which is exact for parts of equally long codes
+                starts += [here + size * i // n for i in range(n)]
+                ends += [here + size * (i + 1) // n for i in range(n)]
+                at = here + size
+            here += size
     if not parts:
         return None
     return "".join(parts) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
@@ -157,14 +182,18 @@ def _opened(data: bytes) -> tuple[Iterator[bytes], bool]:
 
 
 def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    held, new = bytearray(), False
+    """Windows of ``WINDOW`` bytes; one that would end in an encoded run goes on to the run's end, up to ``MOST_HELD`` bytes."""
+    held, end, new = bytearray(), WINDOW, False
     for chunk in chunks:
         held += chunk
         new = True
-        while len(held) >= WINDOW:
-            yield bytes(held[:WINDOW])
-            del held[: WINDOW - SHARED]
-            new = len(held) > SHARED
+        while len(held) >= end:
+            if end < MOST_HELD and not bytes(held[end - SHARED : end]).rstrip(IN_RUN):
+                end += SHARED
+                continue
+            yield bytes(held[:end])
+            del held[: end - SHARED]
+            new, end = len(held) > SHARED, WINDOW
     if new:
         yield bytes(held)
 

@@ -244,6 +244,30 @@ def test_secrets_in_wrapped_odd_and_packed_runs():
     assert len(found) == 2 and all(f[0] == "assign" and f[3] == "base64+zip" for f in found)
 
 
+def test_secrets_beside_codes_that_cannot_be_decoded():
+    secret = "password=hunter22"
+    percent = "".join(f"%{ord(c):02X}" for c in secret)
+    escaped = "".join(f"\\u{ord(c):04x}" for c in secret)
+    for text, bad in (("%FF" + percent, 3), ("\\ud800" + escaped, 6), (percent + "%C3", 0), (escaped + "\\udc00\\U0011FFFF", 0)):
+        size = len(percent if "%" in text else escaped)
+        assert [f[:3] for f in secrets.find_secrets("see " + text)] == [("assign", 4 + bad, 4 + bad + size)]
+    # characters of several codes keep exact places beside a bad one
+    assert [f[:3] for f in secrets.find_secrets("%C3%BC%FF" + percent)] == [("assign", 9, 9 + len(percent))]
+    # a pair of surrogates is one character, and what follows it is not lost
+    assert [f[4] for f in secrets.find_secrets("\\ud83d\\ude00" + escaped + "\\ude00")] == [secret]
+    assert secrets.find_secrets("%FF%FE \\ud800\\ud800") == []
+
+
+def test_secrets_in_runs_over_window_ends():
+    noise = random.Random(3).randbytes(180_000)
+    inner = base64.b64encode(gzip.compress(noise.hex().encode() + b" token=abcdefgh1 ")).decode()
+    assert len(inner) > 2 * secrets.SHARED
+    for before in (100, secrets.WINDOW - 100_000, secrets.WINDOW - 10):
+        outer = base64.b64encode(("word, " * (before // 6) + inner + ", end. " * 50_000).encode()).decode()
+        found = secrets.find_secrets("x " + outer)
+        assert [f[:3] for f in found if f[0] == "assign"] == [("assign", 2, 2 + len(outer))], before
+
+
 def test_tokens_are_the_tokenizers():
     import public_tokenizers
 
@@ -286,6 +310,15 @@ def test_blocks_of_broken_html():
     assert [b.text for b in read_blocks(html)] == ["a", "b", "c", "d", "e", "f", "g"]
 
 
+def test_blocks_after_foreign_elements():
+    page = "<article><p>Intro</p>{}<p>Body one</p><p>Body two</p></article>"
+    for foreign in ("<svg/>", '<svg class="i" />', "<math/>", "<svg><path d='M0'/><g/></svg>", "<p>a <svg><use/></svg></p>"):
+        texts = [b.text for b in read_blocks(page.format(foreign))]
+        assert [t for t in texts if t != "a"] == ["Intro", "Body one", "Body two"]
+    # other elements do not end themselves
+    assert [b.text for b in read_blocks("<script/>x</script><div/>kept")] == ["kept"]
+
+
 def test_labeller_on_new_pages():
     model = htmltext.trained()
     right = total = 0
