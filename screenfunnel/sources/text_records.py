@@ -72,11 +72,12 @@ def parse_sdf(records: DataFrame, text: str = "value", properties: Sequence[str]
     )
 
 
-def explode_offers(responses: DataFrame) -> DataFrame:
+def explode_offers(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per usable pack of a price response: code, pack_no, price, amount, measure,
-    price_per_gram. Packs with a missing field, unknown unit or no weight are skipped."""
-    entries = responses.select(F.explode("results").alias("r")).select(
-        F.col("r.product.code").alias("code"), F.posexplode("r.prices.g.all").alias("pack_no", "pack")
+    price_per_gram. Packs with a missing field, unknown unit or no weight are skipped. ``keep``: columns of the response
+    that its packs carry on."""
+    entries = responses.select(F.explode("results").alias("r"), *keep).select(
+        F.col("r.product.code").alias("code"), F.posexplode("r.prices.g.all").alias("pack_no", "pack"), *keep
     )
     packs = entries.select(
         "code",
@@ -84,6 +85,7 @@ def explode_offers(responses: DataFrame) -> DataFrame:
         F.col("pack.price").alias("price"),
         F.col("pack.weight.amount").alias("amount"),
         F.col("pack.weight.measure").alias("measure"),
+        *keep,
     ).filter(F.coalesce(F.col("code"), F.lit("")) != "")
     return packs.withColumn("price_per_gram", price_per_gram("price", "amount", "measure")).filter(
         F.col("price_per_gram").isNotNull()
@@ -105,12 +107,12 @@ def _pose_lines(text: str) -> Column:
     return F.regexp_extract_all(F.regexp_extract(F.col(text), _AFTER_SEPARATOR, 1), F.lit(_POSE_LINE), F.lit(0))
 
 
-def parse_dock_logs(logs: DataFrame, stem: str = "stem", text: str = "value") -> DataFrame:
+def parse_dock_logs(logs: DataFrame, keep: Sequence[str] = (), stem: str = "stem", text: str = "value") -> DataFrame:
     """Poses per log: ligand_id, receptor_id, pose_no (order in the log), rank, score, rmsd_lb,
-    rmsd_ub. Only lines behind the first separator count."""
+    rmsd_ub. Only lines behind the first separator count. ``keep``: columns of the log that its poses carry on."""
     ligand, receptor = stem_parts(stem)
     lines = logs.filter(F.col(stem).contains("_")).select(
-        ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.posexplode(_pose_lines(text)).alias("pos", "line")
+        ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.posexplode(_pose_lines(text)).alias("pos", "line"), *keep
     )
     part = F.split(F.trim(F.translate("line", "|", " ")), r"\s+")
     return lines.select(
@@ -119,6 +121,7 @@ def parse_dock_logs(logs: DataFrame, stem: str = "stem", text: str = "value") ->
         (F.col("pos") + 1).alias("pose_no"),
         F.get(part, F.lit(0)).try_cast("int").alias("rank"),
         *[F.get(part, F.lit(i)).try_cast("double").alias(c) for i, c in ((1, "score"), (2, "rmsd_lb"), (3, "rmsd_ub"))],
+        *keep,
     )
 
 

@@ -1,4 +1,4 @@
-"""New files are picked up once and appended to a table."""
+"""New files are picked up once; what they say of a unit (a log, a product code) replaces what older files said of it."""
 
 from __future__ import annotations
 
@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from screenfunnel.sources import text_records as tr
+from screenfunnel.sources.sinks import UNFINISHED, read_manifest, write_manifest
+
+#: Columns that a stream carries for the upsert: when its file was changed, and the file's path.
+ORIGIN = ("_modified", "_file")
+BUCKET = "_bucket"
+#: Folders of the target. It is fixed when a table is made; at 100 TB take some thousands.
+BUCKETS = 64
+
+
+def origin() -> list:
+    """The columns of :data:`ORIGIN`, for streams of files."""
+    return [F.col("_metadata.file_modification_time").alias(ORIGIN[0]), F.col("_metadata.file_path").alias(ORIGIN[1])]
 
 
 def append_new(target: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that adds only rows whose keys the table does not hold yet.
+    """A batch writer that adds only rows whose keys the table does not hold yet, whatever newer files say.
 
     A batch that is run again after a failure therefore adds nothing twice, and no state grows with
     the stream: the keys are read from the table itself, columns pruned.
@@ -33,12 +45,84 @@ def append_new(target: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
     return write
 
 
+def newest_per_unit(rows: DataFrame, unit: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The rows of each unit's newest file, one per key.
+
+    Newer is the later change, then the greater path. Units are told apart null-safe. Only unit and file are grouped, with a
+    partial step, so a unit that holds many rows is no one task's work.
+    """
+    latest = rows.groupBy(*unit).agg(F.max(F.struct(*ORIGIN)).alias("_latest"))
+    latest = latest.select(*[F.col(u).alias(f"_unit{i}") for i, u in enumerate(unit)], "_latest")
+    same = [F.col(u).eqNullSafe(F.col(f"_unit{i}")) for i, u in enumerate(unit)]
+    kept = rows.join(latest, same).where(F.struct(*ORIGIN).eqNullSafe(F.col("_latest")))
+    return kept.drop("_latest", *[f"_unit{i}" for i in range(len(unit))]).dropDuplicates([*unit, *keys])
+
+
+def stored_rows(spark: SparkSession, target: str, buckets: Sequence[int]) -> DataFrame | None:
+    """The rows of some buckets of a table; other folders are not read. None if there is no table yet."""
+    try:
+        return spark.read.parquet(target).where(F.col(BUCKET).isin(list(buckets)))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return None
+
+
+def upsert_newest(
+    target: str, checkpoint: str, unit: Sequence[str], keys: Sequence[str] = (), buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """A batch writer after which the table holds, per ``unit``, the rows of its newest file and no others.
+
+    The table is cut into folders by a hash of the unit. Only folders that the batch reaches are read, merged and written
+    again, so a batch costs what it touches and not the whole table. The merged rows are complete in ``checkpoint`` before the
+    first folder is replaced: a run that is cut off while it replaces them repeats that step from there, and one cut
+    off earlier has changed nothing. Files that give no rows replace nothing. Batches need the columns of :func:`origin`.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be at least 1")
+    merged, marks = f"{checkpoint.rstrip('/')}/merged/data", f"{checkpoint.rstrip('/')}/merged/manifest"
+
+    def merge(batch: DataFrame, batch_id: int) -> bool:
+        spark = batch.sparkSession
+        fresh = batch.withColumn(BUCKET, F.pmod(F.hash(*unit), F.lit(buckets))).persist()
+        try:
+            # at most ``buckets`` numbers
+            reached = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
+            if not reached:
+                return False
+            old = stored_rows(spark, target, reached)
+            rows = fresh if old is None else old.select(*fresh.columns).unionByName(fresh)
+            write_manifest(spark, marks, UNFINISHED)
+            newest_per_unit(rows, unit, keys).write.mode("overwrite").parquet(merged)
+            write_manifest(spark, marks, {"batch": batch_id})
+        finally:
+            fresh.unpersist()
+        return True
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = read_manifest(spark, marks)
+        if (found or {}).get("batch") != batch_id and not merge(batch, batch_id):
+            return
+        # one writer per folder: a folder's rows are few enough by the number of buckets
+        spark.read.parquet(merged).repartition(BUCKET).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(BUCKET).parquet(target)
+
+    return write
+
+
+def read_newest(spark: SparkSession, target: str) -> DataFrame:
+    """A table of :func:`upsert_newest` without its helper columns."""
+    return spark.read.parquet(target).drop(BUCKET, *ORIGIN)
+
+
 def ingest(
-    rows: DataFrame, target: str, checkpoint: str, keys: Sequence[str]
+    rows: DataFrame, target: str, checkpoint: str, unit: Sequence[str], keys: Sequence[str] = (), buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Process all files that are there now, then stop; started again, it takes only new ones."""
+    """Process all files that are there now, then stop; started again, it takes only new ones. See :func:`upsert_newest`."""
     return (
-        rows.writeStream.foreachBatch(append_new(target, keys))
+        rows.writeStream.foreachBatch(upsert_newest(target, checkpoint, unit, keys, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -47,18 +131,22 @@ def ingest(
 
 def stream_dock_logs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.readStream.option("pathGlobFilter", "*.log").text(path, wholetext=True)
-    named = files.select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"), "value")
-    return tr.parse_dock_logs(named)
+    named = files.select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"), "value", *origin())
+    return tr.parse_dock_logs(named, ORIGIN)
 
 
 def stream_offers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     responses = spark.readStream.schema(tr.OFFER_SCHEMA).option("multiLine", multi_line).json(path)
-    return tr.explode_offers(responses)
+    return tr.explode_offers(responses.select("*", *origin()), ORIGIN)
 
 
-def ingest_logs(spark: SparkSession, path: str, target: str, checkpoint: str) -> StreamingQuery:
-    return ingest(stream_dock_logs(spark, path), target, checkpoint, ["ligand_id", "receptor_id", "rank"])
+def ingest_logs(spark: SparkSession, path: str, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Poses of docking logs; a corrected log in another folder below ``path`` replaces all poses of the older one."""
+    return ingest(stream_dock_logs(spark, path), target, checkpoint, ["ligand_id", "receptor_id"], ["pose_no"], buckets)
 
 
-def ingest_offers(spark: SparkSession, path: str, target: str, checkpoint: str, multi_line: bool = True) -> StreamingQuery:
-    return ingest(stream_offers(spark, path, multi_line), target, checkpoint, ["code", "pack_no"])
+def ingest_offers(
+    spark: SparkSession, path: str, target: str, checkpoint: str, multi_line: bool = True, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Packs of price responses; a newer response of a code replaces all its packs."""
+    return ingest(stream_offers(spark, path, multi_line), target, checkpoint, ["code"], ["pack_no"], buckets)

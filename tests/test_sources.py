@@ -1,5 +1,7 @@
 import json
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,18 +276,84 @@ def test_counted_and_by_key(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "m"), header=True).count() == 2
 
 
+def test_append_adds_nothing_twice(spark, tmp_path):
+    target = str(tmp_path / "t")
+    write = ingest.append_new(target, ["k"])
+    for batch_id, keys in enumerate(([1, 2], [2, 3], [2, 3])):
+        write(spark.createDataFrame([(k,) for k in keys], "k long"), batch_id)
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     src, target, marks = tmp_path / "logs", str(tmp_path / "t"), str(tmp_path / "m")
     src.mkdir()
     (src / "A_6COX.log").write_text(LOG)
-    run = lambda: ingest.ingest_logs(spark, str(src), target, marks).awaitTermination()
+    run = lambda: ingest.ingest_logs(spark, str(src), target, marks, 4).awaitTermination()
     run()
-    assert spark.read.parquet(target).count() == 3
+    assert ingest.read_newest(spark, target).count() == 3
     (src / "B_6COX.log").write_text(LOG)
     run()
     run()
-    assert spark.read.parquet(target).count() == 6
-    # A batch that is repeated after a failure adds nothing.
-    batch = spark.read.parquet(target)
-    ingest.append_new(target, ["ligand_id", "receptor_id", "rank"])(batch, 7)
-    assert spark.read.parquet(target).count() == 6
+    assert ingest.read_newest(spark, target).count() == 6
+    assert ingest.read_newest(spark, target).columns == ["ligand_id", "receptor_id", "pose_no", "rank", "score", "rmsd_lb", "rmsd_ub"]
+
+
+def test_a_corrected_log_replaces_its_poses(spark, tmp_path):
+    target, marks = str(tmp_path / "t"), str(tmp_path / "m")
+    for k, name in enumerate(("first", "second", "late")):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+    run = lambda: ingest.ingest_logs(spark, str(tmp_path / "logs" / "*"), target, marks, 8).awaitTermination()
+    poses = lambda: {
+        name: sorted(r.score for r in ingest.read_newest(spark, target).collect() if r.ligand_id == name) for name in ("A", "B")
+    }
+    for name in ("A", "B"):
+        (tmp_path / "logs" / "first" / f"{name}_6COX.log").write_text(LOG)
+    run()
+    before = poses()
+    others = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("*/*.parquet")}
+    assert before["A"] == before["B"] and len(before["A"]) == 3
+    fixed = tmp_path / "logs" / "second" / "A_6COX.log"
+    fixed.write_text("-----+---\n   1   -9.5   0.0   0.0\n")
+    os.utime(fixed, (4e9, 4e9))
+    run()
+    assert poses() == {"A": [-9.5], "B": before["B"]}
+    # folders that the batch does not reach are neither read nor written
+    assert any(p.exists() and p.stat().st_mtime_ns == t for p, t in others.items())
+    # an older file that comes late changes nothing
+    late = tmp_path / "logs" / "late" / "A_6COX.log"
+    late.write_text(LOG)
+    os.utime(late, (1e9, 1e9))
+    run()
+    assert poses() == {"A": [-9.5], "B": before["B"]}
+
+
+def test_upsert_survives_a_break_and_reads_few_folders(spark, tmp_path):
+    target, marks = str(tmp_path / "t"), str(tmp_path / "m")
+    rows = lambda made, n: spark.range(n).selectExpr(
+        "id AS u", "id % 3 AS v", f"timestamp_seconds({made}) AS _modified", f"'f{made}' AS _file"
+    )
+    write = ingest.upsert_newest(target, marks, ["u"], ["v"], 16)
+    write(rows(1, 100), 0)
+    write(rows(2, 1).withColumn("v", F.lit(7).cast("long")), 1)
+    found = {r.u: r.v for r in ingest.read_newest(spark, target).collect()}
+    assert len(found) == 100 and found[0] == 7 and found[5] == 2
+    plan = ingest.stored_rows(spark, target, [3])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [(_bucket" in plan
+    assert {r[0] for r in ingest.stored_rows(spark, target, [3]).select("_bucket").distinct().collect()} == {3}
+    # the folders of the last batch are lost while they are replaced; the batch is run again, though its rows are gone
+    bucket = spark.range(1).select(F.pmod(F.hash("id"), F.lit(16))).first()[0]
+    for part in (tmp_path / "t" / f"_bucket={bucket}").glob("*"):
+        part.unlink()
+    write(rows(2, 0), 1)
+    assert {r.u: r.v for r in ingest.read_newest(spark, target).collect()} == found
+    # a batch without rows changes nothing
+    write(rows(3, 0), 2)
+    assert ingest.read_newest(spark, target).count() == 100
+
+
+def test_newest_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, 1, "a"), (None, 2, 2, "a"), ("x", 1, 1, "a"), ("x", 1, 1, "a"), ("x", 5, 1, "b"), ("x", 6, 1, "b")],
+        "u string, v int, m int, _file string",
+    ).selectExpr("u", "v", "timestamp_seconds(m) AS _modified", "_file")
+    assert sorted(((r.u or ""), r.v) for r in ingest.newest_per_unit(rows, ["u"], ["v"]).collect()) == [("", 2), ("x", 5), ("x", 6)]
