@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from screenfunnel.operators.groups import representative_per_group, summarise_groups, top_n_per_group
 from screenfunnel.operators.models import ActivityModels, cluster, score_activity
 from screenfunnel.operators.profile import require_distinct
 from screenfunnel.operators.ranking import winnow
-from screenfunnel.operators.rules import rule_set_filter
+from screenfunnel.operators.rules import rule_set_filter, tag_rule_set
 from screenfunnel.plans import presets
-from screenfunnel.sources.sinks import materialise, write_cluster_bundle, write_split
+from screenfunnel.sources.sinks import (
+    materialise, materialise_decided, read_split, stage_counts, write_cluster_bundle, write_manifest, write_split,
+)
 
 
 @dataclass
@@ -41,6 +45,47 @@ def qsar_winnow(
     return accepted, rejected
 
 
+def prioritise(
+    df: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    store: str,
+    params: dict[str, object],
+    rules: dict[str, Column] | None = None,
+    max_fail: int = 1,
+    score_col: str = "QSAR_score",
+    id_col: str = "ID",
+    rate: float = 0.01,
+    minimum: int = 1000,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules → scores → winnow: (rows that broke the rules, the best of the others, the rest of them), each with its columns.
+
+    ``score`` adds ``score_col`` to rows that passed (such as ``lambda d: score_activity(d, models)``). Each stage is written once
+    below ``store``, with its counts (:func:`prioritise_counts`): ``rules`` as one decided table, ``scored``, since the cut reads it
+    again, and ``winnowed``. ``params`` name the input and the models: stored rules and scores are used again for the same ``params``,
+    rule names and ``max_fail`` only.
+    """
+    spark, rules = df.sparkSession, rules or presets.drug_likeness_rules()
+    named = {**params, "rules": sorted(rules), "max_fail": max_fail}
+    after = "QED" if "QED" in df.columns else None
+    tagged = materialise_decided(
+        spark, f"{store}/rules", named, lambda: tag_rule_set(df, rules, max_fail, after=after), ["accepted", "rejected"]
+    )
+    side = lambda name: tagged.where(F.col("decision") == name).drop("decision")
+    scored = materialise(spark, f"{store}/scored", {**named, "score": score_col}, lambda: score(side("accepted")))
+    best, rest = winnow(scored, score_col, id_col, rate, minimum)
+    counts = write_split(best, rest, f"{store}/winnowed/data")
+    write_manifest(spark, f"{store}/winnowed/manifest", counts)
+    if not sum(counts.values()):
+        # a table in folders without rows has no file to read
+        return side("rejected"), best, rest
+    return side("rejected"), *read_split(spark, f"{store}/winnowed/data")
+
+
+def prioritise_counts(spark: SparkSession, store: str) -> DataFrame:
+    """stage, counter, n of a :func:`prioritise`, from its manifests."""
+    return stage_counts(spark, store, ("rules", "scored", "winnowed"))
+
+
 def shortlist(
     df: DataFrame, id_col: str = "ID", k: int | None = None, top_n: int = 3, features: Sequence[str] | None = None
 ) -> Shortlist:
@@ -57,9 +102,8 @@ def shortlist(
 def shortlist_series(
     series: dict[str, DataFrame], path: str, k: dict[str, int | None] | None = None, top_n: int = 3
 ) -> dict[str, Shortlist]:
-    """The shortlist of every series, each kept apart and written; two series must differ."""
-    frames = list(series.values())
-    for a, b in zip(frames, frames[1:]):
+    """The shortlist of every series, each kept apart and written; any two series must differ."""
+    for a, b in combinations(series.values(), 2):
         require_distinct(a, b)
     out = {}
     for name, df in series.items():
