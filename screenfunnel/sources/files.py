@@ -63,39 +63,47 @@ def scan_offers(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     return tr.explode_offers(spark.read.schema(tr.OFFER_SCHEMA).option("multiLine", multi_line).json(path))
 
 
+#: Files with a header of their own whose paths are broadcast at most (about 20 MB); beyond, lines are joined to them by a shuffle.
+SENT_FILES = 100_000
+
+
 def scan_assays(spark: SparkSession, path: str) -> DataFrame:
-    """All ``;`` CSV files of a folder as text columns with trimmed names. A file without a header
-    line takes the header of the first file that has one."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    """All ``;`` CSV files of a folder as text columns with trimmed names, in the order of the files that have them first.
+
+    A file without a header line takes the header of the first file that has one; of several headers in a file the first counts.
+    Headers are found and given to the lines in the executors: the driver gets one row per distinct header, and no paths.
+    """
+    raw = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"))
+    lines = raw.select("value", F.col("_metadata.file_path").alias("_file"), at.alias("_at"))
     is_header = F.col("value").contains("Target ChEMBL ID") & F.col("value").contains("Standard Type")
-    # One line per distinct header comes to the driver.
-    headers = (
-        lines.filter(is_header)
-        .groupBy("value")
-        .agg(F.min(F.col("_metadata.file_path")).alias("first"), F.collect_set(F.col("_metadata.file_path")).alias("files"))
-        .orderBy("first")
-        .collect()
-    )
-    if not headers:
+    heads = lines.filter(is_header).groupBy("_file").agg(F.min_by("value", "_at").alias("head"))
+    bare = lambda x: F.regexp_replace(x, r'^[\s"]+|[\s"]+$', "")
+    heads = heads.select("_file", F.transform(F.split("head", ";"), bare).alias("names"))
+    kinds = heads.groupBy("names").agg(F.min("_file").alias("first"), F.count("*").alias("n_files")).orderBy("first").collect()
+    if not kinds:
         raise ValueError(f"no header line found in {path}")
-
-    def read(names: list[str], where: str | list[str]) -> DataFrame:
+    if len(kinds) == 1:
+        names = kinds[0].names
         schema = ", ".join(f"`{n}` string" for n in names)
-        rows = spark.read.option("pathGlobFilter", "*.csv").csv(where, sep=";", schema=schema, header=False)
+        rows = spark.read.option("pathGlobFilter", "*.csv").csv(path, sep=";", schema=schema, header=False)
         first = F.col(f"`{names[0]}`")
         return rows.filter(first.isNull() | (F.trim(first) != names[0]))
-
-    def names(line: str) -> list[str]:
-        return [n.strip().strip('"').strip() for n in line.rstrip("\r").split(";")]
-
-    if len({tuple(names(h.value)) for h in headers}) == 1:
-        return read(names(headers[0].value), path)
-    known = {f for h in headers for f in h.files}
-    bare = [r.file_path for r in lines.select("_metadata.file_path").distinct().collect() if r.file_path not in known]
-    parts = [read(names(h.value), list(h.files)) for h in headers]
-    if bare:
-        parts.append(read(names(headers[0].value), bare))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # A line is cut into cells as the CSV reader does it, and each column finds its cell by the file's header.
+    cells = ", ".join(f"c{i} string" for i in range(max(len(k.names) for k in kinds)))
+    known = F.broadcast(heads) if sum(k.n_files for k in kinds) <= SENT_FILES else heads
+    cut = (
+        lines.filter(F.trim("value") != "")
+        .join(known, "_file", "left")
+        .withColumn("names", F.coalesce("names", F.array(*map(F.lit, kinds[0].names))))
+        .withColumn("cells", F.from_csv("value", F.lit(cells), {"sep": ";"}))
+        .withColumn("cells", F.array("cells.*"))
+    )
+    first = F.get("cells", F.lit(0))
+    cut = cut.filter(first.isNull() | (F.trim(first) != F.get("names", F.lit(0))))
+    columns = dict.fromkeys(n for k in kinds for n in k.names)
+    place = lambda n: F.array_position("names", n).cast("int")
+    return cut.select(*[F.when(place(n) > 0, F.get("cells", place(n) - 1)).alias(n) for n in columns])
 
 
 def scan_assay_summary(spark: SparkSession, path: str) -> DataFrame:

@@ -107,6 +107,24 @@ def test_assays_with_two_column_orders(spark, tmp_path):
     assert sorted(r["Standard Value"] for r in got.collect()) == ["1", "2", "3"]
 
 
+def test_assays_of_mixed_headers_in_many_files(spark, tmp_path, monkeypatch):
+    wide = '"Target ChEMBL ID"; Standard Type ;Standard Value;Smiles\r\n"T;1";IC50;{};"C""C"\r\n\r\n'
+    narrow = "Note;Standard Value;Target ChEMBL ID;Standard Type\nn;{};T2;Ki\nshort\n;7\n"
+    for i in range(150):
+        (tmp_path / f"f{i:03d}.csv").write_text((wide if i % 3 == 0 else narrow if i % 3 == 1 else "T3;IC50;{};N;beyond\n").format(i), newline="")
+    (tmp_path / "z.csv").write_text("")
+    want = {("T;1", "IC50", str(i), None) for i in range(0, 150, 3)} | {("T2", "Ki", str(i), "n") for i in range(1, 150, 3)}
+    want |= {("T3", "IC50", str(i), None) for i in range(2, 150, 3)} | {(None, None, None, "short"), (None, None, "7", None)}
+    for sent in (files.SENT_FILES, 10):
+        monkeypatch.setattr(files, "SENT_FILES", sent)
+        got = files.scan_assays(spark, str(tmp_path))
+        assert got.columns == ["Target ChEMBL ID", "Standard Type", "Standard Value", "Smiles", "Note"]
+        rows = got.select("Target ChEMBL ID", "Standard Type", "Standard Value", "Note").collect()
+        assert len(rows) == 250 and {tuple(r) for r in rows} == want
+        # no path of a file stands in the plan
+        assert "f000.csv" not in got._jdf.queryExecution().toString()
+
+
 def test_assay_summary_and_attach(spark, tmp_path):
     (tmp_path / "s.csv").write_text(
         "ChEMBL_ID; SMILES ;IC50_COX1_median;IC50_COX2_median;IC50_COX1_mean;IC50_COX2_mean\n"
