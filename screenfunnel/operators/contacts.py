@@ -275,7 +275,6 @@ def geometric_score(
     atoms = pose_atoms.withColumn("_model", F.col("model"))
     if not per_model:
         atoms = atoms.withColumn("model", F.lit(1))
-    all_poses = atoms.select(*pose).distinct()
     scored = atoms.filter(F.col("receptor_id").isin(*wanted)).withColumn(
         "_spread", F.xxhash64("ligand_id", "_model", "atom_no")
     )
@@ -297,19 +296,22 @@ def geometric_score(
     contact = per_atom.groupBy(*pose).agg(
         F.max("arg").alias("arg"), F.max("tyr").alias("tyr"), F.sum("clash").alias("clashes")
     )
-    if pocket_centre is None:
-        centre = scored.groupBy(*pose).agg(*[F.avg(c).alias(f"_p{c}") for c in XYZ])
-        placed = scored.join(centre, pose)
-    else:
-        placed = scored.withColumns({f"_p{c}": F.lit(float(v)) for c, v in zip(XYZ, pocket_centre)})
-    gap = F.sqrt(sum(((F.col(c) - F.col(f"_p{c}")) * (F.col(c) - F.col(f"_p{c}")) for c in XYZ), F.lit(0.0)))
-    pocket = placed.groupBy(*pose).agg(F.avg(F.when(gap < POCKET, 1.0).otherwise(0.0)).alias("in_pocket"))
+    # One row per pose with its atoms, a few hundred at most: the pocket is a matter of the row.
+    is_scored = F.col("receptor_id").isin(*wanted)
+    own = [F.avg(c).alias(f"_p{c}") for c in XYZ]
+    given = [F.first(F.lit(float(v))).alias(f"_p{c}") for c, v in zip(XYZ, pocket_centre or ())]
+    places = F.collect_list(F.when(is_scored, F.struct(*XYZ))).alias("_atoms")
+    rows = atoms.groupBy(*pose).agg(places, *(own if pocket_centre is None else given))
+
+    def inside(atom: Column) -> Column:
+        return F.sqrt(sum(((atom[c] - F.col(f"_p{c}")) * (atom[c] - F.col(f"_p{c}")) for c in XYZ), F.lit(0.0))) < POCKET
+
+    share = F.size(F.filter("_atoms", inside)) / F.size("_atoms")
     clashes = F.coalesce(F.col("clashes"), F.lit(0))
     score = (
         F.coalesce(F.col("arg"), F.lit(0)) * 2.0
         + F.coalesce(F.col("tyr"), F.lit(0)) * 2.0
-        + F.when(F.col("in_pocket") > POCKET_SHARE, 1.0).otherwise(0.0)
+        + F.when(share > POCKET_SHARE, 1.0).otherwise(0.0)
         + F.when(clashes == 0, 1.0).when(clashes <= 2, 0.0).otherwise(-2.0)
     )
-    scores = pocket.join(contact, pose, "left").select(*pose, score.alias("geometric_score"))
-    return all_poses.join(scores, pose, "left").fillna(0.0, ["geometric_score"])
+    return rows.join(contact, pose, "left").select(*pose, F.when(is_scored, score).otherwise(0.0).alias("geometric_score"))

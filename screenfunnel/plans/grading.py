@@ -17,7 +17,7 @@ from screenfunnel.sources import text_records as tr
 from screenfunnel.sources.sinks import export_ranked, materialise, stage_counts
 
 #: The stages of :func:`run_grading`, in order.
-STAGES = ("checked", "poses", "best", "ranked")
+STAGES = ("checked", "poses", "atoms", "best", "ranked")
 
 
 @dataclass
@@ -120,7 +120,9 @@ def run_grading(
         complete = checked.where(F.col("outcome") == "complete").select(*tasks.TASK)
         found = found.join(complete, tasks.TASK, "left_semi")
     poses = kept("poses", all_poses(found, n_modes, labels))
-    best = kept("best", best_poses(poses, tr.parse_pose_atoms(pose_files), receptor_atoms, labels, per_model))
+    # Scoring reads the atoms several times: as a table, the texts are parsed once.
+    atoms = kept("atoms", tr.parse_pose_atoms(pose_files))
+    best = kept("best", best_poses(poses, atoms, receptor_atoms, labels, per_model))
     ranked = kept("ranked", final_ranking(best, ligands, id_col, qsar_col, parts))
     ligand, receptor = tr.stem_parts(F.regexp_replace(F.col("stem"), "_out$", ""))
     texts = pose_files.select(ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.col("value").alias("text"))

@@ -102,6 +102,7 @@ def grading_funnel(spark: SparkSession, sf: str) -> DataFrame:
     "grading_exports",
     """WITH e AS (SELECT count(*) AS n, count(*) FILTER (WHERE label < 8) AS n8, count(*) FILTER (WHERE label <> 9) AS n9 FROM embeddings)
        SELECT 'checked' AS stage, 2 * n AS n FROM e UNION ALL SELECT 'poses', n9 * 3 + n8 FROM e UNION ALL SELECT 'best', n9 + n8 FROM e
+       UNION ALL SELECT 'atoms', 20 * (n + n8) FROM e
        UNION ALL SELECT 'ranked', n9 FROM e UNION ALL SELECT 'complete', 2 * n8 + (n9 - n8) FROM e
        UNION ALL SELECT 'exported scores', n9 FROM e UNION ALL SELECT 'exported files', n9 + n8 FROM e""",
 )

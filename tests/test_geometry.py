@@ -182,3 +182,25 @@ def test_binding_sites(spark):
     assert np.allclose(given["moved"][1], move) and np.allclose(given["ref"][1], [2, 3, 4])
     bare = contacts.binding_sites(atoms.filter(~is_ligand), "structure_id", is_ligand, "ref", same)
     assert {r.source for r in bare.collect()} == {"fallback"}
+
+
+def test_pose_score_and_its_scans(spark, tmp_path):
+    atoms, receptor = str(tmp_path / "a"), str(tmp_path / "r")
+    spark.range(60).selectExpr(
+        "concat('L', id % 3) AS ligand_id", "if(id % 3 = 2, '3KK6', '6COX') AS receptor_id", "1 AS model", "cast(id AS int) AS atom_no",
+        "cast(id AS double) AS x", "cast(id % 3 AS double) AS y", "0D AS z",
+    ).write.parquet(atoms)
+    spark.createDataFrame(
+        [("6COX", "OH", "TYR", 355, 0.0, 3.0, 0.0)], "receptor_id string, atom string, residue string, resnum int, x double, y double, z double"
+    ).write.parquet(receptor)
+    scored = contacts.geometric_score(spark.read.parquet(atoms), spark.read.parquet(receptor), {"6COX": "COX2", "3KK6": "COX1"})
+    # L0 is 3 Å from the site; L1 and its site are nearer than that, but not so near as to clash. A fifth of the atoms lie in the pocket.
+    assert {r.ligand_id: r.geometric_score for r in scored.collect()} == {"L0": 3.0, "L1": 3.0, "L2": 0.0}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    # once for the pockets, once for the contacts, and the crowded cubes for either side of the join
+    assert plan.count("Relation [ligand_id") <= 4
+    # in the frame of a given pocket
+    wide = contacts.geometric_score(
+        spark.read.parquet(atoms).where("x < 9"), spark.read.parquet(receptor), {"6COX": "COX2"}, pocket_centre=(4.0, 1.0, 0.0)
+    )
+    assert {r.ligand_id: r.geometric_score for r in wide.collect()} == {"L0": 4.0, "L1": 4.0, "L2": 0.0}
