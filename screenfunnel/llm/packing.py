@@ -157,7 +157,7 @@ def _packed(path: str, window: int, shard_docs: int, shard_ids: int, with_ids: b
                 words = bpe.chunks(text.as_py() or "")
                 ids = np.append(bpe.ids(words), np.uint16(END_ID))
                 docs.append(doc_id)
-                texts.append((words, ids))
+                texts.append((np.array(words), ids))
                 size += len(ids)
                 if len(docs) == shard_docs or size >= shard_ids:
                     rows, sequence = emit(docs, texts, sequence)

@@ -7,17 +7,25 @@ only a new run goes through the merges. Any other chunk is given to the tokenize
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from array import array
 
 import numpy as np
-import regex
 
-#: The file's splitting pattern. Fixed value.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable characters below U+0250 whose composition and lower case do not depend on their neighbours.
-PLAIN = regex.compile(r"[!-~¡-įı-ɏ]*")
-#: Signs that are a piece of their own after letters.
-ENDINGS = frozenset(".,;:!?")
+PLAIN = re.compile(r"[!-~¡-įı-ɏ]*")
+
+
+def _plain(kind: str) -> str:
+    """The lower-case plain characters of a general category."""
+    return "".join(sorted({c for i in range(0x21, 0x250) for c in chr(i).lower() if unicodedata.category(c)[0] == kind}))
+
+
+#: The file's splitting pattern, for plain characters. Fixed value.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_plain('L')}]+|[{_plain('N')}]|[^\s{_plain('L')}{_plain('N')}]+")
+#: Signs that are one piece, however many, after letters.
+ENDINGS = ".,;:!?*#$%&"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,7 +38,8 @@ def _byte_letters() -> dict[int, str]:
 class WordBpe:
     """``chunks(text)`` as places in the table, and ``ids(places)`` as uint16 array.
 
-    Both tables are emptied at ``most`` entries, between texts; places handed out before are then void.
+    Both tables are emptied at ``most`` entries, between texts; places handed out before are then void. Ids are kept as bytes,
+    two for each, which the garbage collector need not walk through.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -41,12 +50,12 @@ class WordBpe:
             raise ValueError("ids beyond 16 bits")
         self.letters = _byte_letters()
         self.most = most
-        self.runs: dict[str, list[int]] = _Runs(self)
+        self.runs: dict[str, bytes] = _Runs(self)
         self.reset()
 
     def reset(self) -> None:
         self.places: dict[str, int] = _Places(self)
-        self.starts, self.lengths, self.flat = array("q"), array("q"), array("H")
+        self.made: list[bytes] = []
 
     def tidy(self) -> None:
         if len(self.places) > self.most:
@@ -54,30 +63,26 @@ class WordBpe:
         if len(self.runs) > self.most:
             self.runs.clear()
 
-    def merge(self, run: str) -> list[int]:
+    def merge(self, run: str) -> bytes:
         mapped = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def encode(self, chunk: str) -> list[int]:
+    def encode(self, chunk: str) -> bytes:
         if chunk.isascii():
             if chunk.isalpha():
                 return self.runs[chunk.lower()]
-            if chunk[-1:] in ENDINGS and chunk[:-1].isalpha():
-                return self.runs[chunk[:-1].lower()] + self.runs[chunk[-1]]
+            body = chunk.rstrip(ENDINGS)
+            if body.isalpha():
+                return self.runs[body.lower()] + self.runs[chunk[len(body) :]]
         if "<|" in chunk or not PLAIN.fullmatch(chunk):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return [i for run in PIECES.findall(chunk.lower()) for i in self.runs[run]]
+            return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.runs.__getitem__, PIECES.findall(chunk.lower())))
 
-    def chunks(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        return np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
+    def chunks(self, text: str) -> list[int]:
+        return list(map(self.places.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def ids(self, places: np.ndarray) -> np.ndarray:
-        lengths = np.frombuffer(self.lengths, np.int64)[places]
-        ends = np.cumsum(lengths)
-        shift = np.repeat(np.frombuffer(self.starts, np.int64)[places] - ends + lengths, lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return np.frombuffer(self.flat, np.uint16)[shift + np.arange(total)] if total else np.empty(0, np.uint16)
+    def ids(self, places: list[int]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.made.__getitem__, places)), np.uint16)
 
 
 class _Runs(dict):
@@ -85,7 +90,7 @@ class _Runs(dict):
         super().__init__()
         self.merge = owner.merge
 
-    def __missing__(self, run: str) -> list[int]:
+    def __missing__(self, run: str) -> bytes:
         ids = self[run] = self.merge(run)
         return ids
 
@@ -96,10 +101,7 @@ class _Places(dict):
         self.owner = owner
 
     def __missing__(self, chunk: str) -> int:
-        owner = self.owner
-        ids = owner.encode(chunk)
-        place = self[chunk] = len(owner.starts)
-        owner.starts.append(len(owner.flat))
-        owner.lengths.append(len(ids))
-        owner.flat.extend(ids)
+        made = self.owner.made
+        made.append(self.owner.encode(chunk))
+        place = self[chunk] = len(made) - 1
         return place
