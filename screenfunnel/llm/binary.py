@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.llm.packing import END_ID, WINDOW
@@ -162,6 +162,13 @@ def shard_name(number: int) -> str:
     return f"shard-{number:08d}.bin"
 
 
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark itself would use, so that shards and manifest lie on the same file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def materialise(df: DataFrame, folder: str, tokenizer: str | None = None, key: str = "order", window: int = WINDOW,
                 per_shard: int = SHARD, text: str = "text") -> DataFrame:
     """Write the shards into ``folder`` (shared by all executors) and return the manifest, which is stored there too.
@@ -175,8 +182,7 @@ def materialise(df: DataFrame, folder: str, tokenizer: str | None = None, key: s
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = whole_uri(spark, folder)
     path = scratch_path(spark, "sequences")
     texts = df.select(F.col(text).alias("text"))
     texts.mapInArrow(_stored(tokenizer, window), STORED).write.option("compression", "none").parquet(path)
@@ -196,7 +202,10 @@ def materialise(df: DataFrame, folder: str, tokenizer: str | None = None, key: s
 
 
 def read_slots(folder: str, first: int = 0, window: int = WINDOW, per_shard: int = SHARD) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from a slot on, in training order: one seek, then straight through the shards."""
+    """(slot, ids) from a slot on, in training order: one seek, then straight through the shards.
+
+    ``folder`` is a URI as :func:`whole_uri` gives it, or a local path.
+    """
     store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     slot = first
     while store.get_file_info(path := f"{root}/{shard_name(slot // per_shard)}").type == fs.FileType.File:

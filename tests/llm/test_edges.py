@@ -437,6 +437,22 @@ def test_feistel_is_a_permutation():
     assert binary.Feistel(1000, "k")(np.arange(9)).tolist() != binary.Feistel(1000, "l")(np.arange(9)).tolist()
 
 
+def test_shards_hold_the_ids_of_the_tokenizer(spark, tmp_path):
+    """Sequences in table order, decoded from the shards, are the tokenizer's ids one after the other."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [prose(k, 40) + ("" if k % 3 else ", e\u0301té (1989)!\n") for k in range(30)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    folder = binary.whole_uri(spark, str(tmp_path / "ids"))
+    assert folder == f"file://{tmp_path}/ids" and binary.whole_uri(spark, folder) == folder
+    number = {r["slot"]: r["sequence"] for r in binary.materialise(df, folder, window=64, per_shard=7).collect()}
+    read = sorted((number[slot], ids.tolist()) for slot, ids in binary.read_slots(folder, 0, 64, 7))
+    want = [i for t in texts for i in [*tok.encode(t or "", add_special_tokens=False).ids, 1]]
+    assert [i for _, ids in read for i in ids] == want and [n for n, _ in read] == list(range(len(read)))
+
+
 def test_shards_read_back(odd, none, tmp_path):
     folder = str(tmp_path / "shards")
     rows = {r["slot"]: r for r in binary.materialise(odd, folder, window=64, per_shard=100).collect()}
