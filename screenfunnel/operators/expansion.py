@@ -75,21 +75,27 @@ def product_table(reaction: Reaction) -> Any:
     return F.udtf(Products, returnType="product string, nth int", useArrow=True)
 
 
-def expand(pairs: DataFrame, product: Column, out: str = "SMILES", counts: Observation | None = None) -> DataFrame:
+def expand(
+    pairs: DataFrame, product: Column, out: str = "SMILES", counts: Observation | None = None, weight: str | None = None
+) -> DataFrame:
     """One row per pair and distinct product, in the product's order; ``product`` gives an array of texts.
 
     Pairs without a product give no row. ``counts`` gets, with the job that runs the result anyway: pairs, problematic (pairs
-    with a reactant that could not be read), no_product, failed_products and products.
+    with a reactant that could not be read), no_product, failed_products and products. ``weight``: a column that says for how
+    many pairs a row stands in them.
     """
     made = pairs.withColumn("_made", product)
     usable = F.array_distinct(F.array_compact("_made"))
     if counts is not None:
-        size = lambda x: F.coalesce(F.sum(F.size(x)), F.lit(0)).cast("long")
+        each = F.lit(1).cast("long") if weight is None else F.col(weight)
+        total = lambda n: F.coalesce(F.sum(n * each), F.lit(0)).cast("long")
+        size = lambda x: total(F.size(x))
+        counted = lambda where: total(F.when(where, F.lit(1)).otherwise(0))
         made = made.observe(
             counts,
-            F.count(F.lit(1)).alias("pairs"),
-            F.count_if(F.col("_made").isNull()).alias("problematic"),
-            F.count_if(F.size(usable) == 0).alias("no_product"),
+            total(F.lit(1)).alias("pairs"),
+            counted(F.col("_made").isNull()).alias("problematic"),
+            counted(F.size(usable) == 0).alias("no_product"),
             size(F.filter(F.coalesce("_made", F.array().cast("array<string>")), lambda x: x.isNull())).alias("failed_products"),
             size(F.coalesce(usable, F.array().cast("array<string>"))).alias("products"),
         )

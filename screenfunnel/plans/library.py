@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from screenfunnel.functions.scalars import keep_existing
 from screenfunnel.operators.dedupe import cheapest_per_key
 from screenfunnel.operators.offers import attach_price, best_offer
-from screenfunnel.operators.pairing import condense, map_with_reagent
+from screenfunnel.operators.pairing import condense_cheapest, map_with_reagent
 from screenfunnel.operators.profile import fingerprint
 from screenfunnel.operators.rules import Limit, derive_limits, range_filter
 from screenfunnel.operators.screen import Alert, decide, regex_match, sides
@@ -87,21 +87,22 @@ def _fitting(plan: LibraryPlan, part: DataFrame, partner: DataFrame) -> tuple[Da
 
 
 def run_library(
-    plan: LibraryPlan, aldehydes: DataFrame, acids: DataFrame, amines: DataFrame, store: str | None = None
+    plan: LibraryPlan, aldehydes: DataFrame, acids: DataFrame, amines: DataFrame, store: str | None = None, counted: bool = True
 ) -> dict[str, DataFrame]:
     """Both product families with all intermediate and rejected tables, by name.
 
     With ``store`` every stage is written once: filters and screens as one decided table each, whose accepted and rejected rows
-    are reads of it, and with the counts of :func:`library_counts` taken while writing.
+    are reads of it, and with the counts of :func:`library_counts` taken while writing. Without ``counted`` the reactions count
+    nothing, and only the cheapest partners of each text are paired.
     """
     spark = aldehydes.sparkSession
     # A stored stage is only used again if the whole plan and all inputs are the same.
-    base = {} if store is None else {"plan": _spelled(plan), "inputs": [_content(x) for x in (aldehydes, acids, amines)]}
+    base = {} if store is None else {"plan": _spelled(plan), "counted": counted, "inputs": [_content(x) for x in (aldehydes, acids, amines)]}
 
     def keep(name: str, make: Callable[[Observation | None], DataFrame]) -> DataFrame:
         if store is None:
             return make(None)
-        watch = Observation()
+        watch = Observation() if counted else None
         return materialise(spark, f"{store}/{name}", {**base, "stage": name}, lambda: make(watch), watch=watch)
 
     def cheapest(df: DataFrame) -> DataFrame:
@@ -123,15 +124,15 @@ def run_library(
     fitting_aldehydes, out["aldehydes_rejected"] = _fitting(plan, aldehydes, acids)
     fitting_acids, out["acids_rejected"] = _fitting(plan, acids, aldehydes)
     out["oxazolones_raw"] = keep(
-        "oxazolones_raw", lambda watch: cheapest(condense(fitting_aldehydes, fitting_acids, plan.cap, plan.condensation, counts=watch))
+        "oxazolones_raw", lambda watch: condense_cheapest(fitting_aldehydes, fitting_acids, plan.cap, plan.condensation, counts=watch)
     )
     out["oxazolones"], by_range, _ = judged("oxazolones", out["oxazolones_raw"], plan.oxazolone_limits, ())
     out["oxazolones_rejected"] = shown(by_range, "Rejection")
     reactants = out["oxazolones"].select("ID", "SMILES", "PriceMol")
     out["imidazolones_raw"] = keep(
         "imidazolones_raw",
-        lambda watch: cheapest(
-            condense(reactants, amines, plan.cap, plan.aminolysis, form="probe", letters=("A", "N"), counts=watch)
+        lambda watch: condense_cheapest(
+            reactants, amines, plan.cap, plan.aminolysis, form="probe", letters=("A", "N"), counts=watch
         ),
     )
     out["thiazolones_raw"] = keep(
