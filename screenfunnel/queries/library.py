@@ -208,8 +208,7 @@ def funnel_products(spark: SparkSession, sf: str) -> DataFrame:
     supplier = rules.valid_price(table(spark, sf, "supplier"), "s_acctbal").select(
         F.concat(F.lit("C"), "s_suppkey").alias("ID"), F.col("s_name").alias("SMILES"), F.col("s_acctbal").alias("PriceMol")
     )
-    made = pairing.condense(blocks, supplier, 2500.0, lambda x, y: F.array(F.concat(x, F.lit("/"), y)))
-    return dedupe.cheapest_per_key(made, "SMILES", "PriceMol", "ID")
+    return pairing.condense_cheapest(blocks, supplier, 2500.0, lambda x, y: F.array(F.concat(x, F.lit("/"), y)))
 
 
 @query(
