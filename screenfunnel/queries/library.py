@@ -167,22 +167,25 @@ def initials(words: str, name: str) -> list[str | None]:
     return [None if len(w) == 5 else w[0] + tail for w in parts if len(w) == 5 or w[0] != "P"]
 
 
-def typed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def products_of_types(spark: SparkSession, sf: str, make) -> DataFrame:
     part = table(spark, sf, "part", "p_partkey", "p_type", "p_retailprice")
     supplier = rules.valid_price(table(spark, sf, "supplier", "s_suppkey", "s_name", "s_acctbal"), "s_acctbal")
-    return pairing.pair_within_budget(part, supplier, PAIR_CAP, "p_partkey", "p_retailprice", "s_suppkey", "s_acctbal")
+    sides = ("p_partkey", "p_retailprice", "p_type"), ("s_suppkey", "s_acctbal", "s_name")
+    return pairing.pair_products(part, supplier, PAIR_CAP, *sides, make)
 
 
 @query("pair_products", f"{EXPANSION_SQL} SELECT p_partkey, s_suppkey, unnest(products) AS product, floor(price * 1e4 + 0.5001) / 1e4 AS total FROM d")
 def pair_products(spark: SparkSession, sf: str) -> DataFrame:
-    made = expansion.expand(typed_pairs(spark, sf), expansion.arrow_products(initials)(F.col("p_type"), F.col("s_name")), "product")
+    product = expansion.arrow_products(initials)(F.col("p_type"), F.col("s_name"))
+    made = products_of_types(spark, sf, lambda texts: expansion.expand(texts, product, "product"))
     return made.select("p_partkey", "s_suppkey", "product", settle("PriceMol", 4).alias("total"))
 
 
 @query("pair_products_lateral", f"{EXPANSION_SQL} SELECT p_partkey, s_suppkey, unnest(products) AS product FROM d")
 def pair_products_lateral(spark: SparkSession, sf: str) -> DataFrame:
-    made = expansion.expand_lateral(typed_pairs(spark, sf), expansion.product_table(initials), ["p_type", "s_name"], "made")
-    return made.select("p_partkey", "s_suppkey", F.col("made").alias("product"))
+    products = expansion.product_table(initials)
+    made = products_of_types(spark, sf, lambda texts: expansion.expand_lateral(texts, products, ["p_type", "s_name"], "product"))
+    return made.select("p_partkey", "s_suppkey", "product")
 
 
 FUNNEL_SQL = f"""
