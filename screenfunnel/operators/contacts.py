@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenfunnel.functions.scalars import require_columns
+from screenfunnel.session import scratch_path
 
 XYZ = ("x", "y", "z")
 # Distances in Å and the share of atoms in the pocket of the pose score.
@@ -255,6 +256,49 @@ def binding_sites(
     return ligand_centre(structures, atoms, structure, ligand, transferred_centres(transforms, structure, centre, into_frame), fallback)
 
 
+#: Two points of one cube of this edge, in radii, are always nearer than the radius (its diagonal is 0.9994 of it).
+INNER_EDGE = 0.577
+# Filled cubes are broadcast up to this many.
+SENT_CUBES = 200_000
+
+
+def _near_for_sure(atoms: DataFrame, targets: DataFrame, where: Column, name: str) -> DataFrame:
+    """The atoms with ``_arg``, ``_tyr`` and ``_clash``: a target of the kind lies in the atom's own cube, so it is near for sure.
+
+    There are at most as many cubes as targets, and as many as space has, so the more targets there are, the more is settled here.
+    """
+    edges = {"arg": CONTACT * INNER_EDGE, "tyr": CONTACT * INNER_EDGE, "clash": CLASH * INNER_EDGE}
+    cells = ["_cx", "_cy", "_cz"]
+    for kind, edge in edges.items():
+        found = targets.filter(F.col("_kind") == kind)
+        cubes = found.select("receptor_id", *[c.alias(n) for c, n in zip(_cells(edge, prefix="b_"), cells)]).distinct()
+        cubes = cubes.withColumn("_in", F.lit(True))
+        cubes = F.broadcast(cubes) if cubes.count() <= SENT_CUBES else cubes
+        marked = atoms.withColumns(dict(zip(cells, _cells(edge)))).join(cubes, ["receptor_id", *cells], "left")
+        atoms = marked.withColumn(f"_{kind}", where & F.coalesce("_in", F.lit(False))).drop(*cells, "_in")
+    path = scratch_path(atoms.sparkSession, name)
+    atoms.write.parquet(path)
+    return atoms.sparkSession.read.parquet(path)
+
+
+def _unsettled(seen: DataFrame, pose: Sequence[str]) -> DataFrame:
+    """One row per atom and kind of contact that its pose's score still depends on."""
+    clashing = F.size(F.collect_set(F.when(F.col("_clash"), F.struct("_model", "atom_no"))))
+    asks = seen.groupBy(*[F.col(c).alias(f"_of_{c}") for c in pose]).agg(
+        (~F.max("_arg")).alias("_ask_arg"), (~F.max("_tyr")).alias("_ask_tyr"), (clashing <= 2).alias("_ask_clash")
+    )
+    asks = asks.filter("_ask_arg OR _ask_tyr OR _ask_clash")
+    rows = seen.join(asks, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in pose])
+    kinds = F.array(
+        F.when(F.col("_ask_arg"), "arg"), F.when(F.col("_ask_tyr"), "tyr"), F.when(F.col("_ask_clash") & ~F.col("_clash"), "clash")
+    )
+    path = scratch_path(seen.sparkSession, "unsettled_atoms")
+    spread = F.xxhash64("ligand_id", "_model", "atom_no").alias("_spread")
+    rows = rows.select(*pose, "_model", "atom_no", *XYZ, spread, F.explode(F.array_compact(kinds)).alias("_kind"))
+    rows.write.parquet(path)
+    return seen.sparkSession.read.parquet(path)
+
+
 def geometric_score(
     pose_atoms: DataFrame,
     receptor_atoms: DataFrame,
@@ -269,15 +313,15 @@ def geometric_score(
     the atoms within 5 Å of the pocket centre (default: the pose's own centre), +1 no clash, −2
     more than two clashing atoms (within 2 Å of any receptor atom). Receptors with another label
     score 0. ``per_model=False`` scores all models of a file as one.
+
+    The score asks whether an atom is near, not how often: what a filled cube of space settles is not paired. The atoms, and those
+    left to pair, are stored in the scratch folder.
     """
     wanted = [r for r, label in labels.items() if label == scored_label]
     pose = ["ligand_id", "receptor_id", "model"]
     atoms = pose_atoms.withColumn("_model", F.col("model"))
     if not per_model:
         atoms = atoms.withColumn("model", F.lit(1))
-    scored = atoms.filter(F.col("receptor_id").isin(*wanted)).withColumn(
-        "_spread", F.xxhash64("ligand_id", "_model", "atom_no")
-    )
     site = (
         F.when((F.col("resnum") == 120) & (F.col("residue") == "ARG") & F.col("atom").isin("NH1", "NH2"), "arg")
         .when((F.col("resnum") == 355) & (F.col("residue") == "TYR") & (F.col("atom") == "OH"), "tyr")
@@ -287,30 +331,34 @@ def geometric_score(
     receptor = receptor_atoms.select(
         "receptor_id", site.alias("b_site"), *[F.col(c).alias(f"b_{c}") for c in XYZ]
     ).distinct()
-    near = close_pairs(scored, receptor, CONTACT, ["receptor_id"], "_spread")
-    per_atom = near.groupBy(*pose, "_model", "atom_no").agg(
-        F.max(F.when(F.col("b_site") == "arg", 1).otherwise(0)).alias("arg"),
-        F.max(F.when(F.col("b_site") == "tyr", 1).otherwise(0)).alias("tyr"),
-        F.max(F.when(F.col("distance") < CLASH, 1).otherwise(0)).alias("clash"),
-    )
-    contact = per_atom.groupBy(*pose).agg(
-        F.max("arg").alias("arg"), F.max("tyr").alias("tyr"), F.sum("clash").alias("clashes")
+    kinds = F.filter(F.array(F.lit("clash"), F.col("b_site")), lambda k: k != "")
+    targets = receptor.withColumn("_kind", F.explode(kinds))
+    is_scored = F.col("receptor_id").isin(*wanted)
+    seen = _near_for_sure(atoms, targets.filter(is_scored), is_scored, "seen_atoms")
+    unsettled = _unsettled(seen.filter(is_scored), pose)
+    near = close_pairs(unsettled, targets, CONTACT, ["receptor_id", "_kind"], "_spread")
+    near = near.filter((F.col("_kind") != "clash") | (F.col("distance") < CLASH))
+    atom = F.struct("_model", "atom_no")
+    contact = near.groupBy(*pose).agg(
+        F.max(F.when(F.col("_kind") == "arg", 1)).alias("arg"),
+        F.max(F.when(F.col("_kind") == "tyr", 1)).alias("tyr"),
+        F.collect_set(F.when(F.col("_kind") == "clash", atom)).alias("clashes"),
     )
     # One row per pose with its atoms, a few hundred at most: the pocket is a matter of the row.
-    is_scored = F.col("receptor_id").isin(*wanted)
     own = [F.avg(c).alias(f"_p{c}") for c in XYZ]
     given = [F.first(F.lit(float(v))).alias(f"_p{c}") for c, v in zip(XYZ, pocket_centre or ())]
     places = F.collect_list(F.when(is_scored, F.struct(*XYZ))).alias("_atoms")
-    rows = atoms.groupBy(*pose).agg(places, *(own if pocket_centre is None else given))
+    sure = [F.max("_arg").alias("_arg"), F.max("_tyr").alias("_tyr"), F.collect_set(F.when(F.col("_clash"), atom)).alias("_sure")]
+    rows = seen.groupBy(*pose).agg(places, *sure, *(own if pocket_centre is None else given))
 
     def inside(atom: Column) -> Column:
         return F.sqrt(sum(((atom[c] - F.col(f"_p{c}")) * (atom[c] - F.col(f"_p{c}")) for c in XYZ), F.lit(0.0))) < POCKET
 
     share = F.size(F.filter("_atoms", inside)) / F.size("_atoms")
-    clashes = F.coalesce(F.col("clashes"), F.lit(0))
+    clashes = F.size(F.array_union("_sure", F.coalesce(F.col("clashes"), F.array_except("_sure", "_sure"))))
     score = (
-        F.coalesce(F.col("arg"), F.lit(0)) * 2.0
-        + F.coalesce(F.col("tyr"), F.lit(0)) * 2.0
+        F.when(F.col("_arg") | F.col("arg").isNotNull(), 2.0).otherwise(0.0)
+        + F.when(F.col("_tyr") | F.col("tyr").isNotNull(), 2.0).otherwise(0.0)
         + F.when(share > POCKET_SHARE, 1.0).otherwise(0.0)
         + F.when(clashes == 0, 1.0).when(clashes <= 2, 0.0).otherwise(-2.0)
     )

@@ -204,3 +204,27 @@ def test_pose_score_and_its_scans(spark, tmp_path):
         spark.read.parquet(atoms).where("x < 9"), spark.read.parquet(receptor), {"6COX": "COX2"}, pocket_centre=(4.0, 1.0, 0.0)
     )
     assert {r.ligand_id: r.geometric_score for r in wide.collect()} == {"L0": 4.0, "L1": 4.0, "L2": 0.0}
+
+
+def test_more_receptor_atoms_leave_fewer_to_pair(spark, monkeypatch):
+    """The score by brute force on a crowded receptor, where filled cubes settle nearly all contacts without a pair."""
+    rng = np.random.default_rng(3)
+    site = [("NH1", "ARG", 120), ("OH", "TYR", 355), ("CA", "ALA", 1), ("CA", "ALA", 1)]
+    asked, whole = [], contacts.close_pairs
+    monkeypatch.setattr(contacts, "close_pairs", lambda a, *args: asked.append(a.count()) or whole(a, *args))
+    for n in (40, 8000):
+        receptor = [("6COX", *site[i % 4], *map(float, rng.normal(0, 3, 3))) for i in range(n)]
+        atoms = [(f"L{k}", "6COX", 1, i, *map(float, rng.normal(0, 2, 3))) for k in range(30) for i in range(4)]
+        atoms += [("L0", "6COX", 1, 0, *atoms[1][4:])]  # an atom number twice counts once
+        df = spark.createDataFrame(atoms, POSE)
+        r = spark.createDataFrame(receptor, "receptor_id string, atom string, residue string, resnum int, x double, y double, z double")
+        got, at = scores(df, r), np.array([x[4:] for x in receptor])
+        for k in range(30):
+            mine = [x for x in atoms if x[0] == f"L{k}"]
+            d = np.array([np.sqrt(((at - np.array(x[4:])) ** 2).sum(1)) for x in mine])
+            near = [any(d[:, j::4].min(axis=1) < 3.5) * 2.0 for j in (0, 1)]
+            clashes = len({x[3] for x, row in zip(mine, d) if row.min() < 2})
+            place = np.array([x[4:] for x in mine])
+            share = (np.sqrt(((place - place.mean(0)) ** 2).sum(1)) < 5).mean()
+            assert got[f"L{k}", "6COX", 1] == sum(near) + (share > 0.3) + (1 if clashes == 0 else 0 if clashes <= 2 else -2)
+    assert asked[1] < asked[0] / 4
