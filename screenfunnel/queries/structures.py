@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.operators import assays, contacts, poses
-from screenfunnel.queries.base import query, settle, table
+from screenfunnel.queries.base import query, settle, spread, table
 from screenfunnel.queries.library import OFFERS_SQL, best_offers
 from screenfunnel.session import scratch_path
 from screenfunnel.sources import files, sinks
@@ -22,7 +22,7 @@ def part_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every part as an SDF record of p_size atoms: the first is O, the second H, the others C.
 
     Parts of the same name and brand share their catalogue id, so only the first one counts."""
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     symbol = lambda i: F.when(i == 1, "O").when(i == 2, "H").otherwise("C")
     atom = lambda i: F.concat(F.lit("    0.0000    0.0000    0.0000 "), symbol(i), F.lit("   0  0"))
     block = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.col("p_size")), atom))

@@ -375,3 +375,15 @@ def test_newest_of_ties_and_nulls(spark):
         "u string, v int, m int, _file string",
     ).selectExpr("u", "v", "timestamp_seconds(m) AS _modified", "_file")
     assert sorted(((r.u or ""), r.v) for r in ingest.newest_per_unit(rows, ["u"], ["v"]).collect()) == [("", 2), ("x", 5), ("x", 6)]
+
+
+def test_rows_of_a_small_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """What is made of the rows of one file is not one task's work."""
+    from screenfunnel.queries import base, structures
+
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    spark.range(1000).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "5 AS p_size", "1D AS p_retailprice"
+    ).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    tasks = structures.part_records(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 10 and max(r["count"] for r in tasks) < 500
