@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from screenfunnel.operators import tasks
 from screenfunnel.plans import grading
 from screenfunnel.plans.prioritise import prioritise, prioritise_counts
-from screenfunnel.queries.base import query, settle, table
+from screenfunnel.queries.base import COMPACT, query, settle, table
 from screenfunnel.queries.ranking import norm_sql
 from screenfunnel.queries.structures import coordinate
 from screenfunnel.session import scratch_path
@@ -207,7 +207,8 @@ def ingest_logs(spark: SparkSession, sf: str) -> DataFrame:
     head = F.concat(name, F.lit("_R\n-----+----"))
 
     def write(rows: DataFrame, folder: str, *poses) -> None:
-        rows.select(F.concat(head, *poses)).write.option("lineSep", "$$$$").text(f"{path}/{folder}")
+        made = rows.select(F.concat(head, *poses)).write.options(lineSep="$$$$", **COMPACT)
+        made.text(f"{path}/{folder}")
 
     def run() -> None:
         # many logs to a file, each with its name in the first line

@@ -387,3 +387,31 @@ def test_rows_of_a_small_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     ).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     tasks = structures.part_records(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) >= 10 and max(r["count"] for r in tasks) < 500
+
+
+def test_a_merge_moves_its_rows_once(spark):
+    """Both steps of a merge, null units included, are done where the first shuffle by unit has put the rows."""
+    rows = spark.range(2000).selectExpr(
+        "IF(id % 7 = 0, NULL, concat('u', id % 50)) AS u", "id % 11 AS v", "timestamp_seconds(id % 3) AS _modified", "concat('f', id % 2) AS _file"
+    )
+    newest = ingest.newest_per_unit(rows.repartition(8, "u"), ["u"], ["v"])
+    found = sorted((r.u or "", r.v) for r in newest.collect())
+    held = [(r.u, r.v, (r._modified, r._file)) for r in rows.collect()]
+    last = {u: max(o for w, _, o in held if w == u) for u, _, _ in held}
+    assert found == sorted({(u or "", v) for u, v, o in held if o == last[u]})
+    plan = newest._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1
+
+
+def test_ingest_after_a_first_batch_that_was_cut_off(spark, tmp_path):
+    """What is left of it is a folder without rows, or some of its folders."""
+    rows = spark.range(60).selectExpr("id AS u", "id % 3 AS v", "timestamp_seconds(1) AS _modified", "'f' AS _file")
+    target = tmp_path / "t"
+    (target / ".spark-staging-1").mkdir(parents=True)
+    write = ingest.upsert_newest(str(target), str(tmp_path / "m"), ["u"], ["v"], 4)
+    write(rows, 0)
+    for part in (target / "_bucket=2").glob("*"):
+        part.unlink()
+    write(rows, 0)
+    assert sorted((r.u, r.v) for r in ingest.read_newest(spark, str(target)).collect()) == [(u, u % 3) for u in range(60)]
+    assert not list((tmp_path / "t").glob("*/*.snappy.parquet"))
