@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.operators import assays, contacts, poses
-from screenfunnel.queries.base import query, settle, spread, table
+from screenfunnel.queries.base import COMPACT, query, settle, spread, table
 from screenfunnel.queries.library import OFFERS_SQL, best_offers
 from screenfunnel.session import scratch_path
 from screenfunnel.sources import files, sinks
@@ -108,7 +108,7 @@ def offers_scan(spark: SparkSession, sf: str) -> DataFrame:
 def offers_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The same files picked up by a stream; the second run finds nothing new."""
     path, target, marks = (scratch_path(spark, n) for n in ("offers", "offers-table", "offers-marks"))
-    offer_responses(spark, sf).write.json(path)
+    offer_responses(spark, sf).write.options(**COMPACT).json(path)
     for _ in range(2):
         ingest_offers(spark, path, target, marks, multi_line=False).awaitTermination()
     return _offer_columns(spark.read.parquet(target))
