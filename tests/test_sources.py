@@ -417,17 +417,14 @@ def test_ingest_after_a_first_batch_that_was_cut_off(spark, tmp_path):
     assert not list((tmp_path / "t").glob("*/*.snappy.parquet"))
 
 
-def test_made_files_of_the_ingest_queries_are_compressed(spark, tmp_path):
+def test_made_files_of_the_ingest_queries_are_compressed(spark, tmp_path, monkeypatch):
     """The texts that stand for price responses and logs are the most that these queries write."""
     from screenfunnel.queries import routes, structures
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        structures.offers_ingest(spark, "/root/testdata/sf0.001")
-        routes.ingest_logs(spark, "/root/testdata/sf0.001")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-    for made in ("offers-*/*.json*", "logs-*/*/*.txt*"):
+    for module in (routes, structures):
+        monkeypatch.setattr(module, "scratch_path", lambda spark, name: str(tmp_path / name))
+    structures.offers_ingest(spark, "/root/testdata/sf0.001")
+    routes.ingest_logs(spark, "/root/testdata/sf0.001")
+    for made in ("offers/*", "logs/*/*"):
         names = [p.name for p in tmp_path.glob(made) if p.name.startswith("part-")]
         assert names and all(n.endswith(".gz") for n in names)
