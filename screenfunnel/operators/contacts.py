@@ -5,6 +5,7 @@ An atom table has one row per atom with ``x``, ``y``, ``z``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,8 @@ from screenfunnel.session import scratch_path
 XYZ = ("x", "y", "z")
 # Distances in Å and the share of atoms in the pocket of the pose score.
 CONTACT, CLASH, POCKET, POCKET_SHARE = 3.5, 2.0, 5.0, 0.3
+#: Cα atoms that one task groups by structure.
+TASK_ATOMS = 200_000
 # The binding-site centre used when nothing better is known.
 FALLBACK_CENTRE = (73.0, 52.0, 28.0)
 
@@ -97,9 +100,16 @@ def ligand_centre(
     transferred from a reference structure, else the fixed fallback; ``source`` says which."""
     names = [f"center_{c}" for c in XYZ]
     own = centroid(atoms.filter(residue), group).select(group, *[F.col(n).alias(f"_own_{n}") for n in names])
-    out = structures.select(group).distinct().join(own, group, "left")
+    return _chosen_centre(structures.select(group).distinct().join(own, group, "left"), group, transferred, fallback)
+
+
+def _chosen_centre(out: DataFrame, group: str, transferred: DataFrame | None, fallback: Sequence[float]) -> DataFrame:
+    """One of the three centres for every row of ``out``, which has a structure's own centre, or null, as ``_own_center_…``."""
+    names = [f"center_{c}" for c in XYZ]
     if transferred is not None:
-        out = out.join(transferred.select(group, *[F.col(n).alias(f"_tr_{n}") for n in names]), group, "left")
+        # Both sides have a row per structure, however small the tables that they were made of.
+        found = transferred.select(group, *[F.col(n).alias(f"_tr_{n}") for n in names]).hint("merge")
+        out = out.join(found, group, "left")
     else:
         out = out.withColumns({f"_tr_{n}": F.lit(None).cast("double") for n in names})
     source = (
@@ -186,7 +196,9 @@ def superpose(pairs: DataFrame, structure: str, check: bool = True) -> DataFrame
 def matched_ca(reference: DataFrame, mobile: DataFrame, residue_map: DataFrame, structure: str) -> DataFrame:
     """Matched Cα atoms (chain A) of every mobile structure and the one reference.
 
-    ``residue_map`` has ref_resnum and mob_resnum. Of repeated residues the last one counts.
+    ``residue_map`` has ref_resnum and mob_resnum. Of repeated residues the last one counts. The Cα atoms are counted, and dealt
+    to tasks by structure, so that what is grouped of them by residue and then by structure is bounded per task; the reference's
+    residues, a few hundred rows, are broadcast.
     """
     ca = (F.col("record") == "ATOM") & (F.col("atom") == "CA") & (F.col("chain") == "A")
     ref = (
@@ -194,12 +206,14 @@ def matched_ca(reference: DataFrame, mobile: DataFrame, residue_map: DataFrame,
         .groupBy(F.col("resnum").alias("ref_resnum"))
         .agg(*[F.max_by(c, "atom_no").alias(f"ref_{c}") for c in XYZ])
     )
+    places = mobile.filter(ca).select(structure, "resnum", "atom_no", *XYZ)
     mob = (
-        mobile.filter(ca)
+        places.repartition(max(1, math.ceil(places.count() / TASK_ATOMS)), structure)
         .groupBy(structure, F.col("resnum").alias("mob_resnum"))
         .agg(*[F.max_by(c, "atom_no").alias(f"mob_{c}") for c in XYZ])
     )
-    return mob.join(residue_map.join(ref, "ref_resnum"), "mob_resnum")
+    # Without the hint the optimiser may take the many structures for the smaller side, or move all rows by residue number.
+    return mob.join(F.broadcast(residue_map.join(ref, "ref_resnum")), "mob_resnum")
 
 
 def apply_transform(df: DataFrame, point: Sequence[str] = XYZ, out: Sequence[str] = XYZ) -> DataFrame:
@@ -244,16 +258,16 @@ def binding_sites(
     ``residue_map`` has ref_resnum and mob_resnum. The reference's own row follows the same chain.
     """
     require_columns(atoms, [structure, "record", "atom", "chain", "resnum", "atom_no", *XYZ], "binding_sites")
-    structures = atoms.select(structure).distinct()
+    at_ligand = F.col(structure).isNotNull() & ligand
+    own = atoms.groupBy(structure).agg(*[F.avg(F.when(at_ligand, F.col(c))).alias(f"_own_center_{c}") for c in XYZ])
     if centre is None:
         row = atoms.filter((F.col(structure) == reference) & ligand).agg(*[F.avg(c) for c in XYZ]).first()
         centre = None if row[0] is None else tuple(row)
     if centre is None:
-        return ligand_centre(structures, atoms, structure, ligand, None, fallback)
-    # One structure's residues: a few hundred rows.
+        return _chosen_centre(own, structure, None, fallback)
     pairs = matched_ca(atoms.filter(F.col(structure) == reference), atoms, F.broadcast(residue_map), structure)
     transforms = superpose(pairs, structure, check=False)
-    return ligand_centre(structures, atoms, structure, ligand, transferred_centres(transforms, structure, centre, into_frame), fallback)
+    return _chosen_centre(own, structure, transferred_centres(transforms, structure, centre, into_frame), fallback)
 
 
 #: Two points of one cube of this edge, in radii, are always nearer than the radius (its diagonal is 0.9994 of it).

@@ -364,7 +364,7 @@ def turned_structures(spark: SparkSession, sf: str) -> DataFrame:
     si = F.when(first, 0.0).when(k % 2 == 0, 0.8).otherwise(1.0)
     at = [((i * step) % over).cast("double") for step, over in ((7, 11), (5, 13), (3, 17))]
     shift = [F.when(first, 0).otherwise(v) for v in (F.col("c_nationkey"), k % 50, F.lit(3))]
-    rows = table(spark, sf, "customer", "c_custkey", "c_nationkey").withColumn("structure_id", F.concat(F.lit("S"), k))
+    rows = spread(table(spark, sf, "customer", "c_custkey", "c_nationkey")).withColumn("structure_id", F.concat(F.lit("S"), k))
     residues = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(~first & (k % 5 == 1), 2).otherwise(12)))).select(
         "structure_id", F.lit("ATOM").alias("record"), F.lit("CA").alias("atom"), F.lit("ALA").alias("residue"), F.lit("A").alias("chain"),
         (i + F.when(first, 100).otherwise(300)).alias("resnum"), i.alias("atom_no"), (co * at[0] - si * at[1] + shift[0]).alias("x"),

@@ -228,3 +228,21 @@ def test_more_receptor_atoms_leave_fewer_to_pair(spark, monkeypatch):
             share = (np.sqrt(((place - place.mean(0)) ** 2).sum(1)) < 5).mean()
             assert got[f"L{k}", "6COX", 1] == sum(near) + (share > 0.3) + (1 if clashes == 0 else 0 if clashes <= 2 else -2)
     assert asked[1] < asked[0] / 4
+
+
+def test_structures_are_not_broadcast_to_the_reference(spark, monkeypatch):
+    """Of the two sides of the residues only the reference's is broadcast; the structures are dealt to tasks."""
+    monkeypatch.setattr(contacts, "TASK_ATOMS", 1000, raising=False)
+    atoms = spark.range(500).selectExpr("id", "explode(sequence(1, 12)) AS r").selectExpr(
+        "concat('S', id) AS s", "'ATOM' AS record", "'CA' AS atom", "'A' AS chain", "r AS resnum", "r AS atom_no",
+        "double(r * 7 % 11 + id) AS x", "double(r * 5 % 13) AS y", "double(r * 3 % 17) AS z",
+    )
+    same = spark.range(1, 13).selectExpr("id AS ref_resnum", "id AS mob_resnum")
+    pairs = contacts.matched_ca(atoms.filter("s = 'S1'"), atoms, same, "s")
+    assert pairs.count() == 6000
+    places = pairs.select("s", F.spark_partition_id().alias("p")).distinct().groupBy("s").count()
+    assert places.filter("count > 1").isEmpty()
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    # the topmost join is the one with the structures
+    joins = [line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join " in line]
+    assert "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
