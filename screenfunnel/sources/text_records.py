@@ -92,19 +92,21 @@ def explode_offers(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-# Everything from the first separator line on.
-_AFTER_SEPARATOR = r"(?s)(?:^|\n)[ \t]*(?:-----|Refine)[^\n]*(\n.*)$"
+# Everything from the first separator line on, of a text with a line end put before it: a search for one character is quicker than
+# one for the start or a line end.
+_AFTER_SEPARATOR = r"(?s)\n[ \t]*(?:-----|Refine)[^\n]*(\n.*)$"
 # A pose line: one whole number and three numbers, bars counting as blanks, maybe more behind. Lines
-# that name the columns are no poses.
+# that name the columns are no poses; the names are looked for behind the numbers only, which hold no letters but e.
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _POSE_LINE = (
-    r"(?im)^(?![^\n]*(?:mode|affinity))[ \t|]*[+-]?\d+"
-    rf"(?:[ \t|]+{_NUMBER}){{3}}(?=[ \t|\r]|$)"
+    r"(?m)^[ \t|]*[+-]?\d+"
+    rf"(?:[ \t|]+{_NUMBER}){{3}}(?=[ \t|\r]|$)(?![^\n]*(?i:mode|affinity))"
 )
 
 
 def _pose_lines(text: str) -> Column:
-    return F.regexp_extract_all(F.regexp_extract(F.col(text), _AFTER_SEPARATOR, 1), F.lit(_POSE_LINE), F.lit(0))
+    behind = F.regexp_extract(F.concat(F.lit("\n"), F.col(text)), _AFTER_SEPARATOR, 1)
+    return F.regexp_extract_all(behind, F.lit(_POSE_LINE), F.lit(0))
 
 
 def parse_dock_logs(logs: DataFrame, keep: Sequence[str] = (), stem: str = "stem", text: str = "value") -> DataFrame:
@@ -114,7 +116,7 @@ def parse_dock_logs(logs: DataFrame, keep: Sequence[str] = (), stem: str = "stem
     lines = logs.filter(F.col(stem).contains("_")).select(
         ligand.alias("ligand_id"), receptor.alias("receptor_id"), F.posexplode(_pose_lines(text)).alias("pos", "line"), *keep
     )
-    part = F.split(F.trim(F.translate("line", "|", " ")), r"\s+")
+    part = F.regexp_extract_all("line", F.lit(r"[^ \t|]+"), F.lit(0))
     return lines.select(
         "ligand_id",
         "receptor_id",

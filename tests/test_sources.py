@@ -428,3 +428,17 @@ def test_made_files_of_the_ingest_queries_are_compressed(spark, tmp_path, monkey
     for made in ("offers/*", "logs/*/*"):
         names = [p.name for p in tmp_path.glob(made) if p.name.startswith("part-")]
         assert names and all(n.endswith(".gz") for n in names)
+
+
+def test_pose_lines_with_tabs_and_names_of_columns(spark):
+    """Tabs and bars part the numbers wherever they stand; a line that names a column, before or behind its numbers, is no pose."""
+    lines = [
+        "\t1\t-7.5\t0.0\t0.5", " | 2 | -6e0 |.5|1.", "3 -5.0 1.0 2.0 Mode", "4 -4.0 1.0 2.0\taffinity (kcal)", "AFFINITY 5 -3.0 1.0 2.0",
+        "6 -2.0 1.0 2.0mode", "7 -1.0 1.0", "+8 -1.5 1.0 2.0 more\r", "Refine 9 -1.0 1.0 1.0", "10 +.25 3 4",
+    ]
+    logs = spark.createDataFrame([("A_R", "1 -9 0 0\n  -----+---\n" + "\n".join(lines)), ("B_R", "Refine\n1 -2 3 4"), ("C_R", "1 -2 3 4\n-----")], "stem string, value string")
+    found = sorted((r.ligand_id, r.pose_no, r["rank"], r.score, r.rmsd_lb, r.rmsd_ub) for r in tr.parse_dock_logs(logs).collect())
+    assert found == [
+        ("A", 1, 1, -7.5, 0.0, 0.5), ("A", 2, 2, -6.0, 0.5, 1.0), ("A", 3, 8, -1.5, 1.0, 2.0), ("A", 4, 10, 0.25, 3.0, 4.0), ("B", 1, 1, -2.0, 3.0, 4.0)
+    ]
+    assert sorted((r.ligand_id, r.n_poses) for r in tr.log_summary(logs).collect()) == [("A", 4), ("B", 1), ("C", 0)]
