@@ -258,3 +258,20 @@ def test_priced_blocks(spark):
     accepted, rejected = library.priced_blocks(rows, offers, presets.column_limits({"PriceMol": (None, 200.0)}))
     assert [(r.ID, r.PriceMol) for r in accepted.collect()] == [("A1", 160.0)]
     assert [(r.ID, r.Rejection) for r in rejected.collect()] == [("A2", "PriceMol=300.00>200.0")]
+
+
+def test_the_split_is_made_once(spark, monkeypatch):
+    """Forests, domain and metrics read one kept split, which is given back."""
+    rows = spark.range(300).selectExpr("id", "double(id % 17) AS a", "double(id % 5) AS b", "double(50 + id * 7 % 400) AS IC50_COX2_median", "double(9 + id % 90) AS IC50_COX1_median")
+    seen, domain = [], models.fit_domain
+
+    def watched(df, columns):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return domain(df, columns)
+
+    monkeypatch.setattr(models, "fit_domain", watched)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    fitted = models.fit_activity_models(models.add_targets(rows), ("a", "b"), "id", trees=2, depth=2, lot=2)
+    assert len(seen) == 1 and "InMemoryRelation" in seen[0] and "sha2" not in seen[0].split("InMemoryRelation")[0]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    assert fitted.metrics["n_rows"] == 60
