@@ -6,7 +6,7 @@ deviation of every segment of every vector. For two vectors and one segment of n
 segments are tried first, finer ones for the pairs that may still matter, and only what is left is scored exactly.
 
 Anchors (the stated queries) meet all rows in blocks: data blocks are dealt once over stripes of bounded size, blocks of anchors
-are repeated per stripe, and both are joined on the stripe. A task holds two blocks and the best rows of a few blocks of anchors.
+are repeated per stripe, and both are shuffled and joined on the stripe. A task holds two blocks and the best rows of a few blocks of anchors.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenfunnel.session import scratch_path
@@ -39,7 +39,8 @@ class Mining:
     """How many positives and negatives, and the share (percent) of the positive's score that a negative's lies in.
 
     ``levels``: segments per vector, coarse to fine; a level that a vector is too short for is left out. Vectors without structure
-    are told apart by fine segments only, clustered ones by coarse ones already.
+    are told apart by fine segments only, clustered ones by coarse ones already. ``stripe_*``: what a stripe of data holds at most, and
+    the comparisons with anchors that it is made for.
     """
 
     positives: int = 5
@@ -52,6 +53,8 @@ class Mining:
     anchor_rows: int = 256
     buckets: int = 16
     stripe_rows: int = 200_000
+    stripe_bytes: int = 128 << 20
+    stripe_pairs: int = 150_000_000
 
 
 def used_levels(dims: int, levels: tuple[int, ...]) -> list[int]:
@@ -309,17 +312,33 @@ def vector_index(df: DataFrame, anchors: Column, rules: Mining, vec_id: str = "v
     return df.sparkSession.read.parquet(path)
 
 
+def _stripes(spark: SparkSession, rows: int, size: int, n: int, rules: Mining) -> int:
+    """How many stripes of data meet the ``n`` anchors: as the comparisons need, but not so many that the repeated anchors outgrow the
+    data, and never so few that a stripe is more than its bound in rows or bytes."""
+    fair = max(2 * spark.sparkContext.defaultParallelism, rows // max(1, n))
+    return max(1, -(-rows // rules.stripe_rows), -(-size // rules.stripe_bytes), min(fair, -(-rows * n // rules.stripe_pairs)))
+
+
 def search(index: DataFrame, anchors: DataFrame, rules: Mining, negatives: bool) -> DataFrame:
-    """uid, slot, found: array of (score, id), best first. anchors: rows ``ANCHOR``, with ``scores`` for negatives."""
+    """uid, slot, found: array of (score, id), best first. anchors: rows ``ANCHOR``, with ``scores`` for negatives.
+
+    Both sides are shuffled by stripe, whatever their size: Spark's guess of it knows nothing of the repeats, and a broadcast of
+    them would be the driver's to hold. A task buffers one stripe of data while the blocks of anchors pass by.
+    """
     spark = index.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, n = index.agg(F.sum("n")).first()[0] or 0, anchors.count()
-    stripes = max(2 * parts, -(-rows // rules.stripe_rows))
+    size = F.sum(F.octet_length("vectors") + F.octet_length("means") + F.octet_length("deviations"))
+    (rows, total), n = index.agg(F.sum("n"), size).first(), anchors.count()
+    stripes = _stripes(spark, rows or 0, total or 0, n, rules)
     packed = anchors.repartition(max(1, -(-n // (16 * rules.anchor_rows)))).mapInArrow(_packer(rules), PACK)
     packed = packed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    data = index.drop("flags").withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int"))
-    on = packed["stripe"] == data["stripe"]
-    pairs = packed.join(data, on if negatives else on & (packed["a_bucket"] == data["bucket"])).drop("stripe")
+    # the blocks of a task of the index go round the stripes, each task's from another one on
+    first = F.pmod(F.xxhash64(F.shiftright("block", 22)), F.lit(stripes))
+    data = index.drop("flags").withColumn("stripe", F.pmod(first + F.col("block"), F.lit(stripes)).cast("int"))
+    # a task for each stripe: dealt by hash, several would fall to one
+    packed = packed.withColumnRenamed("stripe", "a_stripe").repartitionById(stripes, "a_stripe")
+    data = data.repartitionById(stripes, "stripe").hint("merge")
+    on = packed["a_stripe"] == data["stripe"]
+    pairs = packed.join(data, on if negatives else on & (packed["a_bucket"] == data["bucket"])).drop("a_stripe", "stripe")
     k = rules.negatives if negatives else rules.positives
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "id")))
     found = pairs.mapInArrow(_searcher(rules, negatives), FOUND).groupBy("uid", "slot").agg(F.slice(best, 1, k).alias("best"))
@@ -348,10 +367,11 @@ def hard_negatives(
     near_path = scratch_path(spark, "positives")
     search(index, rows, rules, False).select("uid", "found").write.parquet(near_path)
     near = spark.read.parquet(near_path)
-    windowed = rows.join(near.select("uid", F.col("found.score").alias("scores")), "uid")
+    # merged by uid: a broadcast would bring a line for each anchor to the driver
+    windowed = rows.join(near.select("uid", F.col("found.score").alias("scores")).hint("merge"), "uid")
     far = search(index, windowed, rules, True)
-    pairs = rows.select("uid", F.col("id").alias("anchor_id")).join(near, "uid").select("uid", "anchor_id", F.posexplode("found").alias("slot", "positive"))
-    return pairs.join(far, ["uid", "slot"]).select(
+    pairs = rows.select("uid", F.col("id").alias("anchor_id")).join(near.hint("merge"), "uid").select("uid", "anchor_id", F.posexplode("found").alias("slot", "positive"))
+    return pairs.join(far.hint("merge"), ["uid", "slot"]).select(
         "anchor_id", F.col("positive.id").alias("positive_id"), F.posexplode("found").alias("nth", "negative"), F.col("positive.score").alias("positive_score")
     ).select(
         "anchor_id", "positive_id", (F.col("nth") + 1).alias("rank"), F.col("negative.id").alias("negative_id"), "positive_score",

@@ -84,6 +84,23 @@ def test_bounds_hold_and_prune():
     assert found[all_scores >= floor[:, None]].all() and found.mean() < 0.1
 
 
+def test_anchors_are_repeated_in_tasks_not_in_the_driver(spark, monkeypatch):
+    """However small Spark takes a side for, none is broadcast, since its repeats are not counted; stripes are bounded."""
+    plans, whole = [], negatives.search
+    monkeypatch.setattr(negatives, "search", lambda *args: plans.append(whole(*args)) or plans[-1])
+    rules = negatives.Mining(block_rows=20, anchor_rows=3, stripe_pairs=500)
+    rows = clustered(400)
+    found = mined(vectors(spark, rows).repartition(3), rules)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, rules)
+    for df in (*plans, found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    rules = negatives.Mining()
+    assert negatives._stripes(spark, 10_000, 10_000 * 600, 100, rules) == 1
+    assert negatives._stripes(spark, 1_000_000, 1_000_000 * 600, 10_000, rules) == 67
+    assert negatives._stripes(spark, 10_000_000, 10_000_000 * 600, 100_000, rules) == 100
+    assert negatives._stripes(spark, 1_000_000, 1_000_000 * 8000, 100, rules) == 60  # long vectors
+
+
 def test_sums_are_exact_at_any_size():
     big = np.array([[2**23, -(2**23), 3], [1, 2, 3]], np.int32)
     for x in (big, big // 2**10, big[1:]):
