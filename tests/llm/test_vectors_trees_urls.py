@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -196,6 +197,25 @@ def test_versions_share_what_they_do_not_change():
     assert version[3, 0] == folded(changed)[-1][0] != tree.root
 
 
+def test_unchanged_leaves_are_folded_through_their_proof():
+    """A leaf, a sibling above it or a root that does not fit is found, whether or not the leaf was changed."""
+    leaves = [digest(str(i)) for i in range(64 + 5)]
+    levels = folded(leaves)
+    path = [{"left": "".join(x), "right": "".join(y)} for x, y in siblings(levels, 64)[2:]]
+    rows = [{"id": i, "digest": leaves[i], "changed": None if i != 66 else digest("other")} for i in range(64, 69)]
+
+    def proved(path, root):
+        made = pa.RecordBatch.from_pylist([{"block": 1, "leaves": rows, "path": path, "subroot": levels[-1][0], "root": root}])
+        return pa.Table.from_batches(merkle._prover(iter([made]), 2)).to_pylist()
+
+    root = levels[-1][0]
+    right = proved(path, root)
+    assert [r["folded_root"] == root for r in right] == [True, True, False, True, True]
+    assert [r["copied"] > 0 for r in right] == [False, False, True, False, False]
+    assert all(r["folded_root"] == root for r in proved(path, digest("no root")) if r["id"] != 66)
+    assert all(r["folded_root"] != root for r in proved([{"left": path[0]["left"][1:], "right": path[0]["right"]}, *path[1:]], root))
+
+
 def at(url):
     """host and path by hand."""
     rest = url.partition("://")[2] if url and "://" in url else ""
